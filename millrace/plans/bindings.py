@@ -175,7 +175,7 @@ def action_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ACTIONS_SQL = """
 act AS (
-  SELECT user_id AS pod, event_id AS seq, epoch_us(ts) AS at, event_type AS name,
+  SELECT user_id AS pod, event_id AS seq, epoch_us(ts) AS at_us, event_type AS name,
          regexp_extract(props, '([0-9]+)', 1) AS value
   FROM events WHERE event_type <> 'error'
 )
