@@ -1 +1,157 @@
-"""Queries."""
+"""Queries over layered configuration."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from millrace.operators import config as ops
+from millrace.plans.registry import query, table
+
+LAYERS_SQL = """
+layers AS (
+  SELECT l.layer, p_partkey AS seq, {path} AS path, p_retailprice AS value
+  FROM part, (VALUES (0, 1), (1, 3), (2, 5), (3, 7)) l(layer, step)
+  WHERE p_partkey % step = 0
+)
+"""
+FLAT_PATH = "p_brand || '.' || p_type"
+MIXED_PATH = "CASE p_partkey % 4 WHEN 0 THEN p_brand WHEN 3 THEN p_brand || '.' || p_type || '.' || p_size" \
+             " ELSE p_brand || '.' || p_type END"
+
+
+def _layers(spark, sf_dir, path):
+    """Four layers: all parts, then each 3rd, 5th and 7th."""
+    rules = F.array(*[F.struct(F.lit(i).alias("layer"), F.lit(n).alias("step")) for i, n in enumerate((1, 3, 5, 7))])
+    fits = F.filter(rules, lambda r: F.col("p_partkey") % r["step"] == 0)
+    spread = table(spark, sf_dir, "part").withColumn("rule", F.explode(fits))
+    return spread.select(
+        F.col("rule.layer").alias("layer"),
+        F.col("p_partkey").alias("seq"),
+        F.expr(path).alias("path"),
+        F.col("p_retailprice").alias("value"),
+    )
+
+
+@query("layered_resolve", f"""
+WITH {LAYERS_SQL.format(path=FLAT_PATH)}
+SELECT path, arg_max(value, layer * 1000000000000 + seq) AS value, max(layer) AS layer FROM layers GROUP BY path
+""")
+def layered_resolve(spark, sf_dir):
+    return ops.layered_resolve(_layers(spark, sf_dir, FLAT_PATH))
+
+
+@query("layered_conflicts", f"""
+WITH {LAYERS_SQL.format(path=MIXED_PATH)},
+latest AS (
+  SELECT path, arg_max(value, layer * 1000000000000 + seq) AS value, max(layer) AS layer,
+         max(layer * 1000000000000 + seq) AS at_order
+  FROM layers GROUP BY path
+)
+SELECT path, value, layer FROM latest a
+WHERE NOT EXISTS (SELECT 1 FROM latest b WHERE b.at_order > a.at_order
+                  AND (starts_with(a.path, b.path || '.') OR starts_with(b.path, a.path || '.')))
+""")
+def layered_conflicts(spark, sf_dir):
+    """Paths of one, two and three names, so that scalars and objects overwrite each other."""
+    return ops.layered_resolve(_layers(spark, sf_dir, MIXED_PATH))
+
+
+@query("layered_lists", f"""
+WITH {LAYERS_SQL.format(path="p_brand")},
+sets AS (SELECT path, max(layer * 1000000000000 + seq) FILTER (seq % 11 = 0) AS set_at FROM layers GROUP BY path)
+SELECT path, layer, seq, unnest([0, 1]) AS pos, unnest(['p' || seq, 'q' || seq]) AS value
+FROM layers JOIN sets USING (path) WHERE set_at IS NULL OR layer * 1000000000000 + seq >= set_at
+""")
+def layered_lists(spark, sf_dir):
+    """Each part appends two elements to its brand's list; each 11th sets the list anew."""
+    entries = _layers(spark, sf_dir, "p_brand").select(
+        "layer", "seq", "path",
+        F.array(F.concat(F.lit("p"), "seq"), F.concat(F.lit("q"), "seq")).alias("values"),
+        F.when(F.col("seq") % 11 == 0, "set").otherwise("append").alias("op"),
+    )
+    return ops.layered_lists(entries)
+
+
+def _reference_tree(spark, sf_dir):
+    """Orders refer to customers, those to nations, those to regions.
+
+    Of fifty orders one refers to nothing there is, one may, one refers to itself.
+    """
+
+    def leaf(name, kind, key, value):
+        return table(spark, sf_dir, name).select(
+            F.concat(F.lit(kind + "."), F.col(key)).alias("path"), F.expr(value).alias("value")
+        )
+
+    order_value = """
+        CASE o_orderkey % 50
+            WHEN 0 THEN concat('${ghost.', o_orderkey, '}')
+            WHEN 1 THEN concat('[${?ghost.', o_orderkey, '}]', o_orderpriority)
+            WHEN 2 THEN concat('${order.', o_orderkey, '}x')
+            WHEN 3 THEN concat('${order.', o_orderkey - 3, '}')
+            ELSE concat('arn:${customer.', o_custkey, '}:', o_orderstatus, '/${customer.', o_custkey, '}')
+        END"""
+    parts = [
+        leaf("region", "region", "r_regionkey", "r_name"),
+        leaf("nation", "nation", "n_nationkey", "concat('${region.', n_regionkey, '}/', n_name)"),
+        leaf("customer", "customer", "c_custkey", "concat(c_mktsegment, '@${nation.', c_nationkey, '}')"),
+        leaf("orders", "order", "o_orderkey", order_value),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("substitution_resolve", """
+WITH n AS (SELECT n_nationkey, r_name || '/' || n_name AS v FROM nation LEFT JOIN region ON n_regionkey = r_regionkey),
+c AS (SELECT c_custkey, c_mktsegment || '@' || v AS v FROM customer LEFT JOIN n ON c_nationkey = n_nationkey),
+o AS (
+  SELECT o_orderkey,
+         CASE o_orderkey % 50 WHEN 0 THEN NULL WHEN 1 THEN '[]' || o_orderpriority WHEN 2 THEN NULL WHEN 3 THEN NULL
+              ELSE 'arn:' || v || ':' || o_orderstatus || '/' || v END AS value,
+         CASE o_orderkey % 50 WHEN 0 THEN 'missing' WHEN 1 THEN 'resolved' WHEN 2 THEN 'cycle' WHEN 3 THEN 'missing'
+              ELSE CASE WHEN v IS NULL THEN 'missing' ELSE 'resolved' END END AS status
+  FROM orders LEFT JOIN c ON o_custkey = c_custkey
+)
+SELECT 'region.' || r_regionkey AS path, r_name AS value, 'resolved' AS status FROM region
+UNION ALL SELECT 'nation.' || n_nationkey, v, CASE WHEN v IS NULL THEN 'missing' ELSE 'resolved' END FROM n
+UNION ALL SELECT 'customer.' || c_custkey, v, CASE WHEN v IS NULL THEN 'missing' ELSE 'resolved' END FROM c
+UNION ALL SELECT 'order.' || o_orderkey, value, status FROM o
+""")
+def substitution_resolve(spark, sf_dir):
+    return ops.substitution_resolve(_reference_tree(spark, sf_dir))
+
+
+DOCUMENT = (
+    "concat('{\"name\":\"', c_name, '\",\"account\":{\"rank\":', c_custkey * 7, ',\"segment\":\"', c_mktsegment,"
+    " '\",\"flags\":{}},\"tags\":[\"a\",', c_nationkey, ',true,null],\"nested\":[{\"id\":', c_custkey, '},[]]}')"
+)
+
+
+def _documents(spark, sf_dir):
+    """A nested configuration document per customer."""
+    return table(spark, sf_dir, "customer").select("c_custkey", F.expr(DOCUMENT).alias("body"))
+
+
+@query("config_flatten", f"""
+WITH docs AS (SELECT c_custkey, {DOCUMENT} AS body FROM customer)
+SELECT c_custkey, substr(t.fullkey, 3) AS path,
+       CASE t.type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'bool' WHEN 'OBJECT' THEN 'tree'
+                   WHEN 'ARRAY' THEN 'list' WHEN 'NULL' THEN 'null' ELSE 'number' END AS type,
+       CASE WHEN t.type = 'NULL' THEN 'null' ELSE t.value ->> '$' END AS value
+FROM docs, json_tree(docs.body) t
+WHERE t.type NOT IN ('OBJECT', 'ARRAY') OR CAST(t.value AS VARCHAR) IN ('{{}}', '[]')
+""")
+def config_flatten(spark, sf_dir):
+    return ops.config_flatten(_documents(spark, sf_dir), "body")
+
+
+@query("variables_from_config", """
+SELECT c_custkey, unnest([0, 1, 2, 3]) AS pos, unnest(['#name#', '#account#', '#tags#', '#nested#']) AS k,
+       unnest([c_name, '{"rank":' || c_custkey * 7 || ',"segment":"' || c_mktsegment || '","flags":{}}',
+               '["a",' || c_nationkey || ',true,null]', '[{"id":' || c_custkey || '},[]]']) AS v
+FROM customer
+""")
+def variables_from_config(spark, sf_dir):
+    return ops.variables_from_config(_documents(spark, sf_dir), "body")
