@@ -235,6 +235,29 @@ def wait_until_ready(
     return seen.select("resource", verdict.alias("_v")).select("resource", "_v.*")
 
 
+WAIT_KEYS = ["pod", "name", "expected", "start"]
+
+
+def value_slots(actions: DataFrame, waits: DataFrame, unit: int, interval: int, max_polls: int) -> DataFrame:
+    """The actions that the polls of a wait can see, each with the first poll after it."""
+    slot = ceil_div(F.greatest(F.col("at") - F.col("start"), F.lit(0)), interval * unit)
+    return (
+        spread_join(actions.select("pod", "name", "value", "at", "seq"), waits.select(*WAIT_KEYS), ["pod", "name"], ["seq"])
+        .withColumn("poll", slot)
+        .where(F.col("poll") < max_polls)
+    )
+
+
+def slot_verdict(waits: DataFrame, slots: DataFrame) -> DataFrame:
+    """First poll per wait whose last value is the expected one."""
+    seen = (
+        slots.where(F.col("value") == F.col("expected")).groupBy(*WAIT_KEYS).agg(F.min("poll").alias("poll"))
+    )
+    return waits.select(*WAIT_KEYS).join(seen, WAIT_KEYS, "left").select(
+        "pod", "name", "expected", "poll", F.col("poll").isNotNull().alias("matched")
+    )
+
+
 def wait_for_value(
     actions: DataFrame,
     waits: DataFrame,
@@ -247,22 +270,9 @@ def wait_for_value(
     A poll sees the last value reported before it. Of the rows between two
     polls only the last counts, so rows are first reduced to one per poll.
     """
-    wanted = waits.select("pod", "name", "expected", "start")
-    slot = ceil_div(F.greatest(F.col("at") - F.col("start"), F.lit(0)), interval * unit)
-    seen = (
-        spread_join(actions.select("pod", "name", "value", "at", "seq"), wanted, ["pod", "name"], ["seq"])
-        .withColumn("poll", slot)
-        .where(F.col("poll") < max_polls)
-        .groupBy("pod", "name", "expected", "start", "poll")
-        .agg(F.max_by("value", F.struct("at", "seq")).alias("value"))
-        .where(F.col("value") == F.col("expected"))
-        .groupBy("pod", "name", "expected", "start")
-        .agg(F.min("poll").alias("poll"))
-    )
-    keys = ["pod", "name", "expected", "start"]
-    return wanted.join(seen, keys, "left").select(
-        "pod", "name", "expected", "poll", F.col("poll").isNotNull().alias("matched")
-    )
+    slots = value_slots(actions, waits, unit, interval, max_polls)
+    last = slots.groupBy(*WAIT_KEYS, "poll").agg(F.max_by("value", F.struct("at", "seq")).alias("value"))
+    return slot_verdict(waits, last)
 
 
 def file_verdict(start: Column, arrived: Column, unit: int, interval: int, max_polls: int) -> Column:
