@@ -277,7 +277,8 @@ def wait_for_value(
 
 def file_verdict(start: Column, arrived: Column, unit: int, interval: int, max_polls: int) -> Column:
     """``struct<status, attempt>``: a wait sleeps before each look, so looks first after one interval."""
-    attempt = F.greatest(ceil_div(arrived - start, interval * unit), F.lit(1).cast("long"))
+    looks = ceil_div(arrived - start, interval * unit)
+    attempt = F.when(looks < 1, F.lit(1).cast("long")).otherwise(looks)
     ok = F.coalesce(attempt <= max_polls, F.lit(False))
     return F.struct(
         F.when(ok, "FOUND").otherwise("TIMEOUT").alias("status"), F.when(ok, attempt).alias("attempt")

@@ -50,10 +50,10 @@ def list_objects(spark: SparkSession, root: str, prefix: str = "", bucket: str |
 
 def text_files(spark: SparkSession, root: str, name_glob: str | None = None, recursive: bool = True) -> DataFrame:
     """path and text of whole files, one row each; the glob is applied while listing."""
-    reader = spark.read.option("wholetext", "true").option("recursiveFileLookup", str(recursive).lower())
+    reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
     if name_glob is not None:
         reader = reader.option("pathGlobFilter", name_glob)
-    return reader.text(root).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return reader.text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def json_files(spark: SparkSession, directory: str) -> DataFrame:

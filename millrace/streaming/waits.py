@@ -14,6 +14,7 @@ from millrace.operators.status import file_verdict, ready_verdict
 
 SEEN = "resource string, start long, ready_at long, ts timestamp"
 WAIT = "resource string, start long, ready_at long"
+STATE = "start long, ready_at long, ready boolean, closed boolean"
 
 
 def _reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -34,27 +35,31 @@ def closed_waits(polls: DataFrame, limit: int, delay: str = "0 seconds") -> Data
     reduced per resource before they are shuffled, so a busy resource sends few.
     A wait closes when the watermark has passed its first ready row, or
     ``limit`` microseconds after its start; until then rows that are late by
-    less than ``delay`` still count.
+    less than ``delay`` still count. Times start after the epoch, where Spark
+    sets the first watermark.
     """
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, ready_at, closed = state.get if state.exists else (None, None, False)
+        # ready_at counts once ready is set
+        start, ready_at, ready, closed = state.get if state.exists else (None, 0, False, False)
         if closed:
             return
         if not state.hasTimedOut:
             for frame in frames:
                 first = int(frame["start"].min())
                 start = first if start is None else min(start, first)
-                ready = frame["ready_at"].min()
-                if not pd.isna(ready):
-                    ready_at = int(ready) if ready_at is None else min(ready_at, int(ready))
-        end = start + limit if ready_at is None else min(ready_at, start + limit)
+                seen = frame["ready_at"].dropna()
+                if len(seen):
+                    ready_at = min(ready_at, int(seen.min())) if ready else int(seen.min())
+                    ready = True
+        end = min(ready_at, start + limit) if ready else start + limit
         end_ms = -(-end // 1000)
-        if state.hasTimedOut or end_ms < state.getCurrentWatermarkMs():
-            state.update((start, ready_at, True))
-            yield pd.DataFrame({"resource": [key[0]], "start": [start], "ready_at": [ready_at]})
+        over = state.hasTimedOut or end_ms < state.getCurrentWatermarkMs()
+        state.update((start, ready_at, ready, over))
+        if over:
+            answer = pd.Series([ready_at if ready else None], dtype="Int64")
+            yield pd.DataFrame({"resource": [key[0]], "start": [start], "ready_at": answer})
         else:
-            state.update((start, ready_at, False))
             state.setTimeoutTimestamp(end_ms)
 
     return (
@@ -63,7 +68,7 @@ def closed_waits(polls: DataFrame, limit: int, delay: str = "0 seconds") -> Data
         .withWatermark("ts", delay)
         .groupBy("resource")
         .applyInPandasWithState(
-            step, WAIT, "start long, ready_at long, closed boolean", "append", GroupStateTimeout.EventTimeTimeout
+            step, WAIT, STATE, "append", GroupStateTimeout.EventTimeTimeout
         )
     )
 
