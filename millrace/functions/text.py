@@ -18,11 +18,16 @@ def text_lines(text: Column) -> Column:
 
 
 def has_line_with(text: Column, fragment: str) -> Column:
+    """Whether a line holds the fragment; without a line end in it, the whole text tells."""
+    if "\n" not in fragment:
+        return text.contains(fragment)
     return F.exists(text_lines(text), lambda line: line.contains(fragment))
 
 
 def without_lines_with(text: Column, fragment: str) -> Column:
     """The text less every line that holds the fragment."""
+    if "\n" not in fragment:
+        return F.regexp_replace(text, f"(?dm)^[^\n]*{like_literal(fragment)}[^\n]*\n?", "")
     return F.array_join(F.filter(text_lines(text), lambda line: ~line.contains(fragment)), "")
 
 
@@ -52,8 +57,14 @@ def render_line(line: Column, variables: Column) -> Column:
 
 
 def render_text(text: Column, variables: Column) -> Column:
-    """``render_line`` on each line of a whole text."""
-    return F.array_join(F.transform(text_lines(text), lambda line: render_line(line, variables)), "")
+    """``render_line`` on each line of a whole text.
+
+    Where every variable name holds a ``#`` and none a line end, a line without
+    ``#`` cannot change, so the text is rendered in one piece.
+    """
+    whole = F.forall(variables, lambda var: var["k"].contains("#") & ~var["k"].contains("\n"))
+    by_line = F.array_join(F.transform(text_lines(text), lambda line: render_line(line, variables)), "")
+    return F.when(whole, render_line(text, variables)).otherwise(by_line)
 
 
 def unknown_tokens(value: Column, lookup: Column) -> Column:
@@ -86,21 +97,16 @@ def replace_last(text: Column, sub: str, rep: str = "") -> Column:
     """Replace the last occurrence only; unchanged if there is none."""
     if not sub:
         return text
-    from_end = F.position(F.lit(sub[::-1]), F.reverse(text))
-    head = F.length(text) - from_end + 1 - len(sub)
-    changed = F.concat(
-        F.substring(text, F.lit(1), head),
-        F.lit(rep),
-        F.substring(text, head + 1 + len(sub), F.length(text)),
-    )
-    return F.when(from_end > 0, changed).otherwise(text)
+    # a greedy head leaves the last occurrence to the literal behind it
+    keep = rep.replace("\\", "\\\\").replace("$", "\\$")
+    return F.regexp_replace(text, f"(?s)^(.*){like_literal(sub)}", f"$1{keep}")
 
 
 def env_value(lines: Column, name: str, keep_rest: bool = False) -> Column:
     """Value of the first ``NAME=value`` line; cut at a second ``=`` by default."""
-    parts = F.transform(lines, lambda line: F.split(line, "=", 2 if keep_rest else -1))
-    found = F.filter(parts, lambda p: (F.size(p) > 1) & (p[0] == name))
-    return F.get(F.get(found, F.lit(0)), F.lit(1))
+    first = F.get(F.filter(lines, lambda line: line.startswith(f"{name}=")), F.lit(0))
+    value = F.substring(first, F.lit(len(name) + 2), F.length(first))
+    return value if keep_rest else F.substring_index(value, "=", 1)
 
 
 def parse_property(line: Column) -> Column:
@@ -141,16 +147,17 @@ def _property_line(prop: Column) -> Column:
     ).otherwise(F.concat(prop["key"], F.lit("="), prop["value"], F.lit("\n")))
 
 
-def parse_action(line: Column) -> Column:
-    """``struct<name, value>`` of a ``name: value`` line, NULL if it is none."""
-    pattern = "^\\s*([^:#\\s][^:]*?)\\s*:(?:\\s+(.*?))?\\s*$"
-    return F.when(
-        line.rlike(pattern),
-        F.struct(
-            F.regexp_extract(line, pattern, 1).alias("name"),
-            F.regexp_extract(line, pattern, 2).alias("value"),
-        ),
-    )
+# a name, a colon, and a value set off by a blank
+ACTION = "^\\s*([^:#\\s][^:]*?)\\s*:(?:\\s+(.*?))?\\s*$"
+
+
+def action_name(line: Column) -> Column:
+    """Name of a ``name: value`` line, empty for any other line."""
+    return F.regexp_extract(line, ACTION, 1)
+
+
+def action_value(line: Column) -> Column:
+    return F.regexp_extract(line, ACTION, 2)
 
 
 def rename_path(path: Column, origin: str, target: str) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.jsons import json_depth, leaf_type
+from millrace.operators.skew import spread_join
 from millrace.session import cut_lineage
 
 
@@ -30,25 +31,35 @@ def _unshadowed(latest: DataFrame, separator: str) -> DataFrame:
 
     A scalar set later at an ancestor replaces the subtree; a leaf set later
     below a scalar turns it into an object. Both rules meet only at paths that
-    are a leaf and an ancestor at once, so those are found first.
+    are a leaf and an ancestor at once, so those, mostly few, are found first.
     """
+    nothing = F.lit(None).cast(latest.schema["at"].dataType)
     climbs = latest.select("path", "at", F.explode(_prefixes(F.col("path"), separator)).alias("above"))
-    newest_below = climbs.groupBy("above").agg(F.max("at").alias("below_at"))
-    both = latest.select(F.col("path").alias("above"), F.col("at").alias("own_at")).join(newest_below, "above")
+    both = (
+        latest.select(F.col("path").alias("above"), F.col("at").alias("own_at"), nothing.alias("below_at"))
+        .unionByName(climbs.select("above", nothing.alias("own_at"), F.col("at").alias("below_at")))
+        .groupBy("above")
+        .agg(F.max("own_at").alias("own_at"), F.max("below_at").alias("below_at"))
+        .where("own_at IS NOT NULL AND below_at IS NOT NULL")
+    )
     overridden = both.where("below_at > own_at").select(F.col("above").alias("path"))
     cut_off = climbs.join(both.select("above", "own_at"), "above").where("own_at > at").select("path").distinct()
     return latest.join(overridden.unionByName(cut_off), "path", "left_anti")
 
 
 def layered_resolve(leaves: DataFrame, separator: str = ".") -> DataFrame:
-    """The value of each path once all layers are merged. NULL counts as unset."""
+    """The value of each path once all layers are merged. NULL counts as unset.
+
+    The layers are read once: the latest leaf per path is written to the shared
+    folder, and conflicts are looked for among those.
+    """
     at = F.struct("layer", "seq")
     latest = (
         leaves.where(F.col("value").isNotNull())
         .groupBy("path")
         .agg(F.max_by("value", at).alias("value"), F.max(at).alias("at"))
     )
-    return _unshadowed(latest, separator).select("path", "value", F.col("at.layer").alias("layer"))
+    return _unshadowed(cut_lineage(latest), separator).select("path", "value", F.col("at.layer").alias("layer"))
 
 
 def layered_lists(entries: DataFrame, separator: str = ".") -> DataFrame:
@@ -56,16 +67,15 @@ def layered_lists(entries: DataFrame, separator: str = ".") -> DataFrame:
 
     ``entries`` holds ``(layer, seq, path, values array, op)`` with op ``set`` or
     ``append``. Elements come as rows ordered by (layer, seq, pos), so a list
-    fed by very many appends is never gathered into one row.
+    fed by very many appends is never gathered into one row or task.
     """
     at = F.struct("layer", "seq")
     last = entries.groupBy("path").agg(
         F.max(at).alias("at"), F.max(F.when(F.col("op") == "set", at)).alias("set_at")
     )
-    kept = _unshadowed(last.select("path", "at"), separator).join(last.select("path", "set_at"), "path")
+    kept = _unshadowed(cut_lineage(last), separator).select("path", "set_at")
     return (
-        entries.withColumn("_at", at)
-        .join(kept.select("path", "set_at"), "path")
+        spread_join(entries.withColumn("_at", at), kept, ["path"], ["layer", "seq"])
         .where(F.col("set_at").isNull() | (F.col("_at") >= F.col("set_at")))
         .select("path", "layer", "seq", F.posexplode("values").alias("pos", "value"))
     )
@@ -76,59 +86,83 @@ def layered_lists(entries: DataFrame, separator: str = ".") -> DataFrame:
 REFERENCE = "\\$\\{([^}]*)\\}"
 
 
-def substitution_resolve(tree: DataFrame, max_rounds: int | None = None) -> DataFrame:
+def substitution_resolve(tree: DataFrame) -> DataFrame:
     """Replace ``${path}`` by the value at that path, and ``${?path}`` by it or nothing.
 
     ``tree`` holds one row per ``path`` with its ``value``. The result adds
-    ``status``: resolved; missing, if a reference leads to no path, at once or
-    further on; cycle, if it never ends. Only resolved rows carry a value.
+    ``status``: resolved; cycle, if a reference never ends; missing, if one
+    leads to no path, at once or further on. Only resolved rows carry a value.
 
-    Each round finishes one more level of references. Rows still open, and no
-    others, are written to the shared checkpoint folder between rounds.
+    Each round looks up only the paths that the round before has finished, so
+    every reference is answered once. What a round finishes is written to the
+    shared folder; the loop ends with the first round that finishes nothing.
     """
     rows = tree.select("path", "value")
-    open_rows = rows.where(F.col("value").rlike(REFERENCE))
-    done = [rows.where(~F.coalesce(F.col("value").rlike(REFERENCE), F.lit(False))).withColumn("status", F.lit("resolved"))]
-    n_open, n_round = None, 0
-    while max_rounds is None or n_round < max_rounds:
-        known = reduce(DataFrame.unionByName, [*done, open_rows.withColumn("status", F.lit("open"))])
-        tried = cut_lineage(_one_round(open_rows, known))
-        done.append(tried.where("status <> 'open'"))
-        open_rows = tried.where("status = 'open'").select("path", "value")
-        left, n_round = open_rows.count(), n_round + 1
-        if left == 0 or left == n_open:
+    refers = F.coalesce(F.col("value").rlike(REFERENCE), F.lit(False))
+    plain = rows.where(~refers).withColumn("status", F.lit("resolved"))
+    open_rows = cut_lineage(rows.where(refers))
+    edges = _references(open_rows)
+
+    hits = _answers(edges, plain).unionByName(_dangling(edges, rows))
+    finished, part_answered = [], None
+    while True:
+        answered = _gathered(hits, part_answered)
+        part_answered = answered.where(F.size("texts") < F.col("n"))
+        newly = cut_lineage(_filled(open_rows, answered.where(F.size("texts") == F.col("n"))))
+        if newly.isEmpty():
             break
-        n_open = left
-    stuck = open_rows.select("path", F.lit(None).cast("string").alias("value"), F.lit("cycle").alias("status"))
-    return reduce(DataFrame.unionByName, [*done, stuck])
+        finished.append(newly)
+        hits = _answers(edges, newly)
+    ended = reduce(DataFrame.unionByName, finished, plain)
+    endless = open_rows.join(ended.select("path"), "path", "left_anti").select(
+        "path", F.lit(None).cast("string").alias("value"), F.lit("cycle").alias("status")
+    )
+    return ended.unionByName(endless)
 
 
-def _one_round(open_rows: DataFrame, known: DataFrame) -> DataFrame:
+def _references(open_rows: DataFrame) -> DataFrame:
+    """path, pos, n (references of the value), ref, optional."""
     found = F.regexp_extract_all("value", F.lit(REFERENCE), F.lit(1))
-    refs = open_rows.select("path", F.posexplode(found).alias("pos", "name")).select(
-        "path", "pos", F.col("name").startswith("?").alias("optional"), F.regexp_replace("name", "^\\?", "").alias("ref")
+    each = open_rows.select("path", F.size(found).alias("n"), F.posexplode(found).alias("pos", "name"))
+    return each.select(
+        "path", "n", "pos", F.regexp_replace("name", "^\\?", "").alias("ref"),
+        F.col("name").startswith("?").alias("optional"),
     )
-    lookup = known.select(F.col("path").alias("ref"), F.col("value").alias("text"), "status")
-    absent = F.col("status").isNull() & ~F.col("optional")
-    answers = (
-        refs.join(lookup, "ref", "left")
-        .groupBy("path")
-        .agg(
-            F.bool_or(F.coalesce(F.col("status") == "open", F.lit(False))).alias("waits"),
-            F.bool_or(absent | F.coalesce(F.col("status") == "missing", F.lit(False))).alias("fails"),
-            # as many entries as one value has references
-            F.array_sort(F.collect_list(F.struct("pos", F.coalesce("text", F.lit("")).alias("text")))).alias("texts"),
-        )
+
+
+def _answers(edges: DataFrame, ended: DataFrame) -> DataFrame:
+    """The references that lead to a path that has just ended."""
+    known = ended.select(
+        F.col("path").alias("ref"), F.coalesce("value", F.lit("")).alias("text"),
+        (F.col("status") == "missing").alias("lost"),
     )
+    return edges.join(known, "ref").select("path", "n", "pos", "text", "lost")
+
+
+def _dangling(edges: DataFrame, rows: DataFrame) -> DataFrame:
+    """The references that lead nowhere; an optional one stands for nothing."""
+    nowhere = edges.join(rows.select(F.col("path").alias("ref")), "ref", "left_anti")
+    return nowhere.select("path", "n", "pos", F.lit("").alias("text"), (~F.col("optional")).alias("lost"))
+
+
+def _gathered(hits: DataFrame, before: DataFrame | None) -> DataFrame:
+    """Answers so far per path: at most as many as its value has references."""
+    answer = F.struct("pos", "text", "lost")
+    new = hits.groupBy("path", "n").agg(F.collect_list(answer).alias("texts"))
+    if before is None:
+        return cut_lineage(new)
+    merged = new.unionByName(before).groupBy("path", "n").agg(F.flatten(F.collect_list("texts")).alias("texts"))
+    return cut_lineage(merged)
+
+
+def _filled(open_rows: DataFrame, answered: DataFrame) -> DataFrame:
+    """Values with each reference replaced by its answer."""
     between = F.split("value", REFERENCE, -1)
-    filled = F.array_join(
-        F.zip_with(between, F.col("texts.text"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), ""
-    )
-    status = F.when(F.col("fails"), "missing").when(F.col("waits"), "open").otherwise("resolved")
-    return open_rows.join(answers, "path").select(
-        "path",
-        F.when(status == "resolved", filled).when(status == "open", F.col("value")).alias("value"),
-        status.alias("status"),
+    texts = F.transform(F.array_sort("texts"), lambda t: t["text"])
+    whole = F.array_join(F.zip_with(between, texts, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    lost = F.exists("texts", lambda t: t["lost"])
+    return open_rows.join(answered, "path").select(
+        "path", F.when(~lost, whole).alias("value"), F.when(lost, "missing").otherwise("resolved").alias("status")
     )
 
 

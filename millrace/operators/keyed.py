@@ -33,8 +33,21 @@ def upsert_by_key(
     keys: Sequence[str],
     order: Sequence[str] = ("write_ts",),
 ) -> DataFrame:
-    """Insert or replace by primary key; the row latest by ``order`` wins."""
-    return latest_by(table.unionByName(updates), keys, order)
+    """Insert or replace by primary key; the row latest by ``order`` wins.
+
+    ``table`` has one row per key already, so only the updates are reduced; the
+    table itself is shuffled and sorted once, by the join.
+    """
+    old = table.withColumn("_here", F.lit(True)).alias("old")
+    new = latest_by(updates, keys, order).withColumn("_here", F.lit(True)).alias("new")
+    old_at, new_at = F.struct(*[f"old.{c}" for c in order]), F.struct(*[f"new.{c}" for c in order])
+    takes_new = F.col("new._here").isNotNull() & (F.col("old._here").isNull() | (new_at >= old_at))
+    values = [
+        F.when(takes_new, F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")).alias(c)
+        for c in table.columns
+        if c not in keys
+    ]
+    return old.join(new, list(keys), "full").select(*keys, *values).select(*table.columns)
 
 
 def upsert_columns(
@@ -65,8 +78,12 @@ def write_batches(rows: DataFrame, path: str, batch_size: int, mode: str = "appe
 
 
 def delete_by_key(table: DataFrame, deleted: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows that remain once the given primary keys are gone."""
-    return table.join(deleted.select(*keys), list(keys), "left_anti")
+    """Rows that remain once the given primary keys are gone.
+
+    A key deleted very often is first reduced to one, since a join cannot split
+    the side it looks up.
+    """
+    return table.join(deleted.select(*keys).distinct(), list(keys), "left_anti")
 
 
 # -- lifecycle -----------------------------------------------------------------

@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from millrace.constants import CLIENT_MAX_BYTES, DEFAULT_REPLAY_TOPIC, MONITOR_MAX_BYTES
 from millrace.functions.jsons import canonical_json, canonical_or_raw, pretty_json
@@ -39,18 +42,29 @@ TOPIC_SCHEMA = (
 )
 
 
+def config_frame(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """Configuration rows as a local relation, whose size the optimiser knows.
+
+    So a join with it is broadcast while it is small, and only then.
+    """
+    kind = to_arrow_schema(StructType.fromDDL(schema))
+    columns = list(zip(*rows)) if rows else [()] * len(kind)
+    arrays = [pa.array([list(v.items()) if isinstance(v, dict) else v for v in col], f.type) for col, f in zip(columns, kind)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=kind))
+
+
 def topics_frame(spark: SparkSession, topics: Sequence[Topic]) -> DataFrame:
-    """Configured topics as rows; a join picks its strategy from their known size."""
+    """Configured topics as rows."""
     rows = [
         (t.name, t.num_partitions, t.other_channels, t.replication_factor, t.verbose, dict(t.config))
         for t in topics
     ]
-    return spark.createDataFrame(rows, TOPIC_SCHEMA)
+    return config_frame(spark, rows, TOPIC_SCHEMA)
 
 
 def groups_frame(spark: SparkSession, groups: Sequence[Group]) -> DataFrame:
     rows = [(g.name, list(g.publish), list(g.subscribe)) for g in groups]
-    return spark.createDataFrame(rows, "group string, publish array<string>, subscribe array<string>")
+    return config_frame(spark, rows, "group string, publish array<string>, subscribe array<string>")
 
 
 def decode_record(records: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ from millrace.functions.names import (
     valid_dir,
     valid_file,
 )
+from millrace.functions.text import rename_path
 
 NameTest = Callable[[Column], Column]
 
@@ -209,7 +210,7 @@ def delete_by_prefix(listing: DataFrame, prefix: str = "") -> DataFrame:
 
 def delete_objects(listing: DataFrame, deleted: DataFrame) -> DataFrame:
     """Objects left once single keys are deleted."""
-    return listing.join(deleted.select("bucket", "key"), ["bucket", "key"], "left_anti")
+    return listing.join(deleted.select("bucket", "key").distinct(), ["bucket", "key"], "left_anti")
 
 
 def clone_plan(
@@ -220,8 +221,6 @@ def clone_plan(
     ignored_files: Sequence[str] = (),
 ) -> DataFrame:
     """Files of a tree to clone: none below a directory with an ignored ending."""
-    from millrace.functions.text import rename_path
-
     kept = filtered_walk(
         files,
         dir_test=lambda d: ~ends_with_any(d, ignored_dirs),

@@ -23,7 +23,7 @@ from millrace.constants import (
     STEP_FAILED,
     STEP_MAX_POLLS,
 )
-from millrace.functions.text import parse_action
+from millrace.functions.text import action_name, action_value
 from millrace.operators.ranking import numbered
 from millrace.operators.skew import spread_join
 
@@ -175,16 +175,17 @@ def batch_order(
     )
     order = Window.orderBy(key.desc() if delete else key.asc())
     batches = items.select("batch_key").distinct().withColumn("batch_no", F.row_number().over(order).cast("long"))
-    return numbered_items.join(batches, "batch_key")
+    return numbered_items.join(batches, "batch_key", "left")
 
 
 # -- actions and waits ----------------------------------------------------------------
 
 def action_rows(lines: DataFrame) -> DataFrame:
     """Name and value of each report line; lines that hold none are dropped."""
-    parsed = lines.withColumn("_action", parse_action(F.col("line"))).where("_action IS NOT NULL")
+    line = F.col("line")
     rest = [c for c in lines.columns if c != "line"]
-    return parsed.select(*rest, F.col("_action.name").alias("name"), F.col("_action.value").alias("value"))
+    parsed = lines.select(*rest, action_name(line).alias("name"), action_value(line).alias("value"))
+    return parsed.where(F.col("name") != "")
 
 
 def latest_action(lines: DataFrame) -> DataFrame:

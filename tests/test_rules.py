@@ -138,10 +138,8 @@ def test_property_lines(spark):
 
 def test_action_lines(spark):
     lines = ["a: 1", "plain", "b:", "c:d", "  e :  f g ", "", "# x: y"]
-    got = column(spark, lines, fx.parse_action)
-    assert [None if r is None else tuple(r) for r in got] == [
-        ("a", "1"), None, ("b", ""), None, ("e", "f g"), None, None,
-    ]
+    assert column(spark, lines, fx.action_name) == ["a", "", "b", "", "e", "", ""]
+    assert column(spark, lines, fx.action_value) == ["1", "", "", "", "f g", "", ""]
 
 
 def test_json_columns(spark):
@@ -478,3 +476,18 @@ def test_sync_prefix_is_a_directory(spark):
         source.withColumn("key", F.concat(F.lit("r/"), "key")), dest, "r", "n", ["a", "ab"]
     )
     assert {r.dest_key for r in many.collect()} == {"n/a/x", "n/a/y", "n/a/z", "n/ab/x"}
+
+
+def test_special_characters_are_literal(spark):
+    texts = ["a.b$c.b$", "x\\y\\y", "(p)(p)", ""]
+    assert column(spark, texts, lambda c: fx.replace_last(c, "b$", "$1\\")) == ["a.b$c.$1\\", "x\\y\\y", "(p)(p)", ""]
+    assert column(spark, texts, lambda c: fx.replace_last(c, "\\y", "")) == ["a.b$c.b$", "x\\y", "(p)(p)", ""]
+    assert column(spark, ["(p)\nq\n"], lambda c: fx.without_lines_with(c, "(p)")) == ["q\n"]
+    assert column(spark, ["a\nb\n"], lambda c: fx.without_lines_with(c, "a\n")) == ["b\n"]
+
+
+def test_render_of_marked_names_in_one_piece(spark):
+    variables = F.array(
+        F.struct(F.lit("#a#").alias("k"), F.lit("#b#").alias("v")), F.struct(F.lit("#b#").alias("k"), F.lit("B").alias("v"))
+    )
+    assert column(spark, ["#a# #b#\nb\n#c#", ""], lambda c: fx.render_text(c, variables)) == ["B B\nb\n#c#", ""]
