@@ -21,6 +21,9 @@ CLUSTER_STATES = [
     "TERMINATING", "TERMINATED", "TERMINATED_WITH_ERRORS",
 ]
 
+# Master that local steps are submitted to.
+LOCAL_MASTER = "spark://127.0.0.1:7077"
+
 # Replicas that are enough to call a still growing set ready.
 ENOUGH_REPLICAS = 20
 

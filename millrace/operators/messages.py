@@ -223,12 +223,11 @@ def topic_summary(records: DataFrame) -> DataFrame:
     )
 
 
-def last_message(records: DataFrame) -> DataFrame:
-    """The newest record of each topic partition."""
-    return records.groupBy("topic", "partition").agg(
-        F.max("offset").alias("offset"),
-        F.max_by("key", "offset").alias("key"),
-        F.max_by("value", "offset").alias("value"),
+def last_message(records: DataFrame, by: Sequence[str] = ("topic", "partition")) -> DataFrame:
+    """The newest record of each topic partition, or of what else ``by`` names."""
+    rest = [c for c in records.columns if c not in (*by, "offset")]
+    return records.groupBy(*by).agg(
+        F.max("offset").alias("offset"), *[F.max_by(c, "offset").alias(c) for c in rest]
     )
 
 

@@ -16,6 +16,7 @@ from millrace.constants import (
     CLUSTER_READY,
     ENOUGH_REPLICAS,
     FILE_MAX_POLLS,
+    LOCAL_MASTER,
     READY_INTERVAL,
     READY_TIMEOUT,
     STEP_ACTIVE,
@@ -136,17 +137,28 @@ def jobs_active(steps: DataFrame) -> DataFrame:
     return steps.groupBy("job").agg(F.bool_or(F.col("state").isin(STEP_ACTIVE)).alias("active"))
 
 
-def step_rows(groups: DataFrame, path: Sequence[str], runtime_env: Column, unique_name: Column, bucket: Column) -> DataFrame:
-    """One row per step of a nested job group, with its submit arguments."""
+def _steps(groups: DataFrame, path: Sequence[str], args: Sequence[Column]) -> DataFrame:
     group = F.col(path[0])
     for key in path[1:]:
         group = group[key]
     rest = [c for c in groups.columns if c != path[0]]
-    args = F.array(
+    return groups.select(*rest, F.explode(group).alias("step", "conf")).withColumn("args", F.array(*args)).drop("conf")
+
+
+def step_rows(groups: DataFrame, path: Sequence[str], runtime_env: Column, unique_name: Column, bucket: Column) -> DataFrame:
+    """One row per step of a nested job group, with its submit arguments."""
+    return _steps(groups, path, [
         F.lit("spark-submit"), F.lit("--class"), F.col("conf.main_class"), F.lit("--deploy-mode"), F.lit("client"),
         F.col("conf.jar_path"), F.lit("-re"), runtime_env, F.lit("-u"), unique_name, F.lit("-nb"), bucket,
-    )
-    return groups.select(*rest, F.explode(group).alias("step", "conf")).withColumn("args", args).drop("conf")
+    ])
+
+
+def local_step_rows(groups: DataFrame, path: Sequence[str], unique_name: Column, bucket: Column, master: str = LOCAL_MASTER) -> DataFrame:
+    """The same steps for a local master, which takes another jar and environment."""
+    return _steps(groups, path, [
+        F.lit("spark-submit"), F.lit("--master"), F.lit(master), F.lit("--class"), F.col("conf.main_class"),
+        F.col("conf.local_jar_path"), F.lit("-re"), F.lit("local"), F.lit("-u"), unique_name, F.lit("-nb"), bucket,
+    ])
 
 
 def cluster_select(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from millrace.operators import keyed as ops
 from millrace.plans.bindings import order_rows, order_updates
 from millrace.plans.registry import query, table
+from millrace.session import scratch_path
 
 UPDATES_SQL = """
 updates AS (
@@ -93,6 +94,28 @@ def delete_by_key(spark, sf_dir):
     )
 
 
+@query("create_table", """
+SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 10 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice,
+       CAST(CASE WHEN o_orderkey % 10 = 0 THEN 1 ELSE 0 END AS BIGINT) AS write_ts
+FROM orders WHERE o_orderstatus <> 'P'
+UNION ALL
+SELECT -o_orderkey - 1, o_custkey, o_totalprice, 1 FROM orders WHERE o_orderkey % 10 = 0
+""")
+def create_table(spark, sf_dir):
+    """Create a table, fill it, update it, delete pending orders, and drop keyspace and table again."""
+    path = scratch_path(spark, "table")
+    keyspace = "millrace_" + path[-8:]
+    orders = ops.KeyedTable(spark, keyspace, "orders", ["o_orderkey"], path)
+    orders.create("o_orderkey bigint, o_custkey bigint, o_totalprice double, write_ts bigint")
+    try:
+        orders.upsert(order_rows(spark, sf_dir), "filled")
+        orders.upsert(order_updates(spark, sf_dir), "updated")
+        orders.delete(table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select("o_orderkey"), "pruned")
+        return spark.read.parquet(f"{path}/pruned")
+    finally:
+        ops.drop_keyspace(spark, keyspace)
+
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels"
     " conversations"

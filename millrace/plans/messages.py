@@ -168,6 +168,19 @@ def last_message(spark, sf_dir):
     return ops.last_message(ops.decode_record(raw_records(spark, sf_dir)))
 
 
+@query("last_message_of_topic", f"""
+WITH {MESSAGES_SQL}, latest AS (SELECT topic, max(event_id) AS event_id FROM msg GROUP BY topic)
+SELECT topic, event_id AS "offset", key, value FROM latest JOIN msg USING (topic, event_id)
+""")
+def last_message_of_topic(spark, sf_dir):
+    """Over a whole topic, the event number standing for the offset."""
+    records = table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("topic"), F.col("event_id").alias("offset"),
+        F.col("user_id").cast("string").alias("key"), F.col("props").alias("value"),
+    )
+    return ops.last_message(records, ["topic"])
+
+
 @query("json_pretty", f"""
 WITH {BODIES_SQL}
 SELECT id, CASE WHEN json_valid(body) THEN CAST(json(body) AS VARCHAR) ELSE body END AS value,

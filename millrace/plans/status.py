@@ -220,22 +220,38 @@ SELECT p_partkey, unnest(['ingest', 'purify']) AS step,
 FROM part
 """)
 def step_rows(spark, sf_dir):
+    groups = _job_groups(spark, sf_dir)
+    rows = ops.step_rows(groups, ["pipelines", "kafka", "jobs"], F.lit("aws"), F.col("p_name"), F.col("p_brand"))
+    return rows.select("p_partkey", "step", F.array_join("args", " ").alias("args"))
+
+
+@query("step_rows_local", """
+SELECT p_partkey, unnest(['ingest', 'purify']) AS step,
+       unnest(['spark-submit --master spark://127.0.0.1:7077 --class lib.' || p_type || ' /jars/in.jar',
+               'spark-submit --master spark://127.0.0.1:7077 --class lib.' || p_type || '.Pure /jars/pure.jar'])
+         || ' -re local -u ' || p_name || ' -nb ' || p_brand AS args
+FROM part
+""")
+def step_rows_local(spark, sf_dir):
+    groups = _job_groups(spark, sf_dir)
+    rows = ops.local_step_rows(groups, ["pipelines", "kafka", "jobs"], F.col("p_name"), F.col("p_brand"))
+    return rows.select("p_partkey", "step", F.array_join("args", " ").alias("args"))
+
+
+def _job_groups(spark, sf_dir):
     """A part as a pipeline whose job group names two steps."""
 
     def conf(suffix, jar):
         return F.struct(
             F.concat(F.lit("lib."), "p_type", F.lit(suffix)).alias("main_class"),
             F.concat(F.lit("s3://"), "p_brand", F.lit(jar)).alias("jar_path"),
+            F.lit(f"/jars{jar}").alias("local_jar_path"),
         )
 
     steps = F.create_map(F.lit("ingest"), conf("", "/in.jar"), F.lit("purify"), conf(".Pure", "/pure.jar"))
-    groups = table(spark, sf_dir, "part").select(
+    return table(spark, sf_dir, "part").select(
         "p_partkey", "p_name", "p_brand", F.struct(F.struct(steps.alias("jobs")).alias("kafka")).alias("pipelines")
     )
-    rows = ops.step_rows(
-        groups, ["pipelines", "kafka", "jobs"], F.lit("aws"), F.col("p_name"), F.col("p_brand")
-    )
-    return rows.select("p_partkey", "step", F.array_join("args", " ").alias("args"))
 
 
 ORDER_SQL = """

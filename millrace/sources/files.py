@@ -1,16 +1,24 @@
-"""File sources: object listings, whole JSON and text files, properties.
+"""File sources: object listings, tree walks, whole JSON and text files, properties.
 
-Spark itself skips files and directories whose name starts with ``_`` or ``.``.
+Spark's own readers skip files and directories whose name starts with ``_`` or
+``.``, and keep the list of files on the driver; ``walk_tree`` does neither.
 """
 
 from __future__ import annotations
 
+import os
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.names import rstrip
 from millrace.functions.text import parse_property, text_lines
+from millrace.session import cut_lineage
+from millrace.sources.writers import open_uri
 
 LISTING = "path string, size long, mtime timestamp"
 
@@ -76,3 +84,63 @@ def properties_files(spark: SparkSession, root: str, name_glob: str = "*.propert
         .select(F.col("path").alias("file"), F.posexplode(F.transform(lines, parse_property)).alias("seq", "prop"))
         .select("file", "seq", "prop.*")
     )
+
+
+NameTest = Callable[[Column], Column]
+ENTRIES = "kind string, path string, name string, size long, mtime timestamp"
+
+
+def _list_directories(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The entries of each directory; one that cannot be read gives an error entry."""
+    from pyarrow import fs
+
+    for batch in batches:
+        for uri in batch["path"]:
+            rows = []
+            try:
+                system, folder = open_uri(uri)
+                for info in system.get_file_info(fs.FileSelector(folder)):
+                    inner = info.type == fs.FileType.Directory
+                    if inner and isinstance(system, fs.LocalFileSystem) and os.path.islink(info.path):
+                        continue
+                    rows.append((
+                        "dir" if inner else "file", f"{uri.rstrip('/')}/{info.base_name}", info.base_name,
+                        None if inner else info.size, info.mtime,
+                    ))
+            except OSError as error:
+                rows.append(("error", uri, str(error), None, None))
+            yield pd.DataFrame(rows, columns=["kind", "path", "name", "size", "mtime"])
+
+
+def walk_tree(
+    spark: SparkSession,
+    root: str,
+    dir_test: NameTest | None = None,
+    file_test: NameTest | None = None,
+    tasks: int | None = None,
+    errors: bool = False,
+) -> DataFrame:
+    """path, name, size, mtime and depth of the files of a tree, listed by the tasks.
+
+    One job lists one level of directories, spread over the executors, and
+    writes what it finds to the shared folder. A refused directory is never
+    listed, so its subtree costs nothing. Linked directories are not followed.
+    ``errors`` adds a row, with NULL depth, per directory that cannot be read.
+    """
+    spread = tasks or spark.sparkContext.defaultParallelism
+    level = spark.createDataFrame([(root.rstrip("/") or "/",)], "path string")
+    found, depth = [], 0
+    while True:
+        listed = cut_lineage(level.repartition(spread, "path").mapInPandas(_list_directories, ENTRIES))
+        kept = listed.where(F.col("kind") == "file")
+        if file_test is not None:
+            kept = kept.where(file_test(F.col("name")))
+        found.append(kept.withColumn("depth", F.lit(depth)))
+        if errors:
+            found.append(listed.where(F.col("kind") == "error").withColumn("depth", F.lit(None).cast("int")))
+        level = listed.where(F.col("kind") == "dir")
+        if dir_test is not None:
+            level = level.where(dir_test(F.col("name")))
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, found).drop("kind")
+        level, depth = level.select("path"), depth + 1

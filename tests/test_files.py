@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as fx
 from millrace.functions.jsons import beautified_json
+from millrace.functions.names import valid_dir, valid_file
 from millrace.operators import objects
 from millrace.sources import files, writers
 
@@ -135,3 +136,33 @@ def test_clone_tree(spark, tree, tmp_path):
     assert writers.write_text_files(plan).where("ok").count() == 4
     assert (tmp_path / "out/m/fr/a.json").exists() and not (tmp_path / "out/m/conf").exists()
     assert (tmp_path / "out/m/e.txt").read_text() == "fancy"
+
+
+def test_walk_lists_in_the_tasks(spark, tree):
+    (tree / ".hidden/x").mkdir(parents=True)
+    (tree / ".hidden/x/in.txt").write_text("1")
+    (tree / "target/deep/er").mkdir(parents=True)
+    (tree / "target/deep/er/out.txt").write_text("22")
+    os.symlink(tree / "en", tree / "linked")
+
+    def walked(**tests):
+        rows = files.walk_tree(spark, str(tree), tasks=3, **tests).collect()
+        return {os.path.relpath(r.path, tree): (r.size, r.depth) for r in rows}
+
+    everything = walked()
+    assert everything[".hidden/x/in.txt"] == (1, 2) and everything["target/deep/er/out.txt"] == (2, 3)
+    assert not any(p.startswith("linked") for p in everything)
+    pruned = walked(
+        dir_test=lambda d: valid_dir(d, ["target"]), file_test=lambda f: valid_file(f, [".txt", ".tmpl"])
+    )
+    assert set(pruned) == {"en/a.json", "en/b.json.bak", "en/sub/c.json", "conf/app.properties"}
+    want = {
+        os.path.relpath(os.path.join(d, f), tree) for d, _, names in os.walk(tree) for f in names
+    }
+    assert set(everything) == want
+
+
+def test_walk_reports_what_it_cannot_read(spark, tree):
+    gone = files.walk_tree(spark, str(tree / "nowhere"), errors=True).collect()
+    assert len(gone) == 1 and gone[0].depth is None
+    assert files.walk_tree(spark, str(tree / "nowhere")).count() == 0
