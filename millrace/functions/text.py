@@ -141,6 +141,24 @@ def append_property_text(text: Column, addition: Column) -> Column:
     return F.concat(text, F.array_join(rows, ""))
 
 
+def render_property_text(text: Column, lookup: Column) -> Column:
+    """A properties template as its instance: values filled, comments reformatted.
+
+    NULL if a value names a token the lookup map does not know.
+    """
+    lines = F.filter(
+        F.transform(text_lines(text), lambda line: F.regexp_replace(line, "[\r\n]+$", "")),
+        lambda line: F.trim(line) != "",
+    )
+    rendered = F.transform(F.transform(lines, parse_property), lambda prop: _rendered_line(prop, lookup))
+    return F.when(~F.exists(rendered, lambda line: line.isNull()), F.array_join(rendered, ""))
+
+
+def _rendered_line(prop: Column, lookup: Column) -> Column:
+    value = F.when(prop["is_comment"], prop["value"]).otherwise(render_property(prop["value"], lookup))
+    return _property_line(F.struct(prop["key"].alias("key"), value.alias("value"), prop["is_comment"].alias("is_comment")))
+
+
 def _property_line(prop: Column) -> Column:
     return F.when(
         prop["is_comment"], F.concat(F.lit("\n\n#  "), prop["value"], F.lit("\n"))

@@ -106,9 +106,9 @@ def substitution_resolve(tree: DataFrame) -> DataFrame:
     hits = _answers(edges, plain).unionByName(_dangling(edges, rows))
     finished, part_answered = [], None
     while True:
-        answered = _gathered(hits, part_answered)
-        part_answered = answered.where(F.size("texts") < F.col("n"))
-        newly = cut_lineage(_filled(open_rows, answered.where(F.size("texts") == F.col("n"))))
+        tried = cut_lineage(_filled(open_rows, _gathered(hits, part_answered)))
+        newly = tried.where(F.col("status") != "open").select("path", "value", "status")
+        part_answered = tried.where(F.col("status") == "open").select("path", "n", "texts")
         if newly.isEmpty():
             break
         finished.append(newly)
@@ -147,22 +147,25 @@ def _dangling(edges: DataFrame, rows: DataFrame) -> DataFrame:
 
 def _gathered(hits: DataFrame, before: DataFrame | None) -> DataFrame:
     """Answers so far per path: at most as many as its value has references."""
-    answer = F.struct("pos", "text", "lost")
-    new = hits.groupBy("path", "n").agg(F.collect_list(answer).alias("texts"))
+    new = hits.groupBy("path", "n").agg(F.collect_list(F.struct("pos", "text", "lost")).alias("texts"))
     if before is None:
-        return cut_lineage(new)
-    merged = new.unionByName(before).groupBy("path", "n").agg(F.flatten(F.collect_list("texts")).alias("texts"))
-    return cut_lineage(merged)
+        return new
+    return new.unionByName(before).groupBy("path", "n").agg(F.flatten(F.collect_list("texts")).alias("texts"))
 
 
 def _filled(open_rows: DataFrame, answered: DataFrame) -> DataFrame:
-    """Values with each reference replaced by its answer."""
+    """Values whose references all have an answer, filled; the rest stays open with its answers."""
     between = F.split("value", REFERENCE, -1)
     texts = F.transform(F.array_sort("texts"), lambda t: t["text"])
     whole = F.array_join(F.zip_with(between, texts, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    waits = F.size("texts") < F.col("n")
     lost = F.exists("texts", lambda t: t["lost"])
     return open_rows.join(answered, "path").select(
-        "path", F.when(~lost, whole).alias("value"), F.when(lost, "missing").otherwise("resolved").alias("status")
+        "path",
+        "n",
+        F.when(waits, F.col("texts")).alias("texts"),
+        F.when(~waits & ~lost, whole).alias("value"),
+        F.when(waits, "open").when(lost, "missing").otherwise("resolved").alias("status"),
     )
 
 

@@ -7,13 +7,15 @@ holding most of the rows costs no more than many small ones.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.constants import (
     ACTION_MAX_POLLS,
-    CLUSTER_READY,
+    CLUSTER_STATES,
+    CLUSTERS_SINCE,
     ENOUGH_REPLICAS,
     FILE_MAX_POLLS,
     LOCAL_MASTER,
@@ -162,9 +164,12 @@ def local_step_rows(groups: DataFrame, path: Sequence[str], unique_name: Column,
 
 
 def cluster_select(
-    clusters: DataFrame, fragment: str, created_after, states: Sequence[str] = tuple(CLUSTER_READY)
+    clusters: DataFrame,
+    fragment: str,
+    created_after: datetime = CLUSTERS_SINCE,
+    states: Sequence[str] = tuple(CLUSTER_STATES),
 ) -> DataFrame:
-    """The newest cluster of a name, in a usable state, created after a date."""
+    """The newest cluster of a name, in one of the states, created after a date."""
     return (
         clusters.where(F.col("state").isin(list(states)))
         .where(F.col("created") > F.lit(created_after))

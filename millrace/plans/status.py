@@ -6,6 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from millrace.constants import CLUSTER_READY
 from millrace.operators import status as ops
 from millrace.plans.bindings import (
     ACTIONS_SQL,
@@ -209,7 +210,7 @@ def cluster_select(spark, sf_dir):
         F.coalesce(state, F.lit("TERMINATED")).alias("state"),
         F.col("o_orderdate").alias("created"),
     )
-    return ops.cluster_select(clusters, "HIGH", datetime(1996, 6, 1)).select("id", "name")
+    return ops.cluster_select(clusters, "HIGH", datetime(1996, 6, 1), CLUSTER_READY).select("id", "name")
 
 
 @query("step_rows", """

@@ -127,6 +127,23 @@ def prop_render(spark, sf_dir):
     )
 
 
+@query("prop_render_file", """
+WITH flat AS (SELECT doc_id, lang, source, rtrim(ltrim(replace(replace(text, chr(10), ' '), '#', ''), ' '), ' ') AS note
+              FROM documents)
+SELECT doc_id, 'lang=' || lang || chr(10) || 'note=' || replace(replace(replace(note, 'lang', lang), 'source', source), '"', '')
+       || ' ' || lang || '/' || source || chr(10) || chr(10) || chr(10) || '#  from ' || source || chr(10) AS text
+FROM flat
+""")
+def prop_render_file(spark, sf_dir):
+    """A properties template per document, the whole text as one of its values."""
+    flat = F.trim(F.replace(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("#"), F.lit("")))
+    template = F.concat(
+        F.lit('lang="#lang#"\n\nnote='), flat, F.lit(" #lang#/#source#\n# from "), "source", F.lit("\n")
+    )
+    lookup = F.create_map(F.lit("lang"), "lang", F.lit("source"), "source")
+    return table(spark, sf_dir, "documents").select("doc_id", fx.render_property_text(template, lookup).alias("text"))
+
+
 def _property_text():
     """Three lines of properties per document, the first note holding its whole text in one line."""
     flat = F.replace("text", F.lit("\n"), F.lit(" "))

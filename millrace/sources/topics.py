@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from millrace.constants import CLIENT_MAX_BYTES, CONSUMER_TIMEOUT_MS
+from millrace.constants import CLIENT_MAX_BYTES, CONSUMER_TIMEOUT_MS, DEFAULT_LISTENER
 
 
 def choose_topics(configured: Sequence[str], override: str | None = None) -> list[str]:
@@ -16,6 +16,11 @@ def choose_topics(configured: Sequence[str], override: str | None = None) -> lis
     return [override] if override is not None else list(configured)
 
 
+def choose_group(groups: Mapping[str, str], topic: str | None = None, override: str | None = None) -> str:
+    """The group id named, else the one configured for the topic, else the listener's."""
+    return override if override is not None else groups[topic or DEFAULT_LISTENER]
+
+
 def read_options(brokers: str, topics: Sequence[str], group: str | None = None) -> dict[str, str]:
     """Options of a subscription from the earliest offset that fails on lost data."""
     options = {

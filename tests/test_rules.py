@@ -88,6 +88,13 @@ def test_property_render(spark):
         column(spark, ["#zz#"], lambda c: fx.render_property(c, known, strict=True))
 
 
+def test_property_template_as_a_file(spark):
+    known = F.create_map(F.lit("a"), F.lit("1"))
+    texts = ['# top\n\nk = "#a#"\nplain="a"\n', "k=#b#\nx=1\n"]
+    got = column(spark, texts, lambda c: fx.render_property_text(c, known))
+    assert got == ["\n\n#  top\nk=1\nplain=a\n", None]
+
+
 @pytest.mark.parametrize("sub", ["a", "aa", "ab", "aba"])
 def test_replace_last(spark, sub):
     rng = random.Random(4)

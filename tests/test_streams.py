@@ -138,6 +138,10 @@ def test_progress_of_each_batch_is_kept(spark, parts, tmp_path):
 def test_connector_options():
     read = topics.read_options("h:9092", ["a", "b"], "g")
     assert read["subscribe"] == "a,b" and read["startingOffsets"] == "earliest" and read["kafka.group.id"] == "g"
+    groups = {"monitor": "m", "a": "x"}
+    assert [topics.choose_group(groups), topics.choose_group(groups, "a"), topics.choose_group(groups, "a", "o")] == [
+        "m", "x", "o",
+    ]
     assert topics.write_options("h:9092")["kafka.max.request.size"] == "15048576"
 
 
