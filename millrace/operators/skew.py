@@ -7,6 +7,28 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+ROWS_PER_SLICE = 1_000_000
+MOST_HOT_KEYS = 1000
+
+
+def hot_keys(facts: DataFrame, on: Sequence[str], rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame | None:
+    """The keys with the most rows above ``rows_per_slice``, and the slices each needs.
+
+    At most ``MOST_HOT_KEYS`` rows reach the driver. A key left out of so many
+    hotter ones holds less than a thousandth of the rows, and is joined like
+    any other. None if no key is hot.
+    """
+    top = (
+        facts.groupBy(*on)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .where(F.col("_n") > rows_per_slice)
+        .orderBy(F.desc("_n"))
+        .limit(MOST_HOT_KEYS)
+        .select(*on, F.ceil(F.col("_n") / rows_per_slice).cast("int").alias("_slices"))
+        .toArrow()
+    )
+    return facts.sparkSession.createDataFrame(top) if top.num_rows else None
+
 
 def spread_join(
     facts: DataFrame,
@@ -14,16 +36,27 @@ def spread_join(
     on: Sequence[str],
     spread_by: Sequence[str],
     how: str = "inner",
-    slices: int = 16,
+    rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
-    """Join on ``on`` with the facts of a key spread over ``slices`` partitions.
+    """Join on ``on`` with the facts of a hot key spread over several tasks.
 
-    The slice is a hash of ``spread_by``, so it does not change when a task is
-    repeated. A later aggregation by ``on`` combines per slice before it
-    shuffles. ``lookup`` holds one narrow row per key and is copied per slice.
+    The slice of a fact is a hash of ``spread_by``, so it does not change when
+    a task is repeated. ``lookup`` holds one narrow row per key; only the rows
+    of hot keys are copied, one per slice. A later aggregation by ``on``
+    combines per slice before it shuffles.
     """
-    spread = facts.withColumn(
-        "_slice", F.pmod(F.xxhash64(*spread_by), F.lit(slices)).cast("int")
+    hot = hot_keys(facts, on, rows_per_slice)
+    if hot is None:
+        return facts.join(lookup, list(on), how)
+    slices = F.coalesce("_slices", F.lit(1))
+    spread = (
+        facts.join(hot, list(on), "left")
+        .withColumn("_slice", F.pmod(F.xxhash64(*spread_by), slices).cast("int"))
+        .drop("_slices")
+    )
+    copies = (
+        lookup.join(hot, list(on), "left")
+        .withColumn("_slice", F.explode(F.sequence(F.lit(0), slices - 1)))
+        .drop("_slices")
     )
-    copies = lookup.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     return spread.join(copies, [*on, "_slice"], how).drop("_slice")

@@ -117,9 +117,14 @@ def test_row_numbers_of_a_hot_group_are_spread(spark, no_broadcast):
 
 def test_joins_on_a_hot_key_are_spread(spark, no_broadcast):
     lookup = hot(spark).groupBy("key").agg(F.min("id").alias("first"))
-    joined = skew.spread_join(hot(spark), lookup, ["key"], ["id"])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10000")
+    joined = skew.spread_join(hot(spark), lookup, ["key"], ["id"], rows_per_slice=1000)
     assert joined.count() == 40_000
     assert largest_share(joined) < 0.4
+    slices = {r.key: r._slices for r in skew.hot_keys(hot(spark), ["key"], 1000).collect()}
+    assert slices == {"hot": 36}
+    plain = skew.spread_join(hot(spark), lookup, ["key"], ["id"])
+    assert "_slice" not in plan_of(plain) and sorted(plain.collect()) == sorted(joined.select(*plain.columns).collect())
 
 
 def test_hot_keys_keep_all_rows(spark, no_broadcast):
