@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, html_extract, jaccard_join, language_id, license_scan, packing, quality_rules, warc
+from millrace.llm import bpe, html_extract, jaccard_join, language_id, license_scan, packing, quality_rules, suffix_dedup, warc
 from millrace.plans.registry import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,3 +99,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_extract.extract_text(table(spark, sf_dir, "pages"))
+
+
+@query("op10_suffix_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that stand in a passage of an earlier one."""
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256"
+    )
