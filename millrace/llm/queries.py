@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, html_extract, jaccard_join, language_id, license_scan, packing, quality_rules, suffix_dedup, warc
+from millrace.llm import bpe, embedding_pairs, html_extract, jaccard_join, language_id, license_scan, packing, quality_rules, suffix_dedup, warc
 from millrace.plans.registry import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.withColumnRenamed("id", "doc_id")
 
 
+@query("op3_embedding_pairs")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors."""
+    return embedding_pairs.near_duplicates(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 @query("op4_language_id")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every text, learnt from the texts that are not held out."""
