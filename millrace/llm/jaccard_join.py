@@ -341,3 +341,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.select("id", "size").join(components.select(F.col("node").alias("id"), "component"), "id", "left").select(
         "id", F.col("size").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")
     )
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, words: int = 5) -> DataFrame:
+    """The rows of ``docs`` that stand for their component, with their columns: the smallest id, once; rows with a null id stay."""
+    components = jaccard_components(docs, id_col, text_col, percent, words)
+    others = cut_lineage(components.where("id <> component_id").select(F.col("id").alias(id_col)).distinct())
+    repeated = cut_lineage(docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias(id_col)).count().where("count > 1").select(id_col))
+    kept = docs.join(others, id_col, "left_anti")
+    once = kept.join(repeated, id_col, "left_semi").dropDuplicates([id_col])
+    return kept.join(repeated, id_col, "left_anti").select(*docs.columns).union(once.select(*docs.columns))

@@ -22,7 +22,7 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.batches import map_batches
@@ -257,17 +257,12 @@ def _spans(text: str, path: np.ndarray, langs: list[str]) -> list[dict]:
     return [{"begin": places[a][0], "end": places[b - 1][1], "lang": langs[path[a]]} for a, b in zip(cuts, cuts[1:])]
 
 
-def identify(
-    docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", switch_penalty: float = 12.0, with_spans: bool = True,
-) -> DataFrame:
-    """``id``, ``lang_pred``, ``score`` (share of letters in that language) and, if asked for, ``spans`` by code points."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _predictor(shared, penalty: float, with_spans: bool):
     kept: dict[str, Labeller] = {}
 
-    def predict(batch: pa.RecordBatch) -> Iterator[dict]:
-        worker = kept.setdefault("one", Labeller(shared.value, switch_penalty))
+    def predict(texts: list[str | None]) -> tuple[list[str], list[float], list[list[dict]]]:
+        worker = kept.setdefault("one", Labeller(shared.value, penalty))
         langs = worker.model.langs
-        texts = batch.column("text").to_pylist()
         preds, shares, spans = [], [], []
         for group in _groups(texts, WORD.findall):
             for words, path in zip(group, worker.label(group) if langs else [None] * len(group)):
@@ -277,10 +272,33 @@ def identify(
                 weight = np.bincount(path, weights=np.fromiter(map(len, words), np.int64, len(words)), minlength=len(langs))
                 top = int(weight.argmax())
                 preds.append(langs[top]), shares.append(float(weight[top] / weight.sum()))
-                if with_spans:
-                    spans.append(_spans(texts[len(preds) - 1], path, langs))
-        columns = {"id": batch.column("id"), "lang_pred": preds, "score": shares}
-        yield columns | ({"spans": spans} if with_spans else {})
+                spans.append(_spans(texts[len(preds) - 1], path, langs) if with_spans else [])
+        return preds, shares, spans
+
+    return predict
+
+
+def identify(
+    docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", switch_penalty: float = 12.0, with_spans: bool = True,
+) -> DataFrame:
+    """``id``, ``lang_pred``, ``score`` (share of letters in that language) and, if asked for, ``spans`` by code points."""
+    predict = _predictor(docs.sparkSession.sparkContext.broadcast(model), switch_penalty, with_spans)
+
+    def run(batch: pa.RecordBatch) -> Iterator[dict]:
+        preds, shares, spans = predict(batch.column("text").to_pylist())
+        yield {"id": batch.column("id"), "lang_pred": preds, "score": shares, "spans": spans}
 
     schema = "id long, lang_pred string, score double" + (", spans array<struct<begin:int,end:int,lang:string>>" if with_spans else "")
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), predict, schema)
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), run, schema)
+
+
+def language_column(spark: SparkSession, model: Model, text: Column, switch_penalty: float = 12.0) -> Column:
+    """``lang_pred`` and ``score`` as a struct column, for rows that must keep their other columns."""
+    predict = _predictor(spark.sparkContext.broadcast(model), switch_penalty, False)
+
+    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    def column(texts: pa.Array) -> pa.Array:
+        preds, shares, _ = predict(texts.to_pylist())
+        return pa.StructArray.from_arrays([pa.array(preds, pa.string()), pa.array(shares, pa.float64())], ["lang_pred", "score"])
+
+    return column(text)

@@ -38,6 +38,7 @@ CAPITALS = bytes(range(ord("A"), ord("Z") + 1))
 MARKS = b"!?=@_~^"
 
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_capitals long, n_marks long"
+COUNT_NAMES = [x.split()[0] for x in COUNTS.split(", ")]
 RULES = {
     "symbols": ("n_symbols", "word_chars"),
     "capitals": ("n_capitals", "word_chars"),
@@ -90,8 +91,7 @@ def counts_of(text: bytes | None) -> tuple[int, ...]:
 
 def _count_batch(batch: pa.RecordBatch) -> Iterator[dict]:
     rows = [counts_of(t) for t in batch.column("text").to_pylist()]
-    names = [x.split()[0] for x in COUNTS.split(", ")]
-    columns = dict(zip(names, zip(*rows))) if rows else {n: [] for n in names}
+    columns = dict(zip(COUNT_NAMES, zip(*rows))) if rows else {n: [] for n in COUNT_NAMES}
     yield {"id": batch.column("id"), "stratum": batch.column("stratum"), **columns}
 
 
@@ -102,6 +102,18 @@ def text_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return map_batches(picked, _count_batch, f"id long, stratum string, {COUNTS}")
 
 
+def counts_column(text: Column) -> Column:
+    """The counts as a struct column, for rows that must keep their other columns."""
+
+    @F.arrow_udf(f"struct<{COUNTS.replace(' long', ':long')}>")
+    def counts(texts: pa.Array) -> pa.Array:
+        rows = [counts_of(t) for t in texts.to_pylist()]
+        columns = zip(*rows) if rows else [[] for _ in COUNT_NAMES]
+        return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], COUNT_NAMES)
+
+    return counts(text.cast("binary"))
+
+
 def scores() -> Column:
     """One score per rule, in the order of ``RULES``; more is worse."""
     return F.array(*[F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.0)) for a, b in RULES.values()])
@@ -207,3 +219,14 @@ def quality_rules(
     """Counts, base verdict and certified verdict of each document: the texts are read once, the counts written once."""
     counts = cut_lineage(text_counts(docs, id_col, text_col, stratum_col))
     return judge(counts, cut_lineage(certified_cutoffs(counts, labels, **limits)))
+
+
+def keep_passing(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang", **limits: float
+) -> DataFrame:
+    """The rows of ``docs`` that pass, with their columns. Verdicts follow from text and stratum, so no row is joined by its id."""
+    counts = cut_lineage(text_counts(docs, id_col, text_col, stratum_col))
+    cutoffs = cut_lineage(certified_cutoffs(counts, labels, **limits))
+    stratum = F.coalesce(F.col(stratum_col).cast("string"), F.lit("")) if stratum_col else F.lit("all")
+    whole = docs.select(F.struct(*docs.columns).alias("row"), stratum.alias("stratum"), counts_column(F.col(text_col)).alias("counts"))
+    return judge(whole.select("row", "stratum", "counts.*"), cutoffs).where("kept").select("row.*")

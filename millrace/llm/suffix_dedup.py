@@ -390,3 +390,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.when(F.col("copy"), F.lit(EMPTY_SHA)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
         F.when(F.col("copy"), empty).otherwise(F.col("kept")).alias("kept"), "block", "doc",
     )
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", length: int = 50) -> DataFrame:
+    """All rows of ``docs`` with the repeated passages cut out of their texts, and ``length_col`` counted anew.
+
+    Ids must be unique but for null ones, whose texts stay as they are. A character of which a byte was cut goes as a whole.
+    """
+    removed = remove_repeats(docs, id_col, text_col, length, with_text=True).where("n_removed > 0")
+    changed = cut_lineage(removed.select(F.col("id").alias("_id"), "kept"))
+
+    @F.arrow_udf("string")
+    def text_of(kept: pa.Array) -> pa.Array:
+        return pa.array([None if b is None else b.decode("utf-8", "ignore") for b in kept.to_pylist()], pa.string())
+
+    joined = docs.join(changed, docs[id_col].cast("long") == F.col("_id"), "left")
+    joined = joined.withColumn(text_col, F.coalesce(text_of(F.col("kept")), F.col(text_col)))
+    if length_col:
+        joined = joined.withColumn(length_col, F.when(F.col("_id").isNull(), F.col(length_col)).otherwise(F.char_length(text_col).cast(docs.schema[length_col].dataType)))
+    return joined.select(*docs.columns)
