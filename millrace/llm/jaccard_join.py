@@ -1,6 +1,6 @@
 """Documents whose sets of word shingles have a Jaccard similarity of 0.8 or more, and their components.
 
-1. Texts with equal sets are one node; only the smallest id goes on.
+1. Of texts with equal sets, only the one with the smallest id goes on.
 2. All shingles are counted in a sketch of fixed size; tokens are ordered by
    the level of their count, then by hash, so frequent ones come last.
 3. Adaptive multi-match prefixes: a set of ``s`` tokens that needs ``T =
@@ -10,7 +10,8 @@
 4. Documents that share prefix tokens meet through the smallest of them (its hub), so a list
    of n documents gives n candidates. Verified hub links leave few documents
    unlinked; these are compared with the other documents of their hub in blocks. Pairs across
-   hubs are found between groups: lists of groups, not of documents, are joined.
+   hubs are found between groups: lists of groups, not of documents, are joined, and
+   a group meets the documents of all smaller ones in blocks.
 5. Verification compares whole sets, block against block in numpy, and
    returns a forest of links: no list of all pairs is ever made.
 
@@ -45,6 +46,8 @@ MOST_MATCHES = 8
 VERIFY_COST = 20.0
 BLOCK = 256
 TASK_ROWS = 4000
+PACKED_TOKENS = 2_000_000
+TOKENS_A_BUCKET = 1 << 20
 LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -124,11 +127,46 @@ def choose_matches(levels: np.ndarray, base: int, most: int) -> int:
     return int(np.argmin(rows * (1 + VERIFY_COST / l))) + 1
 
 
-def _prefixes(shared_levels, words: int, percent: int):
+def _pack(sets: list[np.ndarray], node: list[int], size: list[int], matches: list[int], bits: int) -> Iterator[tuple[int, int, bytes]]:
+    """Per bucket, the prefix tokens of a block of documents, sorted, with the documents they belong to."""
+    tokens = np.concatenate(sets) >> np.uint64(32 - bits)
+    owner = np.repeat(np.arange(len(sets)), [len(t) for t in sets])
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    bucket = (tokens >> np.uint64(32)).astype(np.int64)
+    table = [np.array(node, np.int64), np.array(size, np.int32), np.array(matches, np.uint8)]
+    for part in np.split(np.arange(len(tokens)), np.flatnonzero(np.diff(bucket)) + 1):
+        used, place = np.unique(owner[part], return_inverse=True)
+        small = tokens[part].astype(np.uint32)
+        arrays = [np.diff(small, prepend=np.uint32(0)), place.astype(np.uint32), *[t[used] for t in table]]
+        # deltas of sorted hashes and small numbers: a third of the size of plain rows
+        raw = np.array([len(part), len(used)], np.int64).tobytes() + b"".join(x.tobytes() for x in arrays)
+        yield int(bucket[part[0]]), len(raw), pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpack(blob: bytes, full: int) -> list[np.ndarray]:
+    raw = pa.decompress(blob, full, "zstd", asbytes=True)
+    tokens, nodes = np.frombuffer(raw, np.int64, 2).tolist()
+    out, at = [], 16
+    for kind, n in ((np.uint32, tokens), (np.uint32, tokens), (np.int64, nodes), (np.int32, nodes), (np.uint8, nodes)):
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += n * np.dtype(kind).itemsize
+    place = out[1]
+    return [np.cumsum(out[0], dtype=np.uint32), *[x[place].astype(np.int64) for x in out[2:]]]
+
+
+def _prefixes(shared_levels, words: int, percent: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         hashes, levels = WordHashes(), shared_levels.value
+        held: tuple[list, list, list, list] = ([], [], [], [])
+
+        def flush() -> dict:
+            packed = list(_pack(*held, bits)) if held[0] else []
+            for part in held:
+                part.clear()
+            return {"bucket": [p[0] for p in packed], "full": [p[1] for p in packed], "packed": [p[2] for p in packed]}
+
         for batch in batches:
-            out: dict[str, list] = {"sign": [], "id": [], "size": [], "matches": [], "tokens": []}
             for doc_id, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
                 tokens = shingle_set(text, hashes, words)
                 if not len(tokens) or doc_id is None:
@@ -137,25 +175,39 @@ def _prefixes(shared_levels, words: int, percent: int):
                 order = np.lexsort((tokens, level)) if level.any() else np.arange(len(tokens))
                 need = int(least_common(len(tokens), percent))
                 matches = choose_matches(level[order], len(tokens) - need + 1, need)
-                prefix = tokens[order[: len(tokens) - need + matches]]
-                for name, value in zip(out, (xxhash.xxh3_128_digest(tokens.tobytes()), doc_id, len(tokens), matches, prefix.astype(np.int64))):
-                    out[name].append(value)
-            yield out
+                for part, value in zip(held, (tokens[order[: len(tokens) - need + matches]], doc_id, len(tokens), matches)):
+                    part.append(value)
+            if sum(map(len, held[0])) > PACKED_TOKENS:
+                yield flush()
+        yield flush()
 
     return run
 
 
 # --- candidates
 
-def hubs_and_groups(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _lists(key: tuple, group: pa.Table) -> pa.Table:
+    """Tokens of a bucket that several nodes have, each with the smallest node as its hub."""
+    parts = [_unpack(b, n) for b, n in zip(group["packed"].to_pylist(), group["full"].to_pylist())]
+    token, node, size, matches = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((node, token))
+    token, node, size, matches = (x[order] for x in (token, node, size, matches))
+    fresh = np.concatenate([[True], token[1:] != token[:-1]])
+    head = np.maximum.accumulate(np.where(fresh, np.arange(len(token)), 0))
+    several = np.bincount(head, weights=node != node[head], minlength=len(token))[head] > 0
+    keep, head = np.flatnonzero(several), head[several]
+    whole = (key[0].as_py() << 32) + token[keep].astype(np.int64)
+    return pa.table({
+        "token": whole, "node": node[keep], "size": size[keep], "matches": matches[keep], "hub": node[head], "hub_size": size[head], "hub_matches": matches[head],
+    })
+
+
+def hubs_and_groups(shared: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Hub candidates ``(hub, node)``, groups ``(group, node)``, and pairs of groups ``(g1, g2)`` that may hold a link."""
-    lists = nodes.select("node", "size", "matches", F.explode("tokens").alias("token"))
-    firsts = lists.groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct("node", "size", "matches")).alias("hub")).where("n > 1")
-    shared = cut_lineage(lists.join(firsts.select("token", "hub"), "token"))
-    similar = (100 * F.least("size", "hub.size") >= percent * F.greatest("size", "hub.size")) & (F.col("hub.node") != F.col("node"))
+    similar = (100 * F.least("size", "hub_size") >= percent * F.greatest("size", "hub_size")) & (F.col("hub") != F.col("node"))
     met = (
-        shared.where(similar).groupBy(F.col("hub.node").alias("hub"), "node")
-        .agg(F.count("*").alias("n"), F.min(F.least("matches", "hub.matches")).alias("need"), F.min("size").alias("size"))
+        shared.where(similar).groupBy("hub", "node")
+        .agg(F.count("*").alias("n"), F.min(F.least("matches", "hub_matches")).alias("need"), F.min("size").alias("size"))
     )
     candidates = cut_lineage(met.where("n >= need"))
     # a node belongs to the group of the hub it shares most with, if that is much; hubs belong to their own group too
@@ -167,7 +219,7 @@ def hubs_and_groups(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFram
     crossed = per_token.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
     per_token = cut_lineage(per_token.join(crossed, "token"))
     x, y = per_token.alias("x"), per_token.alias("y")
-    close = (100 * F.col("x.low") <= F.col("y.high") * 10000 / percent) & (100 * F.col("y.low") <= F.col("x.high") * 10000 / percent)
+    close = (percent * F.col("x.low") <= 100 * F.col("y.high")) & (percent * F.col("y.low") <= 100 * F.col("x.high"))
     pairs = (
         x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.group") < F.col("y.group")) & close)
         .groupBy(F.col("x.group").alias("g1"), F.col("y.group").alias("g2"))
@@ -263,9 +315,9 @@ def _verify(percent: int):
 
 def verified_links(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links inside the tasks: each compares the sets of its nodes of side 0 with those of side 1."""
-    rows = cut_lineage(tasks.join(sets, "node"))
-    bins = max(1, -(-rows.count() // TASK_ROWS))
-    dealt = rows.withColumn("bin", F.pmod("task", F.lit(bins)))
+    tasks = cut_lineage(tasks)
+    bins = max(1, -(-tasks.count() // TASK_ROWS))
+    dealt = tasks.join(sets, "node").withColumn("bin", F.pmod("task", F.lit(bins)))
     return cut_lineage(dealt.groupBy("bin").applyInArrow(_verify(percent), "a long, b long"))
 
 
@@ -284,27 +336,30 @@ def block_tasks(left: DataFrame, right: DataFrame, seed: int) -> DataFrame:
 
 
 def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, words: int = 5) -> tuple[DataFrame, DataFrame]:
-    """``(signatures, links)``: ``id, size, sign, node`` per row, and a forest of links between nodes."""
+    """``(rows, links)``: ``id, size, sign`` of each row, and links between ids that have the components of all links."""
     picked = _picked(docs, id_col, text_col)
     spark = docs.sparkSession
     first = cut_lineage(map_task(picked, _signatures(words), "id long, size long, sign binary, block int, counts binary"))
     rows = first.where("block IS NULL").select("id", "size", "sign")
+    # of texts with equal sets only the one with the smallest id is a node
+    equal = rows.where("id IS NOT NULL AND sign IS NOT NULL")
+    firsts = equal.groupBy("sign").agg(F.min("id").alias("node"), F.count("*").alias("n")).where("n > 1")
+    copies = cut_lineage(equal.join(firsts, "sign").where("id > node").select("id", "node"))
     levels = spark.sparkContext.broadcast(sketch_levels(first))
-    prefixes = map_task(picked, _prefixes(levels, words, percent), "sign binary, id long, size long, matches int, tokens array<long>")
-    nodes = cut_lineage(
-        prefixes.groupBy("sign").agg(F.min("id").alias("node"), F.any_value("size").alias("size"), F.any_value("matches").alias("matches"), F.any_value("tokens").alias("tokens"))
-    )
-    candidates, members, pairs = hubs_and_groups(nodes, percent)
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    bits = max(5, int(total * (100 - percent) / 100 / TOKENS_A_BUCKET).bit_length())
+    repeated = equal.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")  # such an id may have other texts too
+    single = picked.where("id IS NOT NULL").join(cut_lineage(copies.select("id").join(repeated, "id", "left_anti")), "id", "left_anti")
+    packed = map_task(single, _prefixes(levels, words, percent, bits), "bucket long, full long, packed binary")
+    lists = packed.groupBy("bucket").applyInArrow(_lists, "token long, node long, size long, matches long, hub long, hub_size long, hub_matches long")
+    candidates, members, pairs = hubs_and_groups(cut_lineage(lists), percent)
     in_pairs = pairs.select(F.col("g1").alias("group")).union(pairs.select(F.col("g2").alias("group"))).distinct()
     # a node without a group is one of its own
-    asked = (
-        candidates.select(F.col("hub").alias("id")).union(candidates.select("node")).union(in_pairs.select("group"))
-        .union(members.select("node")).distinct()
-    )
+    asked = candidates.select(F.col("hub").alias("id")).union(candidates.select("node")).union(in_pairs.select("group")).union(members.select("node")).distinct()
     wanted = spark.sparkContext.broadcast(id_filter(asked))
     slot = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS)).alias("slot")
-    sets = map_task(picked.where("id IS NOT NULL").select("id", "text", slot), _sets(wanted, words), "node long, tokens binary")
-    sets = cut_lineage(sets.join(asked.withColumnRenamed("id", "node"), "node", "left_semi"))
+    # the few that pass the filter by chance meet no task
+    sets = cut_lineage(map_task(picked.where("id IS NOT NULL").select("id", "text", slot), _sets(wanted, words), "node long, tokens binary"))
 
     stars = block_tasks(candidates.select(F.col("hub").alias("key"), F.col("hub").alias("node")).distinct(), candidates.select(F.col("hub").alias("key"), "node"), 1)
     links = verified_links(stars, sets, percent)
@@ -313,31 +368,26 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         members.union(in_pairs.join(members, "group", "left_anti").select(F.col("group").alias("node"), "group"))
         .join(label, "node", "left").select("group", "node", F.coalesce("label", "node").alias("label"))
     )
-    # inside a group: nodes that are not linked with its hub, against all of its nodes
+    # against all nodes of a group: those of its nodes that are not linked with its hub
     hub_label = labelled.where("group = node").select("group", F.col("label").alias("hub_label"))
     apart = labelled.join(hub_label, "group").where("label <> hub_label").select(F.col("group").alias("key"), "node")
-    inside = block_tasks(apart, labelled.select(F.col("group").alias("key"), "node").join(apart.select("key").distinct(), "key", "left_semi"), 2)
-    # across groups, unless both are one component already
-    uniform = labelled.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    side = lambda g: uniform.select(F.col("group").alias(g), F.col("low").alias(f"low_{g}"), F.col("high").alias(f"high_{g}"))
-    open_pairs = cut_lineage(
+    # and the nodes of all smaller groups that may have a link into it, unless both are one component already
+    shape = labelled.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"))
+    side = lambda g: shape.select(F.col("group").alias(g), *[F.col(c).alias(f"{c}_{g}") for c in ("low", "high", "n")])
+    open_pairs = (
         pairs.join(side("g1"), "g1").join(side("g2"), "g2").where("low_g1 <> high_g2 OR low_g1 <> high_g1 OR low_g2 <> high_g2")
-        .select("g1", "g2", F.xxhash64("g1", "g2").alias("key"))
+        .select(F.expr("if(n_g1 >= n_g2, g1, g2)").alias("key"), F.expr("if(n_g1 >= n_g2, g2, g1)").alias("group"))
     )
-    of = lambda g: open_pairs.join(labelled.select(F.col("group").alias(g), "node"), g).select("key", "node")
-    across = block_tasks(of("g1"), of("g2"), 3)
-    return rows, links.union(verified_links(inside.union(across), sets, percent))
+    left = cut_lineage(apart.union(open_pairs.join(labelled.select("group", "node"), "group").select("key", "node")).distinct())
+    right = labelled.select(F.col("group").alias("key"), "node").join(left.select("key").distinct(), "key", "left_semi")
+    more = verified_links(block_tasks(left, right, 2), sets, percent)
+    return rows, links.union(more).union(copies.select(F.col("id").alias("a"), F.col("node").alias("b")))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, words: int = 5) -> DataFrame:
     """``id, n_shingles, component_id`` of every row."""
     rows, links = jaccard_links(docs, id_col, text_col, percent, words)
-    equal = rows.where("id IS NOT NULL AND sign IS NOT NULL")
-    node_of = equal.groupBy("sign").agg(F.min("id").alias("node"))
-    joined = equal.join(node_of, "sign").select("id", "node")
-    same_id = joined.where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
-    # equal sets and equal ids are links too: with them in the graph, rows need one join by id
-    components = connected_components(links.union(same_id))
+    components = connected_components(links)
     return rows.select("id", "size").join(components.select(F.col("node").alias("id"), "component"), "id", "left").select(
         "id", F.col("size").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")
     )
