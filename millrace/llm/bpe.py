@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -51,7 +52,7 @@ SETTLED = regex.compile(r"[\x00-\u0527\u1E00-\u1FFF\u2000-\u206F\u20A0-\u20B9\u3
 LIBRARY_SPLIT = pre_tokenizers.ByteLevel(add_prefix_space=False)
 START = -1
 NEVER = 1 << 40
-CACHED_UNITS, CACHED_STEPS = 400_000, 1_000_000
+CACHED_UNITS, CACHED_STEPS = 250_000, 1_000_000
 
 
 class Vocabulary(NamedTuple):
@@ -183,8 +184,12 @@ class Automaton:
         return ids[::-1]
 
 
+def has_odd_blanks(text: str) -> bool:
+    return any(x in text for x in (ODD_BLANKS[:6] if text.isascii() else ODD_BLANKS))
+
+
 def words_of(unit: str) -> list[str]:
-    if SETTLED.fullmatch(unit):
+    if unit.isascii() or SETTLED.fullmatch(unit):
         return WORDS.findall(unit)
     return [unit[a:b] for _, (a, b) in LIBRARY_SPLIT.pre_tokenize_str(unit)]
 
@@ -192,47 +197,55 @@ def words_of(unit: str) -> list[str]:
 class Encoder:
     """Encodes and decodes whole texts in one worker process."""
 
-    def __init__(self, vocabulary: Vocabulary, merge: Callable[[bytes], list[int]] | None = None):
-        self.merge = merge or Automaton(vocabulary).encode
+    def __init__(self, vocabulary: Vocabulary):
+        self.automaton = Automaton(vocabulary)
         self.labels = vocabulary.tokens
         self.decimals = [str(i) for i in range(len(self.labels))]
         self.added = vocabulary.added
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.units: dict[str, bytes] = {}
-        self.words: dict[str, list[int]] = {}
+        self.old_units: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
 
     def _unit(self, unit: str) -> bytes:
-        ids: list[int] = []
+        parts = []
         for word in words_of(unit):
-            known = self.words.get(word)
+            known = self.words.get(word) or self.old_words.get(word)
             if known is None:
                 if len(self.words) >= CACHED_UNITS:
-                    self.words.clear()
-                known = self.merge(word.encode())
+                    self.old_words, self.words = self.words, {}
+                known = array("I", self.automaton.encode(word.encode())).tobytes()
                 if len(word) <= 64:
                     self.words[word] = known
-            ids += known
-        return np.array(ids, np.uint32).tobytes()
+            parts.append(known)
+        return b"".join(parts)
 
     def _plain(self, text: str) -> bytes:
-        if any(x in text for x in (ODD_BLANKS[:6] if text.isascii() else ODD_BLANKS)):
+        if has_odd_blanks(text):
             return b"".join([self._unit(u) for u in BLANK.split(text)])
         pieces = text.split(" ")
         units = self.units
-        found = list(map(units.get, pieces[1:]))
+        found = list(map(units.get, pieces))
+        found[0] = self._unit(pieces[0])
         if None in found:
-            if len(units) >= CACHED_UNITS:
-                units.clear()
             for i, ids in enumerate(found):
                 if ids is None:
-                    piece = pieces[i + 1]
-                    ids = units.get(piece)
-                    if ids is None:
-                        ids = self._unit(" " + piece)
-                        if len(piece) <= 64:
-                            units[piece] = ids
-                    found[i] = ids
-        return self._unit(pieces[0]) + b"".join(found)
+                    found[i] = self._new_unit(pieces[i])
+        return b"".join(found)
+
+    def _new_unit(self, piece: str) -> bytes:
+        ids = self.units.get(piece) or self.old_units.get(piece) or self._unit(" " + piece)
+        if len(piece) <= 64:
+            if len(self.units) >= CACHED_UNITS:  # what is used again comes back from the older generation
+                self.old_units = dict(self.units)
+                self.units.clear()
+            self.units[piece] = ids
+        return ids
+
+    def needs_care(self, text: str) -> bool:
+        """Whether a text has more than single blanks between words, unsettled letters, or strings of added tokens."""
+        return has_odd_blanks(text) or not (text.isascii() or SETTLED.fullmatch(text)) or any(t in text for t in self.added)
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a whole text."""
@@ -252,15 +265,15 @@ class Encoder:
         return b"".join(map(self.labels.__getitem__, ids)).decode("utf-8", "replace")
 
 
-ENCODERS: dict[tuple, Encoder] = {}
+ENCODERS: dict[tuple, object] = {}
 
 
-def encoder_of(shared: SharedVocabulary, merge: Callable[[Vocabulary], Callable] | None = None) -> Encoder:
-    """The encoder of a broadcast vocabulary, made once per worker process; ``merge`` makes another way to merge words."""
-    key = (shared.id, merge.__name__ if merge else None)
+def encoder_of(shared: SharedVocabulary, kind: Callable[[Vocabulary], object] = Encoder):
+    """The encoder of a broadcast vocabulary, made once per worker process."""
+    key = (shared.id, kind.__name__)
     if key not in ENCODERS:
         ENCODERS.clear()
-        ENCODERS[key] = Encoder(shared.value, merge and merge(shared.value))
+        ENCODERS[key] = kind(shared.value)
     return ENCODERS[key]
 
 
