@@ -9,39 +9,44 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def canonical_json(text: Column) -> Column:
-    """Compact JSON with sorted keys; NULL for malformed text."""
-    return F.to_json(F.try_parse_json(text))
-
-
-def canonical_or_raw(text: Column) -> Column:
-    return F.coalesce(canonical_json(text), text)
-
+def _rewriter(malformed_as_is: bool, **layout):
+    """Parse and write anew in Arrow batches. What is no JSON, or nested too deep to parse, becomes NULL or stays as it is."""
 
-def _indenter(sort_keys: bool, ascii_only: bool):
     @F.pandas_udf("string")
-    def indent(texts: pd.Series) -> pd.Series:
+    def rewrite(texts: pd.Series) -> pd.Series:
         def one(text):
             if text is None:
                 return None
             try:
-                return json.dumps(json.loads(text), indent=4, sort_keys=sort_keys, ensure_ascii=ascii_only)
-            except ValueError:
-                return text
+                return json.dumps(json.loads(text), **layout)
+            except (ValueError, RecursionError):
+                return text if malformed_as_is else None
 
         return texts.map(one, na_action="ignore")
 
-    return indent
+    return rewrite
+
+
+def canonical_json(text: Column) -> Column:
+    """Compact JSON with sorted keys; NULL for malformed text.
+
+    Text behind the value is an error, the last of equal keys wins, whole numbers keep all digits.
+    """
+    return _rewriter(False, separators=(",", ":"), sort_keys=True, ensure_ascii=False)(text)
+
+
+def canonical_or_raw(text: Column) -> Column:
+    return _rewriter(True, separators=(",", ":"), sort_keys=True, ensure_ascii=False)(text)
 
 
 def pretty_json(text: Column) -> Column:
     """Indent by four with sorted keys, other characters escaped; raw text if not JSON."""
-    return _indenter(sort_keys=True, ascii_only=True)(text)
+    return _rewriter(True, indent=4, sort_keys=True, ensure_ascii=True)(text)
 
 
 def beautified_json(text: Column) -> Column:
     """Indent by four, key order and non-ASCII characters kept."""
-    return _indenter(sort_keys=False, ascii_only=False)(text)
+    return _rewriter(True, indent=4, sort_keys=False, ensure_ascii=False)(text)
 
 
 def json_depth(text: Column) -> Column:

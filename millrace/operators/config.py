@@ -186,8 +186,11 @@ def config_flatten(documents: DataFrame, body: str, depth: int | None = None) ->
         inner = rows.lateralJoin(
             spark.tvf.variant_explode_outer(F.col("_v").outer()).toDF("_pos", "_key", "_inner")
         )
+        # a name that looks like a path is quoted, so that no two leaves share one
+        quoted = F.concat(F.lit('"'), F.replace(F.replace("_key", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+        name = F.when((F.col("_key") == "") | F.col("_key").rlike('[.\\["]'), quoted).otherwise(F.col("_key"))
         step = F.when(F.col("_key").isNull(), F.concat(F.lit("["), "_pos", F.lit("]"))).otherwise(
-            F.concat(F.when(F.col("path") == "", "").otherwise("."), "_key")
+            F.concat(F.when(F.col("path") == "", "").otherwise("."), name)
         )
         rows = inner.select(
             *rest,
@@ -199,6 +202,11 @@ def config_flatten(documents: DataFrame, body: str, depth: int | None = None) ->
     return rows.select(*rest, "path", kind.alias("type"), text.alias("value"))
 
 
+def malformed_documents(documents: DataFrame, body: str) -> DataFrame:
+    """The documents that ``config_flatten`` and ``variables_from_config`` cannot read, as they are."""
+    return documents.where(F.col(body).isNotNull() & F.try_parse_json(body).isNull())
+
+
 def variables_from_config(documents: DataFrame, body: str, escape: str = "#", template: bool = True) -> DataFrame:
     """Top-level entries of each document, in order, as template variables."""
     mark = escape if template else ""

@@ -64,11 +64,9 @@ def upsert_columns(
     return rows.groupBy(*keys).agg(*merged).select(*rows.columns)
 
 
-def assign_batches(
-    rows: DataFrame, batch_size: int, arrival: str, writer: Sequence[str] = (), slice_width: int = 1_000_000
-) -> DataFrame:
+def assign_batches(rows: DataFrame, batch_size: int, arrival: str, writer: Sequence[str] = ()) -> DataFrame:
     """Number the flush batch of each row: ``batch_size`` rows each, the tail included."""
-    placed = numbered(rows, writer, arrival, "_place", start=0, slice_width=slice_width)
+    placed = numbered(rows, writer, arrival, "_place", start=0)
     return placed.withColumn("batch_no", F.floor(F.col("_place") / batch_size)).drop("_place")
 
 

@@ -98,12 +98,21 @@ def publish_all(messages: DataFrame, topics: Sequence[Topic]) -> DataFrame:
 
 
 def publish_json(documents: DataFrame, key: str, body: str, topic: str) -> DataFrame:
-    """One message per JSON document, its text written anew; NULL if malformed."""
-    return documents.select(
-        F.lit(topic).alias("topic"),
-        F.col(key).cast("string").alias("key"),
-        canonical_json(F.col(body)).alias("value"),
-    )
+    """One message per well-formed JSON document, its text written anew.
+
+    A malformed document sends nothing: a NULL value would delete its key. ``rejected_json`` names it.
+    """
+    return _parsed(documents, key, body).where("value IS NOT NULL").select(F.lit(topic).alias("topic"), "key", "value")
+
+
+def rejected_json(documents: DataFrame, key: str, body: str, topic: str) -> DataFrame:
+    """Key and text of each document that ``publish_json`` does not send."""
+    bad = _parsed(documents, key, body).where("value IS NULL")
+    return bad.select(F.lit(topic).alias("topic"), "key", "body", F.when(F.col("body").isNull(), "missing").otherwise("malformed").alias("error"))
+
+
+def _parsed(documents: DataFrame, key: str, body: str) -> DataFrame:
+    return documents.select(F.col(key).cast("string").alias("key"), F.col(body).alias("body"), canonical_json(F.col(body)).alias("value"))
 
 
 def replay_documents(
@@ -244,6 +253,6 @@ def indented_values(records: DataFrame) -> DataFrame:
 __all__ = [
     "MONITOR_MAX_BYTES", "Group", "Topic", "decode_record", "deliver_to_groups", "delivery_report",
     "drop_topics", "fan_out", "groups_frame", "indented_values", "last_message", "observe_delivery",
-    "publish_all", "publish_json", "replay_documents", "route_by_verbosity", "size_guard",
+    "publish_all", "publish_json", "rejected_json", "replay_documents", "route_by_verbosity", "size_guard",
     "topic_catalog", "topic_summary", "topics_frame",
 ]

@@ -87,9 +87,9 @@ def names_matching(files: DataFrame, pattern: str, directory: str | None = None)
 
 
 def objects_exist(requests: DataFrame, listing: DataFrame) -> DataFrame:
-    """For each (bucket, prefix, name) whether exactly ``prefix/name`` is listed."""
-    there = listing.select("bucket", F.col("key").alias("_key"), F.lit(True).alias("_there")).distinct()
-    wanted = requests.withColumn("_key", F.concat("prefix", F.lit("/"), "name"))
+    """For each (bucket, prefix, name) whether ``prefix/name`` is listed; trailing blanks count on neither side."""
+    there = listing.select("bucket", rstrip(F.col("key")).alias("_key"), F.lit(True).alias("_there")).distinct()
+    wanted = requests.withColumn("_key", rstrip(F.concat("prefix", F.lit("/"), "name")))
     return (
         wanted.join(there, ["bucket", "_key"], "left")
         .withColumn("found", F.coalesce("_there", F.lit(False)))

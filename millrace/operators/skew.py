@@ -1,4 +1,4 @@
-"""Joins of many facts to one row per key, where one key may be very hot."""
+"""Joins of many facts to one row per key, where keys may be very hot."""
 
 from __future__ import annotations
 
@@ -7,27 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.session import cut_lineage
+
 ROWS_PER_SLICE = 1_000_000
-MOST_HOT_KEYS = 1000
 
 
-def hot_keys(facts: DataFrame, on: Sequence[str], rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame | None:
-    """The keys with the most rows above ``rows_per_slice``, and the slices each needs.
+def hot_keys(facts: DataFrame, on: Sequence[str], rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+    """Every key with more than ``rows_per_slice`` rows, and the slices it needs.
 
-    At most ``MOST_HOT_KEYS`` rows reach the driver. A key left out of so many
-    hotter ones holds less than a thousandth of the rows, and is joined like
-    any other. None if no key is hot.
+    There are at most as many as slices in all, so they are few beside the
+    facts. They are written once and never collected: their size decides how
+    they are joined.
     """
-    top = (
-        facts.groupBy(*on)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > rows_per_slice)
-        .orderBy(F.desc("_n"))
-        .limit(MOST_HOT_KEYS)
-        .select(*on, F.ceil(F.col("_n") / rows_per_slice).cast("int").alias("_slices"))
-        .toArrow()
-    )
-    return facts.sparkSession.createDataFrame(top) if top.num_rows else None
+    counted = facts.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows_per_slice)
+    return cut_lineage(counted.select(*on, F.ceil(F.col("_n") / rows_per_slice).cast("int").alias("_slices")))
 
 
 def spread_join(
@@ -38,16 +31,14 @@ def spread_join(
     how: str = "inner",
     rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
-    """Join on ``on`` with the facts of a hot key spread over several tasks.
+    """Join on ``on`` with the facts of every hot key spread over several tasks.
 
     The slice of a fact is a hash of ``spread_by``, so it does not change when
-    a task is repeated. ``lookup`` holds one narrow row per key; only the rows
-    of hot keys are copied, one per slice. A later aggregation by ``on``
-    combines per slice before it shuffles.
+    a task is repeated. The rows of ``lookup`` that have a hot key are copied,
+    one per slice; no others are. A later aggregation by ``on`` combines per
+    slice before it shuffles.
     """
     hot = hot_keys(facts, on, rows_per_slice)
-    if hot is None:
-        return facts.join(lookup, list(on), how)
     slices = F.coalesce("_slices", F.lit(1))
     spread = (
         facts.join(hot, list(on), "left")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.constants import (
@@ -26,7 +26,7 @@ from millrace.constants import (
     STEP_FAILED,
     STEP_MAX_POLLS,
 )
-from millrace.functions.text import action_name, action_value
+from millrace.functions.text import action_entries
 from millrace.operators.ranking import numbered
 from millrace.operators.skew import spread_join
 
@@ -116,11 +116,12 @@ def step_rollup(steps: DataFrame, polls: int = 1, max_wait: int = STEP_MAX_POLLS
 def await_steps(history: DataFrame, max_wait: int = STEP_MAX_POLLS) -> DataFrame:
     """First poll (from 0) at which a job failed or completed, and that verdict.
 
-    A job without such a poll is TIMEOUT once ``max_wait`` polls were made.
+    Polls from ``max_wait`` on come too late to count. Every job has a row: one
+    without a poll that counts and settles it is TIMEOUT once ``max_wait`` polls were made.
     """
     parts, verdict = _verdict()
-    polls = history.where(F.col("poll") < max_wait).groupBy("job", "poll").agg(*parts)
-    settled = F.when(verdict != "PENDING", F.struct("poll", verdict.alias("verdict")))
+    polls = history.groupBy("job", "poll").agg(*parts)
+    settled = F.when((F.col("poll") < max_wait) & (verdict != "PENDING"), F.struct("poll", verdict.alias("verdict")))
     return (
         polls.groupBy("job")
         .agg(F.min(settled).alias("_first"), F.max("poll").alias("_last"))
@@ -179,19 +180,13 @@ def cluster_select(
     )
 
 
-def batch_order(
-    items: DataFrame, pos: str, delete: bool = False, slice_width: int = 1_000_000, ties: Sequence[str] = ()
-) -> DataFrame:
+def batch_order(items: DataFrame, pos: str, delete: bool = False, ties: Sequence[str] = ()) -> DataFrame:
     """Number batches by their key as text, and items within; both reversed to delete.
 
-    Only the distinct batch keys are ordered in one task, never the items.
+    Neither items nor batch keys are ordered in one task.
     """
-    key = F.col("batch_key")
-    numbered_items = numbered(
-        items, ["batch_key"], pos, "step_no", ties=ties, descending=delete, slice_width=slice_width
-    )
-    order = Window.orderBy(key.desc() if delete else key.asc())
-    batches = items.select("batch_key").distinct().withColumn("batch_no", F.row_number().over(order).cast("long"))
+    numbered_items = numbered(items, ["batch_key"], pos, "step_no", ties=ties, descending=delete)
+    batches = numbered(items.select("batch_key").distinct(), [], "batch_key", "batch_no", descending=delete)
     return numbered_items.join(batches, "batch_key", "left")
 
 
@@ -199,10 +194,8 @@ def batch_order(
 
 def action_rows(lines: DataFrame) -> DataFrame:
     """Name and value of each report line; lines that hold none are dropped."""
-    line = F.col("line")
     rest = [c for c in lines.columns if c != "line"]
-    parsed = lines.select(*rest, action_name(line).alias("name"), action_value(line).alias("value"))
-    return parsed.where(F.col("name") != "")
+    return lines.select(*rest, F.explode(action_entries(F.col("line"))).alias("_entry")).select(*rest, "_entry.name", "_entry.value")
 
 
 def latest_action(lines: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import importlib
 
 from millrace.plans.registry import ORACLES, QUERIES, Query
 
-MODULES = ["messages", "keyed", "objects", "text", "config", "status", "streams"]
+MODULES = ["messages", "keyed", "objects", "text", "config", "status", "streams", "trees"]
 
 
 def load() -> dict[str, Query]:

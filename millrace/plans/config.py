@@ -155,3 +155,13 @@ FROM customer
 """)
 def variables_from_config(spark, sf_dir):
     return ops.variables_from_config(_documents(spark, sf_dir), "body")
+
+
+@query("config_malformed", f"""
+WITH docs AS (SELECT c_custkey, {DOCUMENT} AS body FROM customer)
+SELECT c_custkey, substr(body, 1, length(body) - 1) AS body FROM docs WHERE c_custkey % 10 = 0
+""")
+def config_malformed(spark, sf_dir):
+    """Each tenth document is cut short: these, and no others, are reported."""
+    cut = F.when(F.col("c_custkey") % 10 == 0, F.expr("substring(body, 1, length(body) - 1)")).otherwise(F.col("body"))
+    return ops.malformed_documents(_documents(spark, sf_dir).withColumn("body", cut), "body")

@@ -53,14 +53,22 @@ def topic_publish_all(spark, sf_dir):
 
 @query("json_publish", f"""
 WITH {BODIES_SQL}
-SELECT 'documents' AS topic, CAST(id AS VARCHAR) AS key,
-       CASE WHEN json_valid(body) THEN CAST(json(body) AS VARCHAR) END AS value
-FROM bodies
+SELECT 'documents' AS topic, CAST(id AS VARCHAR) AS key, CAST(json(body) AS VARCHAR) AS value
+FROM bodies WHERE json_valid(body)
 """)
 def json_publish(spark, sf_dir):
     return ops.publish_json(json_bodies(spark, sf_dir), "id", "body", "documents")
 
 
+@query("json_rejected", f"""
+WITH {BODIES_SQL}
+SELECT 'documents' AS topic, CAST(id AS VARCHAR) AS key, body, 'malformed' AS error FROM bodies WHERE NOT json_valid(body)
+""")
+def json_rejected(spark, sf_dir):
+    """What ``json_publish`` does not send."""
+    return ops.rejected_json(json_bodies(spark, sf_dir), "id", "body", "documents")
+
+
 SIZE_TOPICS = [
     ops.Topic("en", config={"max_message_bytes": "20000"}),
     ops.Topic("fr", config={"max_message_bytes": "2000"}),
@@ -200,18 +208,17 @@ WITH found AS (
   SELECT event_id AS id, CASE WHEN event_id % 10 = 0 THEN substr(props, 1, length(props) - 1) ELSE props END AS body
   FROM events
 ),
-ids AS (SELECT event_id AS id FROM events WHERE event_id % 3 = 0
-        UNION ALL SELECT -event_id - 1 FROM events WHERE event_id % 3 = 1)
+ids AS (SELECT event_id AS id FROM events UNION ALL SELECT -event_id - 1 FROM events)
 SELECT CAST(i.id AS VARCHAR) AS key, 'docking_experiments' AS topic,
        CASE WHEN json_valid(body) THEN CAST(json(body) AS VARCHAR) END AS value,
        CASE WHEN body IS NULL THEN 'missing' WHEN json_valid(body) THEN 'sent' ELSE 'malformed' END AS status
 FROM ids i LEFT JOIN found f ON i.id = f.id
 """)
 def debug_replay(spark, sf_dir):
-    """Replay each third event, and as many ids that have no file."""
+    """Replay every event, and as many ids that have no file."""
     events = table(spark, sf_dir, "events").select("event_id")
-    there = events.where(F.col("event_id") % 3 == 0).select(F.col("event_id").alias("id"))
-    absent = events.where(F.col("event_id") % 3 == 1).select((-F.col("event_id") - 1).alias("id"))
+    there = events.select(F.col("event_id").alias("id"))
+    absent = events.select((-F.col("event_id") - 1).alias("id"))
     ids = there.unionByName(absent).select(F.col("id").cast("string").alias("id"))
     return ops.replay_documents(ids, json_bodies(spark, sf_dir).select("path", "body"), "debug/bot_")
 

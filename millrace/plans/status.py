@@ -100,11 +100,11 @@ WITH {STEPS_SQL},
 polls AS (
   SELECT job, step - 1 AS poll, bool_or(state IN ('CANCELLED', 'FAILED', 'CANCEL_PENDING', 'INTERRUPTED')) AS failed,
          bool_and(state = 'COMPLETED') AS done
-  FROM steps WHERE step <= 4 GROUP BY ALL
+  FROM steps GROUP BY ALL
 ),
 settled AS (
-  SELECT job, min(poll) FILTER (failed OR done) AS poll, max(poll) AS last_poll,
-         arg_min(failed, poll) FILTER (failed OR done) AS failed
+  SELECT job, min(poll) FILTER ((failed OR done) AND poll < 4) AS poll, max(poll) AS last_poll,
+         arg_min(failed, poll) FILTER ((failed OR done) AND poll < 4) AS failed
   FROM polls GROUP BY job
 )
 SELECT job, poll, CASE WHEN poll IS NULL AND last_poll + 1 >= 4 THEN 'TIMEOUT' WHEN poll IS NULL THEN 'PENDING'

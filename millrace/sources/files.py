@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.names import rstrip
-from millrace.functions.text import parse_property, text_lines
+from millrace.functions.text import parse_property, property_lines
 from millrace.session import cut_lineage
 from millrace.sources.writers import open_uri
 
@@ -75,10 +75,7 @@ def template_files(spark: SparkSession, root: str) -> DataFrame:
 
 def properties_files(spark: SparkSession, root: str, name_glob: str = "*.properties") -> DataFrame:
     """file, seq, key, value, is_comment: the entries of properties files in order."""
-    lines = F.filter(
-        F.transform(text_lines(F.col("text")), lambda line: F.regexp_replace(line, "[\r\n]+$", "")),
-        lambda line: F.trim(line) != "",
-    )
+    lines = property_lines(F.col("text"))
     return (
         text_files(spark, root, name_glob)
         .select(F.col("path").alias("file"), F.posexplode(F.transform(lines, parse_property)).alias("seq", "prop"))

@@ -135,18 +135,80 @@ def test_env_value_is_cut_at_the_second_sign(spark):
 
 
 def test_property_lines(spark):
-    lines = ["k=v", " k = v w", "# note", "!x", "a=b=c", "k:v"]
+    lines = [
+        "k=v", " k = v w", "# note", "!x", "a=b=c", "k:v", "key value", "bare", "a=x\ry", r"k\:x\ y=1", r"a=A\t\\b", r"e=😀!", "k \t= v ", "=v", "a=", "q r=1",
+    ]
     got = column(spark, lines, fx.parse_property)
     assert [tuple(r) for r in got] == [
-        ("k", "v", False), ("k", "v w", False), (None, "note", True), (None, "x", True), ("a", "b=c", False),
-        ("k", "v", False),
+        ("k", "v", False), ("k", "v w", False), (None, "note", True), (None, "x", True), ("a", "b=c", False), ("k", "v", False), ("key", "value", False),
+        ("bare", "", False), ("a", "x\ry", False), ("k:x y", "1", False), ("a", "A\t\\b", False), ("e", "😀!", False), ("k", "v ", False), ("", "v", False), ("a", "", False),
+        ("q r", "1", False),
     ]
 
 
+def properties_by_hand(text):
+    """Entries of a properties text, a character at a time."""
+    import re
+
+    out, pending = [], None
+    for line in re.split(r"\r\n|\n|\r", text):
+        if pending is not None:
+            line = pending + line.lstrip(" \t\f")
+            pending = None
+        elif not line.strip():
+            continue
+        elif line.lstrip(" \t\f")[:1] in ("#", "!"):
+            out.append((None, line.lstrip(" \t\f")[1:].strip(), True))
+            continue
+        if (len(line) - len(line.rstrip("\\"))) % 2:
+            pending = line[:-1]
+            continue
+        out.append(line)
+    if pending is not None:
+        out.append(pending + "\\")
+    parsed = []
+    for line in out:
+        if isinstance(line, tuple):
+            parsed.append(line)
+            continue
+        if not line.strip():
+            continue
+        if line.lstrip(" \t\f")[0] in "#!":  # joined lines are judged as one
+            parsed.append((None, line.lstrip(" \t\f")[1:].strip(), True))
+            continue
+        line, key, at = line.lstrip(" \t\f"), "", 0
+        while at < len(line) and line[at] not in "=: \t\f":
+            step = 2 if line[at] == "\\" else 1
+            key, at = key + line[at : at + step], at + step
+        rest = line[at:].lstrip(" \t\f")
+        if rest[:1] in ("=", ":") :
+            rest = rest[1:].lstrip(" \t\f")
+        plain = lambda t: re.sub(r"\\(.)", r"\1", t)
+        parsed.append((plain(key), plain(rest), False))
+    return parsed
+
+
+def test_property_texts(spark):
+    rng = random.Random(12)
+    parts = ["a", "b c", "=", ":", " ", "\n", "\r\n", "\n\n", "\t", "\\\n", "\\\\", "\\=", "\\:", "#", "\n#x", "\n ! y", "x"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) + "z" for _ in range(500)] + ["a=1\r\n\r\nb=2\n\t\n  ", "# c\\\nk=1"]
+    got = column(spark, texts, lambda c: F.transform(fx.property_lines(c), fx.parse_property))
+    for text, entries in zip(texts, got):
+        mine = [(r.key, r.value.rstrip() if r.is_comment else r.value, r.is_comment) for r in entries]
+        assert mine == [(k, v.rstrip() if c else v, c) for k, v, c in properties_by_hand(text)], text
+    assert column(spark, ["a=1\r\n\r\nb=2\n\t\n  "], lambda c: fx.append_property_text(F.lit(""), c)) == ["a=1\nb=2\n"]
+
+
 def test_action_lines(spark):
-    lines = ["a: 1", "plain", "b:", "c:d", "  e :  f g ", "", "# x: y"]
-    assert column(spark, lines, fx.action_name) == ["a", "", "b", "", "e", "", ""]
-    assert column(spark, lines, fx.action_value) == ["1", "", "", "", "f g", "", ""]
+    lines = [
+        "a: 1", "plain", "b:", "c:d", "  e :  f g ", "", "# x: y", "s: 'true'", 's: "a\\tb"', "a: b: c", "x: y # note", "x: y#z", "n: null", "t: ~", "q: 'it''s' # n",
+        "{a: 1, b: 2}", "{a: 'x, y', b: }", "'k k': v", "- a: b", "u: http://h:80/p", "a: #c",
+    ]
+    got = column(spark, lines, fx.action_entries)
+    assert [[tuple(e) for e in r] for r in got] == [
+        [("a", "1")], [], [("b", None)], [], [("e", "f g")], [], [], [("s", "true")], [("s", "a\tb")], [], [("x", "y")], [("x", "y#z")], [("n", None)], [("t", None)], [("q", "it's")],
+        [("a", "1"), ("b", "2")], [("a", "x, y"), ("b", None)], [("k k", "v")], [], [("u", "http://h:80/p")], [("a", None)],
+    ]
 
 
 def test_json_columns(spark):
@@ -158,6 +220,9 @@ def test_json_columns(spark):
         else:
             assert json.loads(got) == json.loads(text)
     assert column(spark, docs, canonical_or_raw)[3] == "not json"
+    odd = ['{"a":1} x', '{"a":1,"a":2}', "9" * 45, "[" * 50_000 + "]" * 50_000, "[" * 900 + "]" * 900, '"' + "x" * 2_000_000 + '"', '{"b":[1.5,-0],"a":null}', ""]
+    assert column(spark, odd, canonical_json) == [None, '{"a":2}', "9" * 45, None, odd[4], odd[5], '{"a":null,"b":[1.5,0]}', None]
+    assert column(spark, odd, pretty_json)[3] == odd[3]
     pretty = column(spark, docs, pretty_json)
     assert pretty[0] == json.dumps(json.loads(docs[0]), indent=4, sort_keys=True)
     assert pretty[3] == "not json"
@@ -329,7 +394,7 @@ def test_upsert_last_write_wins(spark):
 
 def test_batches_hold_the_size_asked_for_and_the_tail(spark):
     frame = spark.range(25).withColumn("w", F.lit("one"))
-    sizes = keyed.assign_batches(frame, 10, "id", ["w"], slice_width=4).groupBy("batch_no").count().collect()
+    sizes = keyed.assign_batches(frame, 10, "id", ["w"]).groupBy("batch_no").count().collect()
     assert sorted((r.batch_no, r["count"]) for r in sizes) == [(0, 10), (1, 10), (2, 5)]
 
 
@@ -338,11 +403,11 @@ def test_row_numbers_over_slices(spark, descending):
     rng = random.Random(10)
     rows = [(rng.choice([None, "x", "y"]), n) for n in rng.sample(range(-500, 500), 300)]
     frame = spark.createDataFrame(rows, "g string, n int")
-    got = ranking.numbered(frame, ["g"], "n", "place", descending=descending, slice_width=37).collect()
+    got = ranking.numbered(frame, ["g"], "n", "place", descending=descending).collect()
     for g in (None, "x", "y"):
         order = sorted((n for h, n in rows if h == g), reverse=descending)
         assert {r.n: r.place for r in got if r.g == g} == {n: i for i, n in enumerate(order, 1)}
-    total = ranking.numbered(frame, [], "n", "place", slice_width=50, start=0).collect()
+    total = ranking.numbered(frame, [], "n", "place", start=0).collect()
     assert {r.n: r.place for r in total} == {n: i for i, n in enumerate(sorted(n for _, n in rows))}
 
 
@@ -431,12 +496,12 @@ def test_file_waits_sleep_before_the_first_look(spark):
 
 def test_steps_time_out(spark):
     rows = [("x", 0, "RUNNING"), ("x", 1, "RUNNING"), ("y", 0, "RUNNING"), ("y", 1, "COMPLETED"),
-            ("z", 0, "COMPLETED"), ("z", 0, "FAILED"), ("w", 0, "PENDING")]
+            ("z", 0, "COMPLETED"), ("z", 0, "FAILED"), ("w", 0, "PENDING"), ("v", 5, "RUNNING"), ("v", 6, "COMPLETED")]
     history = spark.createDataFrame(rows, "job string, poll int, state string")
     got = {r.job: (r.poll, r.verdict) for r in status.await_steps(history, max_wait=2).collect()}
-    assert got == {"x": (None, "TIMEOUT"), "y": (1, "COMPLETE"), "z": (0, "FAILED"), "w": (None, "PENDING")}
+    assert got == {"x": (None, "TIMEOUT"), "y": (1, "COMPLETE"), "z": (0, "FAILED"), "w": (None, "PENDING"), "v": (None, "TIMEOUT")}
     late = status.step_rollup(history.drop("poll"), polls=50)
-    assert {r.job: r.verdict for r in late.collect()} == {"x": "TIMEOUT", "y": "TIMEOUT", "z": "FAILED", "w": "TIMEOUT"}
+    assert {r.job: r.verdict for r in late.where("job <> 'v'").collect()} == {"x": "TIMEOUT", "y": "TIMEOUT", "z": "FAILED", "w": "TIMEOUT"}
 
 
 def test_batches_are_ordered_as_text(spark):
