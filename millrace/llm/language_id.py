@@ -6,8 +6,8 @@ letter leaves only the languages seen with that script. A Viterbi pass over
 the words, where each change of language costs ``switch_penalty``, labels spans. The
 language of a text is the one whose spans hold most letters.
 
-Training reads at most about ``max_training_docs`` labelled documents, chosen
-by a hash of their text; prediction reads every whole text.
+Training reads about ``max_training_docs`` labelled documents at most, chosen
+at random with a fixed seed; prediction reads every whole text.
 
 Defined results: null or letterless text gives ``und`` with score 0 and no
 spans; ties go to the language that sorts first; without any labelled row
@@ -111,10 +111,8 @@ def train(
 ) -> Model:
     """Count the n-grams of at most about ``max_training_docs`` texts whose language is known."""
     known = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    total = known.count()
-    step = 1 << 20
-    share = min(step, int(step * max_training_docs / max(1, total)))
-    sample = known.where(F.pmod(F.xxhash64("text"), F.lit(step)) < share)
+    # by row, not by text: copies of one text may be a third of all rows
+    sample = known.where(F.rand(11) < max_training_docs / max(1, known.count()))
     rows = (
         map_batches(sample, _count_features, "lang string, script string, bucket int, n long")
         .groupBy("lang", "script", "bucket").agg(F.sum("n").alias("n")).toArrow()

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, embedding_pairs, html_extract, jaccard_join, language_id, license_scan, packing, quality_rules, suffix_dedup, warc
+from millrace.llm import bpe, embedding_pairs, html_extract, jaccard_join, language_id, license_scan, oracles, packing, quality_rules, suffix_dedup, warc
 from millrace.plans.registry import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,7 +50,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.withColumnRenamed("id", "doc_id")
 
 
-@query("op3_embedding_pairs")
+@query("op3_embedding_pairs", oracles.EMBEDDING_PAIRS)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all vectors."""
     return embedding_pairs.near_duplicates(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
@@ -65,13 +65,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "lang_pred", "score")
 
 
-@query("op5_jaccard_join")
+@query("op5_jaccard_join", oracles.JACCARD_JOIN)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-@query("op6_license_scan")
+@query("op6_license_scan", oracles.LICENSE_SCAN)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base phrases and all licence labels of every text."""
     scanned = license_scan.scan_licenses(table(spark, sf_dir, "documents"))
@@ -92,7 +92,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-@query("op8_warc")
+@query("op8_warc", oracles.WARC)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as archives, read back and assembled."""
     captures = warc.archive_round_trip(spark, table(spark, sf_dir, "pages"), with_payload=False)
@@ -107,7 +107,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_text(table(spark, sf_dir, "pages"))
 
 
-@query("op10_suffix_dedup")
+@query("op10_suffix_dedup", oracles.SUFFIX_DEDUP)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document that stand in a passage of an earlier one."""
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).select(
