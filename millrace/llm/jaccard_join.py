@@ -215,7 +215,8 @@ def hubs_and_groups(shared: DataFrame, percent: int) -> tuple[DataFrame, DataFra
     strong = cut_lineage(strong)
     members = strong.union(strong.select(F.col("group").alias("node"), "group")).distinct()
     grouped = shared.join(strong, "node", "left").select("token", F.coalesce("group", "node").alias("group"), "size", "matches")
-    per_token = grouped.groupBy("token", "group").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.min("matches").alias("matches"))
+    # written before it is used twice: the join of all lists with their groups is the widest step here
+    per_token = cut_lineage(grouped.groupBy("token", "group").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.min("matches").alias("matches")))
     crossed = per_token.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
     per_token = cut_lineage(per_token.join(crossed, "token"))
     x, y = per_token.alias("x"), per_token.alias("y")
