@@ -229,7 +229,7 @@ def hubs_and_groups(shared: DataFrame, percent: int) -> tuple[DataFrame, DataFra
     return candidates.select("hub", "node"), cut_lineage(members), cut_lineage(pairs)
 
 
-# --- whole sets of the candidates: third pass
+# --- whole texts of the candidates: third pass
 
 def id_filter(ids: DataFrame) -> np.ndarray:
     """A bit for each hashed id, in a filter of fixed size (8 MB); more ids only make it less selective."""
@@ -248,15 +248,25 @@ def id_filter(ids: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def _sets(shared_filter, words: int):
+def pack_text(text: bytes | None) -> bytes:
+    """A text in lower case, compressed, behind its length: a third of the size of its hashed shingles."""
+    text = (text or b"").lower()
+    return len(text).to_bytes(8, "little") + (pa.compress(text, "zstd", asbytes=True) if text else b"")
+
+
+def unpack_text(blob: bytes) -> bytes:
+    size = int.from_bytes(blob[:8], "little")
+    return pa.decompress(blob[8:], size, "zstd", asbytes=True) if size else b""
+
+
+def _texts(shared_filter):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        hashes, bits = WordHashes(), shared_filter.value
+        bits = shared_filter.value
         for batch in batches:
             slots = batch.column("slot").to_numpy()
             asked = np.flatnonzero((bits[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1)
             picked = batch.take(pa.array(asked))
-            sets = [shingle_set(t, hashes, words) for t in picked.column("text").to_pylist()]
-            yield {"node": picked.column("id"), "tokens": [s.tobytes() for s in sets]}
+            yield {"node": picked.column("id"), "text": [pack_text(t) for t in picked.column("text").to_pylist()]}
 
     return run
 
@@ -293,13 +303,17 @@ def similar_pairs(left: list[np.ndarray], right: list[np.ndarray], percent: int)
     return np.nonzero(100 * common >= percent * union)
 
 
-def _verify(percent: int):
+def _verify(percent: int, words: int):
     def verify(key: tuple, group: pa.Table) -> pa.Table:
+        hashes = WordHashes()
         tasks, sides = group["task"].to_numpy(), group["side"].to_numpy()
         nodes = group["node"].to_numpy()
-        tokens = [np.frombuffer(b, np.uint64) for b in group["tokens"].to_pylist()]
+        blobs = group["text"].to_pylist()
+        sets = {b: shingle_set(unpack_text(b), hashes, words) for b in set(blobs)}  # a text may be in several tasks of a bin
+        tokens = [sets[b] for b in blobs]
         highs, lows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         order = np.lexsort((nodes, sides, tasks))
+        order = order[[len(tokens[k]) > 0 for k in order]]  # an id that occurs again may have an empty text
         cuts = np.flatnonzero(np.diff(tasks[order])) + 1
         for part in np.split(order, cuts):
             left, right = part[sides[part] == 0], part[sides[part] == 1]
@@ -314,12 +328,12 @@ def _verify(percent: int):
     return verify
 
 
-def verified_links(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified_links(tasks: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
     """Links inside the tasks: each compares the sets of its nodes of side 0 with those of side 1."""
     tasks = cut_lineage(tasks)
     bins = max(1, -(-tasks.count() // TASK_ROWS))
-    dealt = tasks.join(sets, "node").withColumn("bin", F.pmod("task", F.lit(bins)))
-    return cut_lineage(dealt.groupBy("bin").applyInArrow(_verify(percent), "a long, b long"))
+    dealt = tasks.join(texts, "node").withColumn("bin", F.pmod("task", F.lit(bins)))
+    return cut_lineage(dealt.groupBy("bin").applyInArrow(_verify(percent, words), "a long, b long"))
 
 
 def block_tasks(left: DataFrame, right: DataFrame, seed: int) -> DataFrame:
@@ -360,10 +374,10 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     wanted = spark.sparkContext.broadcast(id_filter(asked))
     slot = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS)).alias("slot")
     # the few that pass the filter by chance meet no task
-    sets = cut_lineage(map_task(picked.where("id IS NOT NULL").select("id", "text", slot), _sets(wanted, words), "node long, tokens binary"))
+    texts = cut_lineage(map_task(picked.where("id IS NOT NULL").select("id", "text", slot), _texts(wanted), "node long, text binary"))
 
     stars = block_tasks(candidates.select(F.col("hub").alias("key"), F.col("hub").alias("node")).distinct(), candidates.select(F.col("hub").alias("key"), "node"), 1)
-    links = verified_links(stars, sets, percent)
+    links = verified_links(stars, texts, percent, words)
     label = connected_components(links).withColumnRenamed("component", "label")
     labelled = cut_lineage(
         members.union(in_pairs.join(members, "group", "left_anti").select(F.col("group").alias("node"), "group"))
@@ -381,7 +395,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
     left = cut_lineage(apart.union(open_pairs.join(labelled.select("group", "node"), "group").select("key", "node")).distinct())
     right = labelled.select(F.col("group").alias("key"), "node").join(left.select("key").distinct(), "key", "left_semi")
-    more = verified_links(block_tasks(left, right, 2), sets, percent)
+    more = verified_links(block_tasks(left, right, 2), texts, percent, words)
     return rows, links.union(more).union(copies.select(F.col("id").alias("a"), F.col("node").alias("b")))
 
 

@@ -125,6 +125,7 @@ def test_similar_texts(block, spark, prose, odd, monkeypatch):
     monkeypatch.setattr(jaccard_join, "TASK_ROWS", 100)
     rows = odd + [(i + 50, t) for i, t in near_copies(prose)] + [(9000, "ONE two Three four"), (9001, "A b c d e f"), (9002, "a B c d e f")]
     rows += [(9001, rows[30][1]), (9003, "g h i j k l"), (9001, "g h i j k l"), (9001, "m n o p q r"), (9004, "m n o p q r")]
+    rows += [(rows[40][0], ""), (rows[41][0], None), (rows[42][0], " ")]  # a second, empty text
     got = jaccard_join.jaccard_components(make_docs(spark, rows, extra=True).repartition(5))
     assert Counter((r.id, r.n_shingles, r.component_id) for r in got.collect()) == components_by_hand(rows)
 
