@@ -46,8 +46,8 @@ MOST_MATCHES = 8
 VERIFY_COST = 20.0
 BLOCK = 256
 TASK_ROWS = 4000
-PACKED_TOKENS = 2_000_000
-TOKENS_A_BUCKET = 1 << 20
+PACKED_TOKENS = 1_000_000
+TOKENS_A_BUCKET = 1 << 19
 LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -74,7 +74,7 @@ def _signatures(words: int):
                 signs.append(xxhash.xxh3_128_digest(tokens.tobytes()) if len(tokens) else None)
                 pending.append(tokens)
                 held += len(tokens)
-                if held > 2_000_000:
+                if held > 1_000_000:
                     _add(counts, pending)
                     pending, held = [], 0
             _add(counts, pending)
