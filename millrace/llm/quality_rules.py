@@ -2,12 +2,15 @@
 
 Each document gets scores of a few rules (share of symbols, capitals, marks,
 repeated lines and words, word length). Labelled documents are divided by a
-hash into a design part, which proposes cutoffs per stratum and rule, and a
-holdout. A cutoff is used only if the exact (Clopper-Pearson) upper bound of
-its false-rejection rate on the good documents of the holdout stays below the
-rule's share of ``max_false_rejection``. All bounds hold together with
-probability ``1 - delta``: each is tested at ``delta`` over the number of
-(stratum, rule, cutoff) combinations (Bonferroni).
+hash into a design part and a holdout. The design part proposes one cutoff per
+stratum and rule that gains something, and an order of steps: all stricter
+cutoffs of these rules and then they themselves, those that reject fewer good
+documents first. The holdout tests the steps in this order until one fails
+(fixed-sequence testing): a step holds if the exact (Clopper-Pearson) upper
+bound of the share of good documents that it or any step before rejects is at
+most ``max_false_rejection``. As the order is fixed before the holdout is read, each
+stratum is tested at ``delta`` over the number of strata with proposals, whatever the number of
+rules and cutoffs, and all bounds hold together with probability ``1 - delta``.
 
 Defined results: a null or empty text has no words and fails the base rules;
 a null stratum is a stratum of its own; a null id is never labelled; repeated
@@ -49,6 +52,8 @@ RULES = {
 }
 CUTOFFS = 32
 CUTOFF = pa.schema([("stratum", pa.string()), ("rule", pa.int64()), ("cutoff", pa.float64()), ("good_rejected", pa.int64()), ("good", pa.int64())])
+PROPOSAL = pa.schema([("stratum", pa.string()), ("rule", pa.int64()), ("cutoffs", pa.list_(pa.float64())), ("lost", pa.list_(pa.int64()))])
+STEPS = pa.schema([("stratum", pa.string()), ("steps", pa.list_(pa.struct([("rule", pa.int64()), ("cutoff", pa.float64())])))])
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -142,57 +147,105 @@ def rejection_bound_holds(k: int, n: int, rate: float, delta: float) -> bool:
     return most + math.log(total) <= math.log(delta)
 
 
-def _select(rate: float, delta: float, false_cost: float):
-    def select(key: tuple, group: pa.Table) -> pa.Table:
+def _propose(rate: float, false_cost: float):
+    """Of one stratum and rule: the cutoff that gains most on the design part, after all stricter ones, and the good documents each rejects."""
+
+    def propose(key: tuple, group: pa.Table) -> pa.Table:
         stratum, rule = (k.as_py() for k in key)
         grid = group["grid"][0].as_py()
-        cells = group.select(["holdout", "good", "cell", "n"]).to_pandas()
+        cells = group.select(["good", "cell", "n"]).to_pandas()
 
         def at_or_above(part) -> np.ndarray:
             per_cell = np.bincount(part["cell"], weights=part["n"], minlength=len(grid) + 1)
             return per_cell[::-1].cumsum()[::-1][1:]
 
-        hold = cells[cells["holdout"] & cells["good"]]
-        design = cells[~cells["holdout"]]
-        rejected, total = at_or_above(hold), int(hold["n"].sum())
-        gain = at_or_above(design[~design["good"]]) - false_cost * at_or_above(design[design["good"]])
-        for j in sorted(range(len(grid)), key=lambda j: (-gain[j], -j)):
-            if gain[j] > 0 and rejection_bound_holds(int(rejected[j]), total, rate, delta):
-                return pa.table({"stratum": [stratum], "rule": [rule], "cutoff": [grid[j]], "good_rejected": [int(rejected[j])], "good": [total]}, schema=CUTOFF)
-        return CUTOFF.empty_table()
+        lost = at_or_above(cells[cells["good"]])
+        gain = at_or_above(cells[~cells["good"]]) - false_cost * lost
+        gain[lost > rate * cells["n"][cells["good"]].sum()] = 0.0
+        best = max(range(len(grid)), key=lambda j: (gain[j], j))
+        if gain[best] <= 0:
+            return PROPOSAL.empty_table()
+        return pa.table({"stratum": [stratum], "rule": [rule], "cutoffs": [grid[best:][::-1]], "lost": [lost[best:][::-1].astype(np.int64).tolist()]}, schema=PROPOSAL)
+
+    return propose
+
+
+def _order(false_cost: float):
+    """Of one stratum: the steps of the proposed rules; a rule that gains nothing beyond the others goes."""
+
+    def order(key: tuple, group: pa.Table) -> pa.Table:
+        proposals = {p["rule"]: p for p in group["proposals"][0].as_py()}
+        rows = [(set(r["reached"]), r["n"] if not r["good"] else -false_cost * r["n"]) for r in group.select(["reached", "good", "n"]).to_pylist()]
+        rank: dict[int, int] = {}
+        while left := [r for r in proposals if r not in rank]:
+            gains = {r: sum(n for reached, n in rows if r in reached and reached.isdisjoint(rank)) for r in left}
+            best = max(left, key=lambda r: (gains[r], -r))
+            if gains[best] <= 0:
+                break
+            rank[best] = len(rank)
+        steps = sorted((lost, rank[r], -cutoff, r) for r in rank for cutoff, lost in zip(proposals[r]["cutoffs"], proposals[r]["lost"]))
+        return pa.table({"stratum": [key[0].as_py()], "steps": [[{"rule": r, "cutoff": -c} for _, _, c, r in steps]]}, schema=STEPS)
+
+    return order
 
-    return select
+
+def _certify(rate: float, delta: float):
+    """Of one stratum: the loosest cutoff per rule up to the first step whose rejections, with those before it, are not certified."""
+
+    def certify(key: tuple, group: pa.Table) -> pa.Table:
+        steps = group["steps"][0].as_py()
+        per_step = np.bincount(group["first"].to_numpy(), weights=group["n"].to_numpy(), minlength=len(steps) + 1).astype(np.int64)
+        total, rejected = int(per_step.sum()), per_step[1:].cumsum()
+        used = {}
+        for step, k in zip(steps, rejected.tolist()):
+            if not rejection_bound_holds(k, total, rate, delta):
+                break
+            used[step["rule"]] = (step["cutoff"], k)
+        return pa.table({
+            "stratum": [key[0].as_py()] * len(used), "rule": list(used), "cutoff": [c for c, _ in used.values()],
+            "good_rejected": [k for _, k in used.values()], "good": [total] * len(used),
+        }, schema=CUTOFF)
+
+    return certify
 
 
 def certified_cutoffs(
     counts: DataFrame, labels: DataFrame, label_id: str = "doc_id", label_col: str = "quality",
     max_false_rejection: float = 0.02, delta: float = 0.05, false_cost: float = 10.0,
 ) -> DataFrame:
-    """``stratum, rule, cutoff, good_rejected, good``: at most one cutoff per stratum and rule."""
+    """``stratum, rule, cutoff, good_rejected, good``: at most one cutoff per stratum and rule.
+
+    ``good_rejected`` of the ``good`` documents in the holdout are rejected by the rule's last step or one before it.
+    """
     good = (
         labels.where(F.col(label_id).isNotNull() & F.col(label_col).isNotNull())
         .groupBy(F.col(label_id).cast("long").alias("id")).agg((F.min(F.col(label_col)) > 0).alias("good"))
     )
-    long = (
+    rows = cut_lineage(
         counts.where(~base_failed()).select("id", "stratum", scores().alias("scores")).join(good, "id")
-        .select("stratum", "good", (F.crc32(F.col("id").cast("string").cast("binary")) % 4 > 0).alias("holdout"), F.posexplode("scores").alias("rule_no", "score"))
+        .select("stratum", "good", (F.crc32(F.col("id").cast("string").cast("binary")) % 4 > 0).alias("holdout"), "scores")
     )
-    long = cut_lineage(long)
+    design = rows.where(~F.col("holdout"))
+    long = design.select("stratum", "good", F.posexplode("scores").alias("rule_no", "score"))
     quantiles = F.array(*[F.lit(i / CUTOFFS) for i in range(CUTOFFS + 1)])
     grids = (
-        long.where(~F.col("good") & ~F.col("holdout")).groupBy("stratum", "rule_no")
+        long.where(~F.col("good")).groupBy("stratum", "rule_no")
         .agg(F.array_sort(F.array_distinct(F.percentile_approx("score", quantiles, 10000))).alias("grid"))
     )
-    grids = cut_lineage(grids)
-    tests = max(1, grids.agg(F.sum(F.size("grid"))).first()[0] or 0)
     cells = (
-        long.join(grids, ["stratum", "rule_no"])
-        .groupBy("stratum", "rule_no", "grid", "holdout", "good", F.size(F.filter("grid", lambda g: g <= F.col("score"))).alias("cell"))
+        long.join(cut_lineage(grids), ["stratum", "rule_no"])
+        .groupBy("stratum", "rule_no", "grid", "good", F.size(F.filter("grid", lambda g: g <= F.col("score"))).alias("cell"))
         .agg(F.count("*").alias("n"))
     )
-    picked = cells.groupBy("stratum", "rule_no").applyInArrow(
-        _select(max_false_rejection / len(RULES), delta / tests, false_cost), from_arrow_schema(CUTOFF)
-    )
+    proposed = cells.groupBy("stratum", "rule_no").applyInArrow(_propose(max_false_rejection, false_cost), from_arrow_schema(PROPOSAL))
+    proposals = cut_lineage(proposed.groupBy("stratum").agg(F.array_sort(F.collect_list(F.struct("rule", "cutoffs", "lost"))).alias("proposals")))
+    score = lambda rule: F.get(F.col("scores"), rule.cast("int"))
+    reached = F.transform(F.filter("proposals", lambda p: score(p["rule"]) >= F.element_at(p["cutoffs"], -1)), lambda p: p["rule"])
+    together = design.join(proposals, "stratum").groupBy("stratum", "proposals", "good", reached.alias("reached")).agg(F.count("*").alias("n"))
+    steps = cut_lineage(together.groupBy("stratum").applyInArrow(_order(false_cost), from_arrow_schema(STEPS)))
+    first = F.array_position(F.transform("steps", lambda s: score(s["rule"]) >= s["cutoff"]), True)
+    hits = rows.where(F.col("holdout") & F.col("good")).join(steps, "stratum").groupBy("stratum", "steps", first.alias("first")).agg(F.count("*").alias("n"))
+    picked = hits.groupBy("stratum").applyInArrow(_certify(max_false_rejection, delta / max(1, steps.count())), from_arrow_schema(CUTOFF))
     names = F.array(*[F.lit(r) for r in RULES])
     return picked.select("stratum", F.get(names, F.col("rule").cast("int")).alias("rule"), "cutoff", "good_rejected", "good")
 

@@ -68,6 +68,48 @@ def test_certified_cutoffs(spark, prose):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.id for r in rows} - rejected
 
 
+def test_defaults_certify_with_few_hundred_labels(spark, prose):
+    """One language with some 550 good documents in the holdout: six rules and their grids must not use up the error."""
+    docs, labels, bad = labelled(spark, prose, 800)
+    rows = quality_rules.quality_rules(docs, labels).select("id", "stratum", "kept").collect()
+    big_bad = {r.id for r in rows if r.stratum == "big"} & bad
+    rejected = {r.id for r in rows if not r.kept}
+    assert rejected <= big_bad and len(rejected) > 0.9 * len(big_bad)
+
+
+def test_certified_union_stays_below_the_rate(spark):
+    """Two rules that each reject good documents: the bound holds for both together, and stricter cutoffs are left where the loosest fails."""
+    rng = random.Random(5)
+    counts, labels = [], []
+    for i in range(4000):
+        good = i % 4 > 0
+        symbols, capitals = (rng.random() < (0.006 if good else 0.5)) * rng.randint(1, 9), (rng.random() < (0.012 if good else 0.5)) * rng.randint(1, 9)
+        counts.append((i, "s", 100, 500, symbols, 0, 0, 10, capitals, 0))
+        labels.append((i, int(good)))
+    counts = spark.createDataFrame(counts, f"id long, stratum string, {quality_rules.COUNTS}")
+    labels = spark.createDataFrame(labels, "doc_id long, quality long")
+    cutoffs = quality_rules.certified_cutoffs(counts, labels)
+    picked = cutoffs.collect()
+    assert {r.rule for r in picked} == {"symbols", "capitals"}
+    held = {r.id for r in counts.where("crc32(cast(cast(id AS string) AS binary)) % 4 > 0").collect() if r.id % 4}
+    assert {r.good for r in picked} == {len(held)}
+    lost = {r.id for r in quality_rules.judge(counts, cutoffs).where("not kept").collect()} & held
+    assert len(lost) == max(r.good_rejected for r in picked) and quality_rules.rejection_bound_holds(len(lost), len(held), 0.02, 0.05)
+
+
+def test_quality_defaults_on_a_given_table(spark):
+    """The dealt method acts on a given table, not the base rules alone."""
+    from pathlib import Path
+
+    if not Path(SF := "/root/testdata/sf0.1").is_dir():
+        pytest.skip(f"no {SF}")
+    judged = queries.QUERIES["op1_quality_rules"](spark, SF).where("NOT base_failed").select("doc_id", "kept").collect()
+    good = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    labelled_rows = [(good[r.doc_id], r.kept) for r in judged if good.get(r.doc_id) is not None]
+    assert sum(not kept for q, kept in labelled_rows if not q) > 0.9 * sum(not q for q, _ in labelled_rows)
+    assert sum(not kept for q, kept in labelled_rows if q) <= 0.02 * sum(q > 0 for q, _ in labelled_rows)
+
+
 def test_quality_without_labels_and_on_odd_rows(spark, odd):
     none = spark.createDataFrame([], "doc_id long, quality long, toxic long")
     docs = make_docs(spark, odd, extra=True)
