@@ -133,13 +133,15 @@ def train(
 def one_language(sums: np.ndarray, penalty: float) -> int:
     """The language of the whole text, if no other path can be better; else -1.
 
-    ``sums`` holds running score sums per language. A path that leaves the language pays the
-    penalty for each foreign span at least, and gains the span's score difference at most.
+    ``sums`` holds running score sums per language. A path that comes back to the language pays the
+    penalty for each foreign span at least, and gains the span's score difference at most. A path of
+    foreign spans only pays one penalty less: its first and last span must not gain more than one together.
     """
     best = int(sums[-1].argmax())
     lead = sums - sums[:, best : best + 1]
     gain = lead - np.minimum(np.minimum.accumulate(lead, axis=0), 0.0)
-    return best if gain.max() <= penalty else -1
+    ends = lead[:-1].max(initial=0.0) + (lead[-1] - lead[:-1]).max(initial=0.0)
+    return best if max(gain.max(), ends) <= penalty else -1
 
 
 def viterbi(scores: np.ndarray, starts: np.ndarray, ends: np.ndarray, penalty: float) -> np.ndarray:

@@ -159,6 +159,25 @@ def test_viterbi_is_the_best_path():
             assert one < 0 or np.isclose(part[:, one].sum(), best)
 
 
+def test_one_language_is_the_best_path_of_three():
+    scores = np.array([[10.0, -10.0, 0.0], [-11.0, 9.0, 0.0]])
+    assert language_id.one_language(np.cumsum(scores, axis=0), 12.0) == -1  # the first, then the second: 7
+    rng = np.random.default_rng(4)
+    taken = 0
+    for _ in range(400):
+        n = int(rng.integers(1, 6))
+        part = rng.normal(size=(n, 3)) * rng.choice([1, 3, 9])
+        one = language_id.one_language(np.cumsum(part, axis=0), 6.0)
+        paths = np.array(np.meshgrid(*[range(3)] * n)).reshape(n, -1).T
+        best = max(part[np.arange(n), p].sum() - 6.0 * (np.diff(p) != 0).sum() for p in paths)
+        assert one < 0 or np.isclose(part[:, one].sum(), best)
+        taken += one >= 0
+    assert taken > 100
+    labeller = language_id.Labeller(language_id.Model(["a", "b", "c"], np.zeros((language_id.BUCKETS, 3)), {}), 12.0)
+    labeller.places, labeller.table = {"x": 0, "y": 1}, scores.astype(np.float32)
+    assert labeller.label([["x", "y"]])[0].tolist() == [0, 1]
+
+
 def test_held_out_accuracy(spark, sf_dir):
     rows = queries.QUERIES["op4_language_id"](spark, sf_dir).collect()
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
