@@ -2,13 +2,17 @@
 
 A page is cut into blocks at block tags; script, style, forms, comments of the
 markup and regions marked as navigation, header, footer, sidebar, notice,
-advert or reader comments are left out. First pass, block by block: link
+advert or reader comments are left out. A region that encloses an article or
+main element stays, without the text around that element; only articles below
+such a mark beside other main text (reader comments, teasers) go with it. First pass, block by block: link
 density, length and stop-word density say good, bad, or undecided (short, or
 with few stop words). Second pass: an undecided block takes the label of the
 nearest decided blocks before and after it; where they disagree the nearer
 one counts, on a tie the one before. Where a page has an article or main
 element, its blocks start as good unless they are mostly links, and text
-outside of it as bad.
+outside of it as bad. Stop words say nothing about a page in none of the four
+languages, or a block in another script: there length in bytes and link density
+say good, and what is left is undecided, or good if no block of the page is.
 
 Defined results: null or empty html and pages without main text give an empty
 text and 0; text that ends inside a tag or comment ends there; all rows are
@@ -46,35 +50,45 @@ FURNITURE_WORDS = frozenset(
     " disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice pagination pager paywall popup promo"
     " promoted promotion recommended related respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
+# "no-sidebar", "content-with-sidebar": names of what stands beside the furniture
+LAYOUT_WORDS = frozenset("no not without with has have".split())
+# elements that pages wrap around everything
+WRAPPER_TAGS = frozenset(["form", "header"])
 MAIN_TAGS = frozenset(["article", "main"])
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Frequent words of the page languages.
-STOP_WORDS = frozenset(
-    "the of and to in a is that it for was on are as with be by this at from or an not but have had his her they which you we"
-    " der die das und in zu den von mit ist im für auf des dem ein eine einer nicht sich als auch es an werden aus er hat dass sie nach bei"
-    " le la les de des du et en un une que qui dans pour par sur au aux est pas plus avec ce il elle ne se son sa"
-    " el los las y del que en un una por con no para su al lo como más o pero sus se es".split()
-)
+STOP_LISTS = [
+    frozenset(words.split())
+    for words in (
+        "the of and to in a is that it for was on are as with be by this at from or an not but have had his her they which you we",
+        "der die das und in zu den von mit ist im für auf des dem ein eine einer nicht sich als auch es an werden aus er hat dass sie nach bei",
+        "le la les de des du et en un une que qui dans pour par sur au aux est pas plus avec ce il elle ne se son sa",
+        "el los las y del que en un una por con no para su al lo como más o pero sus se es de la a",
+    )
+]
+STOP_WORDS = frozenset().union(*STOP_LISTS)
 
 SHORT, LONG = 70, 200
-MANY_STOPS, SOME_STOPS, MANY_LINKS = 0.32, 0.2, 0.5
+MANY_STOPS, SOME_STOPS, MANY_LINKS, FEW_LINKS = 0.32, 0.2, 0.5, 0.2
 GOOD, BAD, OPEN = "good", "bad", "open"
 
 
-def is_furniture(tag: str, attributes: str) -> bool:
-    if tag in FURNITURE_TAGS:
-        return True
-    if tag in ("html", "body", *MAIN_TAGS) or not attributes:
-        return False
-    for m in ATTRIBUTE.finditer(attributes):
+def marks(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether the element is marked as furniture, and whether by more than a part of a longer class or id."""
+    if tag in ("html", "body", *MAIN_TAGS):
+        return False, False
+    marked, clear = tag in FURNITURE_TAGS, tag in FURNITURE_TAGS and tag not in WRAPPER_TAGS
+    for m in ATTRIBUTE.finditer(attributes) if attributes else ():
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name == "role" and value.strip() in FURNITURE_ROLES:
-            return True
-        if name in ("class", "id") and not FURNITURE_WORDS.isdisjoint(re.split(r"[\s_-]+", value)):
-            return True
-    return False
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value.strip() in FURNITURE_ROLES:
+            return True, True
+        if name in ("class", "id"):
+            for given in value.split():
+                parts = re.split(r"[_-]+", given)
+                found = next((k for k, part in enumerate(parts) if part in FURNITURE_WORDS), None)
+                if found is not None and LAYOUT_WORDS.isdisjoint(parts[:found]):
+                    marked, clear = True, clear or given in FURNITURE_WORDS
+    return marked, clear
 
 
 def pieces(page: str) -> Iterator[tuple[str, str, str]]:
@@ -134,11 +148,24 @@ def blocks_of(page: str) -> list[tuple[str, int, bool]]:
     items = list(pieces(page))
     closings = _closings(items)
     mains = [i for i, (kind, tag, _) in enumerate(items) if kind == "open" and tag in MAIN_TAGS]
+    only_mains = [i for i in mains if items[i][1] == "main"]
+    article_starts = [i for i in mains if items[i][1] == "article"]
     blocks: list[tuple[str, int, bool]] = []
     parts: list[str] = []
     links = inside = main = breaks = 0
     skip_to = -1
 
+    def goes(at: int, end: int, clear: bool) -> bool:
+        """Whether the marked region is left out; one around main text only if it is clearly marked and other main text is left."""
+        first, after = bisect_left(mains, at), bisect_left(mains, end)
+        if first == after:
+            return True
+        if not clear or bisect_left(only_mains, at) < bisect_left(only_mains, end):
+            return False
+        before = bisect_left(article_starts, at)
+        # an article that encloses the region or stands before it, or one after it
+        return before > 0 or bisect_left(article_starts, end) < len(article_starts)
+
     def flush() -> None:
         nonlocal links, breaks
         text = " ".join("".join(parts).split())
@@ -158,12 +185,16 @@ def blocks_of(page: str) -> list[tuple[str, int, bool]]:
             if inside:
                 links += len(" ".join(text.split()))
             continue
-        if kind == "open" and value not in VOID_TAGS and is_furniture(value, attributes):
-            flush()
-            # an unclosed region ends where the next article or main element begins
-            following = bisect_left(mains, i)
-            skip_to = closings.get(i, mains[following] - 1 if following < len(mains) else len(items))
-            continue
+        if kind == "open" and value not in VOID_TAGS:
+            marked, clear = marks(value, attributes)
+            if marked:
+                # an unclosed region ends where the next article or main element begins
+                following = bisect_left(mains, i)
+                end = closings.get(i, mains[following] - 1 if following < len(mains) else len(items))
+                if goes(i, end, clear):
+                    flush()
+                    skip_to = end
+                    continue
         if value == "br":
             breaks += 1
             flush() if breaks > 1 else parts.append(" ")
@@ -177,11 +208,29 @@ def blocks_of(page: str) -> list[tuple[str, int, bool]]:
     return blocks
 
 
+def is_latin(text: str) -> bool:
+    letters = [c for c in text if c.isalpha()]
+    return 2 * sum(c < "\u0250" or "\u1e00" <= c < "\u1f00" for c in letters) >= len(letters)
+
+
+def listed_language(blocks: list[tuple[str, int, bool]]) -> bool:
+    """Whether most words of the page's longer blocks stand in blocks with enough stop words of one of the four languages."""
+    balance = 0
+    for text, links, _ in blocks:
+        if len(text) >= SHORT and links <= MANY_LINKS * len(text):
+            words = [w.strip(".,;:!?\"'()") for w in text.lower().split()]
+            enough = max(sum(w in stops for w in words) for stops in STOP_LISTS) >= SOME_STOPS * len(words)
+            balance += len(words) if enough else -len(words)
+    return balance >= 0
+
+
 def classify(blocks: list[tuple[str, int, bool]]) -> list[bool]:
     """Whether each block belongs to the main text."""
     has_main = any(main for _, _, main in blocks)
+    listed = has_main or listed_language(blocks)
     labels = []
-    for text, links, main in blocks:
+    unlisted = []
+    for i, (text, links, main) in enumerate(blocks):
         density = links / len(text)
         words = text.lower().split()
         stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
@@ -189,6 +238,9 @@ def classify(blocks: list[tuple[str, int, bool]]) -> list[bool]:
             labels.append(BAD)
         elif main:
             labels.append(GOOD if density == 0 or len(text) >= SHORT else OPEN)
+        elif not (listed and is_latin(text)) and len(text.encode("utf-8", "replace")) >= SHORT:
+            unlisted.append(i)
+            labels.append(GOOD if density <= FEW_LINKS and len(text.encode("utf-8", "replace")) >= LONG else OPEN)
         elif len(text) < SHORT:
             labels.append(OPEN if density == 0 else BAD)
         elif stops >= MANY_STOPS and len(text) >= LONG:
@@ -197,6 +249,9 @@ def classify(blocks: list[tuple[str, int, bool]]) -> list[bool]:
             labels.append(OPEN)
         else:
             labels.append(BAD)
+    if GOOD not in labels:
+        for i in unlisted:
+            labels[i] = GOOD
     decided = [i for i, label in enumerate(labels) if label != OPEN]
     out = []
     for i, label in enumerate(labels):

@@ -235,6 +235,37 @@ def test_page_text():
     assert html_extract.main_text("<" * 100_000) == "<" * 100_000
 
 
+def test_regions_around_the_main_text():
+    for mark in ('class="content-with-sidebar"', "class=no-sidebar", 'id="page-header"', "class=widget", "hidden"):
+        for inner in ("<article><p>Kept.</p></article>", "<main><p>Kept.</p></main>"):
+            page = f"<div {mark}><p>Beside.</p>{inner}<div class=sidebar>side</div></div>"
+            assert html_extract.main_text(page) == "Kept.", page
+    assert html_extract.main_text("<form id=aspnetForm><nav>n</nav><main><p>Kept.</p></main></form>") == "Kept."
+    assert html_extract.main_text("<main><div class='no-sidebar'><article><p>Kept.</p></article></div></main>") == "Kept."
+    two = "<div class='has-sidebar'><article><p>One.</p></article></div><div><article><p>Two.</p></article></div>"
+    assert html_extract.main_text(two) == "One.\nTwo."
+    replies = "<section id=comments><article><p>Reply.</p></article></section>"
+    assert html_extract.main_text(f"<article><p>Kept.</p>{replies}</article>") == "Kept."
+    assert html_extract.main_text(f"<main><article><p>Kept.</p></article>{replies}</main>") == "Kept."
+    prose = "It was the best of the days and it was for all of us that we had to go to the end of the road. " * 4
+    assert html_extract.main_text(f"<div class='layout no-sidebar'><p>{prose}</p></div>") == prose.strip()
+    assert html_extract.main_text("<div class=cookie-notice>x<p>y</p></div><div class='post-comments'>z</div>") == ""
+
+
+@pytest.mark.parametrize("sentence", [
+    "Aurinko paistoi koko päivän, ja lapset leikkivät pihalla iltaan saakka. ", "Il sole splendeva tutto il giorno e i bambini giocavano fuori fino a sera. ",
+    "Весь день светило солнце, и дети играли во дворе до самого вечера. ", "太陽は一日中輝いていて、子供たちは夕方まで庭で遊んでいました。",
+])
+def test_languages_without_stop_words(sentence):
+    links = "<ul>" + "<li><a href=/>Lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod</a></li>" * 3 + "</ul>"
+    long, short = (sentence * 5).strip(), (sentence * 2).strip()
+    page = f"{links}<p>{long}</p><p>{short}</p><p>{long}</p>{links}"
+    assert html_extract.main_text(page).split("\n") == [long, short, long]
+    assert html_extract.main_text(f"{links}<p>{short}</p>{links}") == short
+    english = "This is the notice of the site that we have for you and it is not in the language of the page. " * 2
+    assert long in html_extract.main_text(f"{links}<p>{long}</p><p>{long}</p><p>{english}</p>{links}").split("\n")
+
+
 def test_pages(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (None, None, None), (2, "v", ""), (3, None, "plain")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' AS text", "1 AS n_chars")
