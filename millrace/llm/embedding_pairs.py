@@ -10,11 +10,13 @@ precision; products within 1e-9 of the threshold are computed again from the
 vectors as given. A comparison of tiles returns counts per vector and a forest
 of links, never its pairs.
 
+Vectors of different lengths have no cosine; each length has axes and tiles of its own.
+
 The work is quadratic where vectors are spread evenly; each vector travels once for every eighth
 tile within reach.
 
 Defined results: vectors that are null, zero, hold null or non-finite
-components, or have another length than most, link with nothing and are kept;
+components link with nothing and are kept; vectors link with those of their own length;
 equal vectors link with each other; a null id links with nothing and has no component; rows
 with equal ids stay and share a component; other columns are not read.
 """
@@ -185,37 +187,39 @@ def _compare(axes, threshold: float):
     return run
 
 
+def _links(classes: DataFrame, size: int, total: int, threshold: float) -> DataFrame:
+    """``a, b, n`` of classes of one length: forests of links with ``n`` -1, else key and number of links of a node."""
+    spark = classes.sparkSession
+    axes = principal_axes(classes, size)
+    placed = cut_lineage(map_task(classes.select("node", "key", "weight", "vector"), _project(axes[:, 0]), "node long, key long, weight long, vector array<double>, first double"))
+    tiles = -(-total // TILE)
+    shares = [k / tiles for k in range(1, tiles)]
+    cuts = placed.agg(F.percentile_approx("first", shares, 10000).alias("cuts")).first().cuts if shares else []
+    cuts = spark.sparkContext.broadcast(np.array(cuts, np.float64))
+    tile = F.lit(0).cast("long") if not shares else F.size(F.filter(F.array(*map(F.lit, cuts.value.tolist())), lambda c: c < F.col("first"))).cast("long")
+    # unit vectors further apart than this along any axis are below the threshold
+    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + SLACK
+    tiled = cut_lineage(
+        placed.withColumn("tile", tile).groupBy("tile")
+        .applyInArrow(_tile(cuts, reach), "tile long, last long, node binary, key binary, weight binary, vectors binary")
+    )
+    partners = tiled.select(F.col("tile").alias("of"), F.explode(F.sequence("tile", "last")).alias("tile"))
+    of = F.struct("of", F.floor(F.col("tile") / TILES_A_TASK).alias("part")).alias("task")
+    right = tiled.join(partners, "tile").select(of, F.lit(1).alias("side"), "tile", "node", "key", "weight", "vectors")
+    left = partners.select(of, F.col("of").alias("tile")).distinct().join(tiled, "tile").select("task", F.lit(0).alias("side"), "tile", "node", "key", "weight", "vectors")
+    return cut_lineage(left.union(right).groupBy("task").applyInArrow(_compare(spark.sparkContext.broadcast(axes), threshold), "a long, b long, n long"))
+
+
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95) -> DataFrame:
     """``id, n_links, component_id, kept`` of every row."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
-    usable = rows.where(F.col("id").isNotNull() & is_comparable(F.col("vector")))
-    lengths = usable.groupBy(F.size("vector").alias("length")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "length").limit(1).first()
-    size = lengths.length if lengths else 0
-    usable = usable.where(F.size("vector") == size).withColumn("key", F.xxhash64("vector"))
+    usable = rows.where(F.col("id").isNotNull() & is_comparable(F.col("vector"))).withColumn("key", F.xxhash64("vector"))
     classes = cut_lineage(usable.groupBy("key", "vector").agg(F.min("id").alias("node"), F.count("*").alias("weight")))
-    total = classes.count()
-    if total:
-        axes = principal_axes(classes, size)
-        placed = cut_lineage(map_task(classes.select("node", "key", "weight", "vector"), _project(axes[:, 0]), "node long, key long, weight long, vector array<double>, first double"))
-        tiles = -(-total // TILE)
-        shares = [k / tiles for k in range(1, tiles)]
-        cuts = placed.agg(F.percentile_approx("first", shares, 10000).alias("cuts")).first().cuts if shares else []
-        cuts = spark.sparkContext.broadcast(np.array(cuts, np.float64))
-        tile = F.lit(0).cast("long") if not shares else F.size(F.filter(F.array(*map(F.lit, cuts.value.tolist())), lambda c: c < F.col("first"))).cast("long")
-        # unit vectors further apart than this along any axis are below the threshold
-        reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + SLACK
-        tiled = cut_lineage(
-            placed.withColumn("tile", tile).groupBy("tile")
-            .applyInArrow(_tile(cuts, reach), "tile long, last long, node binary, key binary, weight binary, vectors binary")
-        )
-        partners = tiled.select(F.col("tile").alias("of"), F.explode(F.sequence("tile", "last")).alias("tile"))
-        of = F.struct("of", F.floor(F.col("tile") / TILES_A_TASK).alias("part")).alias("task")
-        right = tiled.join(partners, "tile").select(of, F.lit(1).alias("side"), "tile", "node", "key", "weight", "vectors")
-        left = partners.select(of, F.col("of").alias("tile")).distinct().join(tiled, "tile").select("task", F.lit(0).alias("side"), "tile", "node", "key", "weight", "vectors")
-        found = cut_lineage(left.union(right).groupBy("task").applyInArrow(_compare(spark.sparkContext.broadcast(axes), threshold), "a long, b long, n long"))
-    else:
-        found = spark.createDataFrame([], "a long, b long, n long")
+    length = F.size("vector").alias("length")
+    found = spark.createDataFrame([], "a long, b long, n long")
+    for r in classes.groupBy(length).agg(F.count("*").alias("n")).orderBy("length").collect():
+        found = found.union(_links(classes.where(F.size("vector") == r.length), r.length, r.n, threshold))
     counts = found.where("n >= 0").groupBy(F.col("a").alias("node"), F.col("b").alias("key")).agg(F.sum("n").alias("n"))
     linked = cut_lineage(classes.join(counts, ["node", "key"], "left").select("key", "vector", "node", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links")))
     members = usable.select("id", "key", "vector").join(linked, ["key", "vector"]).select("id", "node", "key", "n_links")
@@ -223,7 +227,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     same = members.where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
     components = cut_lineage(connected_components(found.where("n < 0").select("a", "b").union(same)))
     # each row again with its own links: rows that are not comparable have none
-    rest = rows.where(~(F.col("id").isNotNull() & is_comparable(F.col("vector"))) | (F.size("vector") != size)).select("id", F.lit(0).cast("long").alias("n_links"))
+    rest = rows.where(~(F.col("id").isNotNull() & is_comparable(F.col("vector")))).select("id", F.lit(0).cast("long").alias("n_links"))
     every = members.select("id", "n_links").union(rest)
     out = every.join(components.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "n_links", F.coalesce("component", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))

@@ -69,6 +69,26 @@ def test_vectors(spark, monkeypatch):
     assert embedding_pairs.near_duplicates(df.where("vec_id = 2000")).collect()[0].n_links == 0
 
 
+def test_vectors_of_several_lengths(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = []
+    for size, n in ((16, 120), (8, 90), (1, 3), (3, 2)):
+        base = rng.normal(size=(10, size))
+        rows += [(len(rows) + i, (base[i % 10] + rng.normal(size=size) * 0.05 * (i % 4)).tolist()) for i in range(n)]
+    rows += [(500, rows[130][1]), (501, rows[130][1]), (500, rows[0][1]), (502, [1.0, 2.0]), (503, [1.0, 2.0]), (504, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(embedding_pairs, "TILE", 50)
+    links, roots = Counter(), Roots()
+    for n, (i, v) in enumerate(rows):
+        for m, (j, w) in enumerate(rows[:n]):
+            if len(v) == len(w) and any(v) and any(w) and np.dot(v, w) / (np.linalg.norm(v) * np.linalg.norm(w)) >= 0.95:
+                links[n] += 1
+                links[m] += 1
+                roots.join(i, j)
+    got = Counter((r.id, r.n_links, r.component_id) for r in embedding_pairs.near_duplicates(df).collect())
+    assert got == Counter((i, links[n], roots.find(i)) for n, (i, _) in enumerate(rows))
+
+
 def test_bounds_lose_no_pair():
     rng = np.random.default_rng(3)
     x = embedding_pairs.unit(rng.normal(size=(200, 32)) + np.eye(32)[0] * 3)
