@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 Columns = Mapping[str, Sequence]
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def to_schema(schema: str | T.StructType) -> T.StructType:
     return schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
@@ -22,8 +24,18 @@ def record_batch(columns: Columns, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
+def bound_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Hand rows to tasks in batches of at most about ``size`` bytes (one row at least), unless the session says otherwise.
+
+    Batches bounded by rows alone would hold as much as the longest texts do.
+    """
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, size)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[Columns]], schema: str | T.StructType) -> DataFrame:
     """``fn`` gets one Arrow batch at a time and yields dictionaries of output columns."""
+    bound_batches(df.sparkSession)
     kind = to_schema(schema)
     arrow = to_arrow_schema(kind)
 
@@ -37,6 +49,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[Columns]]
 
 def map_task(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[Columns]], schema: str | T.StructType) -> DataFrame:
     """As ``map_batches``, but ``fn`` gets all batches of its task one after the other."""
+    bound_batches(df.sparkSession)
     kind = to_schema(schema)
     arrow = to_arrow_schema(kind)
 

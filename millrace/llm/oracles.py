@@ -66,6 +66,70 @@ FROM bytes LEFT JOIN kept USING (doc_id)
 """
 
 
+_SQUARES = "CAST(list_sum(list_transform(list_zip({x}, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
+
+
+def _moved(n: int, keys: str) -> str:
+    """Floored means of the members found in ``a{n}``, and the entries without any as they were."""
+    return f"""s{n} AS (SELECT {keys}, pos, CAST(sum(v) AS HUGEINT) AS s, CAST(count(*) AS HUGEINT) AS n FROM (
+  SELECT {keys}, unnest(x) AS v, unnest(range(len(x))) AS pos FROM a{n}) GROUP BY ALL),
+m{n} AS (SELECT {keys}, list(CAST((s - (s % n + n) % n) // n AS BIGINT) ORDER BY pos) AS moved FROM s{n} GROUP BY ALL),
+c{n + 1} AS MATERIALIZED (SELECT {keys}, coalesce(moved, c) AS c FROM c{n} LEFT JOIN m{n} USING ({keys}))"""
+
+
+def _vector_codes(rounds: int = 6) -> str:
+    near = f"min({_SQUARES.format(x='p.x')} * 16 + entry)"
+    assign = lambda n: (
+        f"a{n} AS MATERIALIZED (SELECT vec_id, part, any_value(p.x) AS x, {near} % 16 AS entry, {near} // 16 AS d FROM p JOIN c{n} USING (part) GROUP BY vec_id, part)"
+    )
+    steps = ",\n".join(f"{assign(n)},\n{_moved(n, 'part, entry')}" for n in range(rounds))
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+p AS MATERIALIZED (SELECT vec_id, part, x[part * len(x) // 8 + 1 : (part + 1) * len(x) // 8] AS x FROM v, range(8) AS r(part)),
+c0 AS MATERIALIZED (
+  SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x AS c FROM p WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT 16)
+),
+{steps},
+{assign(rounds)},
+coded AS (
+  SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id
+),
+labels AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM coded JOIN v USING (vec_id) GROUP BY label)
+SELECT vec_id, code, error, label_error, (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) FROM c{rounds}) AS codebooks_sha256
+FROM coded JOIN v USING (vec_id) JOIN labels ON v.label IS NOT DISTINCT FROM labels.label
+"""
+
+
+def _centroid_clusters(rounds: int = 3) -> str:
+    near = f"min({_SQUARES.format(x='v.x')} * 16 + cluster)"
+    assign = lambda n: (
+        f"a{n} AS MATERIALIZED (SELECT vec_id, any_value(v.x) AS x, {near} % 16 AS cluster, {near} // 16 AS distance FROM v, c{n} GROUP BY vec_id)"
+    )
+    steps = ",\n".join(f"{assign(n)},\n{_moved(n, 'cluster')}" for n in range(rounds))
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS cluster, x AS c FROM v QUALIFY cluster < 16
+),
+{steps},
+{assign(rounds)},
+sums AS (SELECT cluster, CAST(sum(distance) AS BIGINT) AS cluster_inertia FROM a{rounds} GROUP BY cluster)
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance, cluster_inertia, CAST((SELECT sum(cluster_inertia) FROM sums) AS BIGINT) AS inertia,
+       sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN sums USING (cluster) JOIN c{rounds} USING (cluster)
+"""
+
+
+VECTOR_CODES = _vector_codes()
+CENTROID_CLUSTERS = _centroid_clusters()
+
+
 def _literal(words: list[str]) -> str:
     return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 

@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, embedding_pairs, html_extract, jaccard_join, language_id, license_scan, oracles, packing, quality_rules, suffix_dedup, warc
+from millrace.llm import (
+    bpe, centroid_clusters, embedding_pairs, html_extract, jaccard_join, language_id, license_scan, oracles, packing, quality_rules, suffix_dedup,
+    vector_codes, warc,
+)
 from millrace.plans.registry import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,3 +116,25 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256"
     )
+
+
+@query("op12_vector_codes", oracles.VECTOR_CODES)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes and errors of all vectors."""
+    codes, codebooks = vector_codes.compress_vectors(table(spark, sf_dir, "embeddings"))
+    numbers = F.flatten(F.flatten("codebooks"))
+    digests = codebooks.select("dim", F.sha2(F.array_join(numbers.cast("array<string>"), ","), 256).alias("codebooks_sha256"))
+    code = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    return vector_codes.with_label_errors(codes).join(digests, "dim", "left").select(
+        F.col("id").alias("vec_id"), code.alias("code"), "error", "label_error", "codebooks_sha256"
+    )
+
+
+@query("op13_centroid_clusters", oracles.CENTROID_CLUSTERS)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster, distance and inertias of all vectors."""
+    clusters = centroid_clusters.cluster_vectors(table(spark, sf_dir, "embeddings"))
+    return clusters.select(
+        F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia",
+        F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256).alias("centroid_sha256"),
+    )
