@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import (
-    bpe, centroid_clusters, embedding_pairs, html_extract, jaccard_join, language_id, license_scan, oracles, packing, quality_rules, suffix_dedup,
-    vector_codes, warc,
+    bpe, centroid_clusters, embedding_pairs, html_extract, jaccard_join, language_id, license_scan, oracles, packing, personal_data, quality_rules,
+    suffix_dedup, vector_codes, warc,
 )
 from millrace.plans.registry import table
 
@@ -118,6 +118,18 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op11_personal_data")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text: base counts and spans, and all spans."""
+    docs = table(spark, sf_dir, "documents")
+    found = personal_data.find_personal(docs, personal_data.train(docs))
+    base = F.filter("spans", lambda s: s["base"])
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    kinds = F.transform(base, lambda s: s["kind"])
+    counts = [F.size(F.filter(kinds, F.lit(k).__eq__)).cast("long").alias(f"n_{k}") for k in personal_data.KINDS]
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 @query("op12_vector_codes", oracles.VECTOR_CODES)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes and errors of all vectors."""
