@@ -257,8 +257,8 @@ class Model:
         self.weights = np.zeros((FEATURES, labels))
         self.weights[[1, 2], 0] = 4.0  # an open mention is nothing, unless edges say otherwise
         self.pairs = np.zeros((len(EDGES), labels, labels))
-        self.pairs[1] = 8.0 * np.eye(labels)
-        self.pairs[2] = 3.0 * np.eye(labels)
+        kinds = np.diag([0.0, *[1.0] * len(KINDS)])
+        self.pairs[1], self.pairs[2] = 8.0 * kinds, 3.0 * kinds
         self.weights[29, 1 + KINDS.index("card")] = 1.0
 
     def fit(self, graph: Graph, truth: np.ndarray, rounds: int = 120, rate: float = 0.1, variance: float = 1.0) -> Model:
