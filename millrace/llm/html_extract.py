@@ -8,9 +8,9 @@ such a mark beside other main text (reader comments, teasers) go with it. First
 density, length and stop-word density say good, bad, or undecided (short, or
 with few stop words). Second pass: an undecided block takes the label of the
 nearest decided blocks before and after it; where they disagree the nearer
-one counts, on a tie the one before. Where a page has an article or main
-element, its blocks start as good unless they are mostly links, and text
-outside of it as bad. Stop words say nothing about a page in none of the four
+one counts, on a tie the good one; a heading takes the label of the decided block behind it. Where a page has an article or main
+element, all its blocks are good, and text
+outside of it is bad; inside of it a class or id counts as a mark only if all parts of its name say so (``share-buttons``, not ``share-price``). Stop words say nothing about a page in none of the four
 languages, or a block in another script: there length in bytes and link density
 say good, and what is left is undecided, or good if no block of the page is.
 
@@ -42,7 +42,7 @@ BLOCK_TAGS = frozenset(
     " h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead"
     " title tr ul".split()
 )
-RAW_TAGS = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg math object".split())
+RAW_TAGS = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg".split())
 FURNITURE_TAGS = frozenset("nav header footer aside form dialog menu button select".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
 FURNITURE_WORDS = frozenset(
@@ -50,11 +50,17 @@ FURNITURE_WORDS = frozenset(
     " disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice pagination pager paywall popup promo"
     " promoted promotion recommended related respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
+# parts of names that say what the furniture is made of
+CONTAINER_WORDS = frozenset(
+    "area articles bar block box button buttons container form icons inner item items link links list outer panel posts section slot stories"
+    " title top bottom left right unit wrap wrapper".split()
+)
 # "no-sidebar", "content-with-sidebar": names of what stands beside the furniture
 LAYOUT_WORDS = frozenset("no not without with has have".split())
 # elements that pages wrap around everything
 WRAPPER_TAGS = frozenset(["form", "header"])
 MAIN_TAGS = frozenset(["article", "main"])
+HEADING_TAGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Frequent words of the page languages.
 STOP_LISTS = [
@@ -73,8 +79,14 @@ MANY_STOPS, SOME_STOPS, MANY_LINKS, FEW_LINKS = 0.32, 0.2, 0.5, 0.2
 GOOD, BAD, OPEN = "good", "bad", "open"
 
 
-def marks(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether the element is marked as furniture, and whether by more than a part of a longer class or id."""
+Block = tuple[str, int, bool, bool]
+
+
+def marks(tag: str, attributes: str, in_main: bool = False) -> tuple[bool, bool]:
+    """Whether the element is marked as furniture, and whether by more than a part of a longer class or id.
+
+    Inside of main text a part of a name is no mark beside parts that name something else.
+    """
     if tag in ("html", "body", *MAIN_TAGS):
         return False, False
     marked, clear = tag in FURNITURE_TAGS, tag in FURNITURE_TAGS and tag not in WRAPPER_TAGS
@@ -86,6 +98,8 @@ def marks(tag: str, attributes: str) -> tuple[bool, bool]:
             for given in value.split():
                 parts = re.split(r"[_-]+", given)
                 found = next((k for k, part in enumerate(parts) if part in FURNITURE_WORDS), None)
+                if found is not None and in_main and not all(part in FURNITURE_WORDS or part in CONTAINER_WORDS for part in parts):
+                    continue
                 if found is not None and LAYOUT_WORDS.isdisjoint(parts[:found]):
                     marked, clear = True, clear or given in FURNITURE_WORDS
     return marked, clear
@@ -143,16 +157,17 @@ def _closings(items: list[tuple[str, str, str]]) -> dict[int, int]:
     return found
 
 
-def blocks_of(page: str) -> list[tuple[str, int, bool]]:
-    """Text, characters inside links, and whether it stands in an article or main element, of each block outside furniture."""
+def blocks_of(page: str) -> list[Block]:
+    """Text, characters inside links, whether it stands in an article or main element, and whether it is a heading, of each block outside furniture."""
     items = list(pieces(page))
     closings = _closings(items)
     mains = [i for i, (kind, tag, _) in enumerate(items) if kind == "open" and tag in MAIN_TAGS]
     only_mains = [i for i in mains if items[i][1] == "main"]
     article_starts = [i for i in mains if items[i][1] == "article"]
-    blocks: list[tuple[str, int, bool]] = []
+    blocks: list[Block] = []
     parts: list[str] = []
     links = inside = main = breaks = 0
+    heading = False
     skip_to = -1
 
     def goes(at: int, end: int, clear: bool) -> bool:
@@ -167,12 +182,13 @@ def blocks_of(page: str) -> list[tuple[str, int, bool]]:
         return before > 0 or bisect_left(article_starts, end) < len(article_starts)
 
     def flush() -> None:
-        nonlocal links, breaks
+        nonlocal links, breaks, heading
         text = " ".join("".join(parts).split())
         if text:
-            blocks.append((text, min(links, len(text)), main > 0))
+            blocks.append((text, min(links, len(text)), main > 0, heading))
         parts.clear()
         links = breaks = 0
+        heading = False
 
     for i, (kind, value, attributes) in enumerate(items):
         if i <= skip_to:
@@ -186,7 +202,7 @@ def blocks_of(page: str) -> list[tuple[str, int, bool]]:
                 links += len(" ".join(text.split()))
             continue
         if kind == "open" and value not in VOID_TAGS:
-            marked, clear = marks(value, attributes)
+            marked, clear = marks(value, attributes, main > 0)
             if marked:
                 # an unclosed region ends where the next article or main element begins
                 following = bisect_left(mains, i)
@@ -200,6 +216,7 @@ def blocks_of(page: str) -> list[tuple[str, int, bool]]:
             flush() if breaks > 1 else parts.append(" ")
         elif value in BLOCK_TAGS:
             flush()
+            heading = kind == "open" and value in HEADING_TAGS
         if value == "a":
             inside = kind == "open"
         elif value in MAIN_TAGS:
@@ -213,10 +230,10 @@ def is_latin(text: str) -> bool:
     return 2 * sum(c < "\u0250" or "\u1e00" <= c < "\u1f00" for c in letters) >= len(letters)
 
 
-def listed_language(blocks: list[tuple[str, int, bool]]) -> bool:
+def listed_language(blocks: list[Block]) -> bool:
     """Whether most words of the page's longer blocks stand in blocks with enough stop words of one of the four languages."""
     balance = 0
-    for text, links, _ in blocks:
+    for text, links, _, _ in blocks:
         if len(text) >= SHORT and links <= MANY_LINKS * len(text):
             words = [w.strip(".,;:!?\"'()") for w in text.lower().split()]
             enough = max(sum(w in stops for w in words) for stops in STOP_LISTS) >= SOME_STOPS * len(words)
@@ -224,20 +241,20 @@ def listed_language(blocks: list[tuple[str, int, bool]]) -> bool:
     return balance >= 0
 
 
-def classify(blocks: list[tuple[str, int, bool]]) -> list[bool]:
+def classify(blocks: list[Block]) -> list[bool]:
     """Whether each block belongs to the main text."""
-    has_main = any(main for _, _, main in blocks)
+    has_main = any(main for _, _, main, _ in blocks)
     listed = has_main or listed_language(blocks)
     labels = []
     unlisted = []
-    for i, (text, links, main) in enumerate(blocks):
+    for i, (text, links, main, _) in enumerate(blocks):
         density = links / len(text)
         words = text.lower().split()
         stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
-        if density > MANY_LINKS or has_main and not main:
+        if main:
+            labels.append(GOOD)
+        elif density > MANY_LINKS or has_main:
             labels.append(BAD)
-        elif main:
-            labels.append(GOOD if density == 0 or len(text) >= SHORT else OPEN)
         elif not (listed and is_latin(text)) and len(text.encode("utf-8", "replace")) >= SHORT:
             unlisted.append(i)
             labels.append(GOOD if density <= FEW_LINKS and len(text.encode("utf-8", "replace")) >= LONG else OPEN)
@@ -259,7 +276,12 @@ def classify(blocks: list[tuple[str, int, bool]]) -> list[bool]:
             k = bisect_left(decided, i)
             before = decided[k - 1] if k else None
             after = decided[k] if k < len(decided) else None
-            near = after if before is None or after is not None and after - i < i - before else before
+            if before is None or after is None:
+                near = after if before is None else before
+            elif blocks[i][3] or after - i < i - before or after - i == i - before and labels[after] == GOOD:
+                near = after
+            else:
+                near = before
             label = labels[near] if near is not None else GOOD
         out.append(label == GOOD)
     return out
@@ -269,7 +291,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     blocks = blocks_of(page)
-    return "\n".join(text for (text, _, _), kept in zip(blocks, classify(blocks)) if kept)
+    return "\n".join(text for (text, *_), kept in zip(blocks, classify(blocks)) if kept)
 
 
 def _extract_batch(batch: pa.RecordBatch) -> Iterator[dict]:
