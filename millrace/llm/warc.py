@@ -3,7 +3,8 @@
 ``write_archives`` writes three records per page (request, response or
 revisit, metadata), each a gzip member, into archives below a folder that
 driver and executors share. ``read_records`` reads any such archives, one
-stream per archive. ``assemble`` joins request, response and metadata records
+stream per archive, in as many tasks as there are archives; a path that is listed again is read once. An
+archive that ends inside a record, or has fewer records than its list says, is an error that names it. ``assemble`` joins request, response and metadata records
 through their concurrent-to identifiers and emits one nested row per capture.
 
 Defined results: of pages with equal payloads of at least ``least_bytes`` the
@@ -20,6 +21,7 @@ import base64
 import gzip
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,6 +37,7 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 DATE = "2024-01-01T00:00:00Z"
 ARCHIVE_BYTES = 64 << 20
 ROWS = 2000
+MOST_TASKS = 50_000
 
 RECORD = (
     "record_id string, type string, concurrent_to string, refers_to string, url string, date string, page_id long,"
@@ -129,7 +132,7 @@ def write_archives(
 
 
 def parse_stream(stream) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (lower-case names; repeated ones joined by a blank) and body of each record."""
+    """Headers (lower-case names; repeated ones joined by a blank) and body of each record; raises where one is cut short."""
     while True:
         line = stream.readline()
         while line in (b"\r\n", b"\n"):
@@ -139,11 +142,19 @@ def parse_stream(stream) -> Iterator[tuple[dict[str, str], bytes]]:
         if not line.startswith(b"WARC/"):
             raise ValueError(f"not the start of a record: {line[:40]!r}")
         headers: dict[str, str] = {}
-        while (line := stream.readline()) not in (b"\r\n", b"\n", b""):
+        while (line := stream.readline()) not in (b"\r\n", b"\n"):
+            if not line.endswith(b"\n"):
+                raise EOFError("the archive ends inside the headers of a record")
             name, _, value = line.decode("utf-8", "replace").partition(":")
             name, value = name.strip().lower(), value.strip()
             headers[name] = f"{headers[name]} {value}" if name in headers else value
-        yield headers, stream.read(int(headers["content-length"]))
+        size = int(headers["content-length"])
+        body = stream.read(size)
+        if len(body) < size:
+            raise EOFError(f"the archive ends after {len(body)} of {size} bytes of a record")
+        if (end := stream.readline()).strip(b"\r\n") or not end.endswith(b"\n"):
+            raise EOFError(f"no line end behind a record of {size} bytes")
+        yield headers, body
 
 
 def http_parts(body: bytes) -> tuple[dict[str, str], bytes]:
@@ -172,26 +183,42 @@ def _row(headers: dict[str, str], body: bytes, with_payload: bool) -> dict:
     return row
 
 
+def _read_archive(path: str, records: int | None, with_payload: bool) -> Iterator[dict]:
+    store, place = open_uri(path)
+    found, rows, size = 0, [], 0
+    try:
+        with store.open_input_stream(place, compression=None) as raw, gzip.GzipFile(fileobj=raw) as stream:
+            for headers, body in parse_stream(stream):
+                found += 1
+                rows.append(_row(headers, body, with_payload))
+                size += len(body) * with_payload
+                if len(rows) >= ROWS or size >= 16 << 20:
+                    yield {k: [r[k] for r in rows] for k in rows[0]}
+                    rows, size = [], 0
+    except (EOFError, ValueError, OSError, zlib.error) as e:
+        raise RuntimeError(f"{path}: {e}") from e
+    if records is not None and found != records:
+        raise RuntimeError(f"{path}: {found} records, {records} were written")
+    if rows:
+        yield {k: [r[k] for r in rows] for k in rows[0]}
+
+
 def read_records(archives: DataFrame, with_payload: bool = True) -> DataFrame:
-    """All records of the archives named in column ``path``; an archive is one stream, never held as a whole."""
+    """All records of the archives named in column ``path``; an archive is one stream, never held as a whole.
+
+    Where there is a column ``records``, each archive must have that many.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            for path in batch.column("path").to_pylist():
-                store, place = open_uri(path)
-                with store.open_input_stream(place, compression=None) as raw, gzip.GzipFile(fileobj=raw) as stream:
-                    rows, size = [], 0
-                    for headers, body in parse_stream(stream):
-                        rows.append(_row(headers, body, with_payload))
-                        size += len(body) * with_payload
-                        if len(rows) >= ROWS or size >= 16 << 20:
-                            yield {k: [r[k] for r in rows] for k in rows[0]}
-                            rows, size = [], 0
-                    if rows:
-                        yield {k: [r[k] for r in rows] for k in rows[0]}
-
-    # archives are few and large: one task for each
-    return map_task(archives.select("path").repartition(F.col("path")), read, RECORD)
+            for path, records in zip(batch.column("path").to_pylist(), batch.column("records").to_pylist()):
+                yield from _read_archive(path, records, with_payload)
+
+    records = F.max("records") if "records" in archives.columns else F.lit(None)
+    listed = archives.groupBy("path").agg(records.cast("long").alias("records"))
+    # a number of tasks is named, as adaptive execution would put a few short paths into one
+    tasks = max(1, min(MOST_TASKS, archives.count()))
+    return map_task(listed.repartition(tasks), read, RECORD)
 
 
 def assemble(records: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from odd_rows import make_docs
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -222,6 +223,35 @@ def test_archives_are_standard(spark, tmp_path):
     assert kinds == {"request": 10, "metadata": 10, "response": 5, "revisit": 5}
 
 
+def test_an_archive_is_a_task(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 1)
+    pages = page_rows(spark, [(i, f"http://h/{i}", f"text {i}") for i in range(24)])
+    archives = warc.write_archives(pages.repartition(4), str(tmp_path / "many"))
+    assert archives.count() == 24
+    read = warc.read_records(archives.union(archives))  # listed twice, read once
+    per_task = read.groupBy(F.spark_partition_id()).count().collect()
+    assert len(per_task) >= 20 and sum(r["count"] for r in per_task) == 72
+
+
+def test_short_archives_are_errors(spark, tmp_path):
+    archives = warc.write_archives(page_rows(spark, PAGES).coalesce(1), str(tmp_path / "w"))
+    (path,) = (tmp_path / "w").glob("*.warc.gz")
+    whole = path.read_bytes()
+    plain = gzip.decompress(whole)
+    members = [i for i in range(len(whole)) if whole.startswith(b"\x1f\x8b\x08", i)]
+    uri = archives.first().path
+    named = lambda n: spark.createDataFrame([(uri, n)], "path string, records long")
+    assert warc.read_records(named(30)).count() == 30 and warc.read_records(named(30).select("path")).count() == 30
+    for cut in (whole[:-40], gzip.compress(plain[:400]), gzip.compress(plain[: len(plain) // 2]), gzip.compress(plain[:30]), gzip.compress(plain[:-3])):
+        path.write_bytes(cut)
+        with pytest.raises(Exception, match=path.name):
+            warc.read_records(named(None)).count()
+    path.write_bytes(whole[: members[-2]])  # between records: nothing but the count can tell
+    assert warc.read_records(named(None)).count() == 28
+    with pytest.raises(Exception, match="28 records, 30 were written"):
+        warc.read_records(named(30)).count()
+
+
 def test_no_pages(spark, tmp_path):
     assert warc.archive_round_trip(spark, page_rows(spark, PAGES).limit(0)).count() == 0
 
