@@ -176,6 +176,8 @@ class Automaton:
                 if ends[node] != START:
                     stack.append((j + 1, ends[node], here))
         else:
+            if n:
+                raise ValueError(f"the vocabulary has no segmentation of {word!r}")
             return []
         ids = []
         while here[2] is not None:
