@@ -22,10 +22,10 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.batches import map_batches
+from millrace.llm.batches import beside_rows, map_batches
 
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 BUCKETS = 1 << 16
@@ -292,13 +292,12 @@ def identify(
     return map_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), run, schema)
 
 
-def language_column(spark: SparkSession, model: Model, text: Column, switch_penalty: float = 12.0) -> Column:
-    """``lang_pred`` and ``score`` as a struct column, for rows that must keep their other columns."""
-    predict = _predictor(spark.sparkContext.broadcast(model), switch_penalty, False)
+def with_language(docs: DataFrame, model: Model, text_col: str = "text", switch_penalty: float = 12.0) -> DataFrame:
+    """All columns of ``docs`` in a struct ``row``, beside ``lang_pred`` and ``score``; each text crosses to its task once."""
+    predict = _predictor(docs.sparkSession.sparkContext.broadcast(model), switch_penalty, False)
 
-    @F.arrow_udf("struct<lang_pred:string,score:double>")
-    def column(texts: pa.Array) -> pa.Array:
+    def found(texts: pa.Array) -> dict:
         preds, shares, _ = predict(texts.to_pylist())
-        return pa.StructArray.from_arrays([pa.array(preds, pa.string()), pa.array(shares, pa.float64())], ["lang_pred", "score"])
+        return {"lang_pred": preds, "score": shares}
 
-    return column(text)
+    return beside_rows(docs, [text_col], found, "lang_pred string, score double")

@@ -11,10 +11,13 @@ bound of the share of good documents that it or any step before rejects is at
 most ``max_false_rejection``. As the order is fixed before the holdout is read, each
 stratum is tested at ``delta`` over the number of strata with proposals, whatever the number of
 rules and cutoffs, and all bounds hold together with probability ``1 - delta``.
+The population of a bound are the good documents of its stratum that pass the base
+rules, one trial for each labelled id, however often its row occurs.
 
 Defined results: a null or empty text has no words and fails the base rules;
-a null stratum is a stratum of its own; a null id is never labelled; repeated
-ids keep their rows; several labels of one id count as good only if all are
+a null stratum is a stratum of its own, named ``NULL_STRATUM`` (a name that begins with that character gets another one in
+front); a null id is never labelled; repeated
+ids keep their rows, and the first of them by stratum and scores is their trial; several labels of one id count as good only if all are
 good; null labels count as absent; a stratum with too few labels rejects
 nothing. Columns other than the named ones are not read, so clashing names do
 not matter.
@@ -31,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from millrace.llm.batches import map_batches
+from millrace.llm.batches import beside_rows, map_batches
 from millrace.session import cut_lineage
 
 SYMBOLS = b"#*$%&|<>"
@@ -51,6 +54,7 @@ RULES = {
     "word_length": ("word_chars", "n_words"),
 }
 CUTOFFS = 32
+NULL_STRATUM = "\0"
 CUTOFF = pa.schema([("stratum", pa.string()), ("rule", pa.int64()), ("cutoff", pa.float64()), ("good_rejected", pa.int64()), ("good", pa.int64())])
 PROPOSAL = pa.schema([("stratum", pa.string()), ("rule", pa.int64()), ("cutoffs", pa.list_(pa.float64())), ("lost", pa.list_(pa.int64()))])
 STEPS = pa.schema([("stratum", pa.string()), ("steps", pa.list_(pa.struct([("rule", pa.int64()), ("cutoff", pa.float64())])))])
@@ -94,29 +98,26 @@ def counts_of(text: bytes | None) -> tuple[int, ...]:
     )
 
 
-def _count_batch(batch: pa.RecordBatch) -> Iterator[dict]:
-    rows = [counts_of(t) for t in batch.column("text").to_pylist()]
-    columns = dict(zip(COUNT_NAMES, zip(*rows))) if rows else {n: [] for n in COUNT_NAMES}
-    yield {"id": batch.column("id"), "stratum": batch.column("stratum"), **columns}
+def _counts(texts: pa.Array) -> dict:
+    rows = [counts_of(t.as_py()) for t in texts.cast(pa.binary())]
+    return dict(zip(COUNT_NAMES, zip(*rows))) if rows else {n: [] for n in COUNT_NAMES}
 
 
-def text_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang") -> DataFrame:
-    """``id``, ``stratum`` and the counts of each text; rows stay as they are, in one pass without a shuffle."""
-    stratum = F.col(stratum_col).cast("string") if stratum_col else F.lit("all")
-    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(stratum, F.lit("")).alias("stratum"), F.col(text_col).cast("binary").alias("text"))
-    return map_batches(picked, _count_batch, f"id long, stratum string, {COUNTS}")
+def _count_batch(batch: pa.RecordBatch) -> Iterator[dict]:
+    yield {"id": batch.column("id"), "stratum": batch.column("stratum"), **_counts(batch.column("text"))}
 
 
-def counts_column(text: Column) -> Column:
-    """The counts as a struct column, for rows that must keep their other columns."""
+def stratum_key(stratum_col: str | None) -> Column:
+    if stratum_col is None:
+        return F.lit("all")
+    name = F.col(f"`{stratum_col}`").cast("string")
+    return F.when(name.isNull(), NULL_STRATUM).when(name.startswith(NULL_STRATUM), F.concat(F.lit(NULL_STRATUM), name)).otherwise(name)
 
-    @F.arrow_udf(f"struct<{COUNTS.replace(' long', ':long')}>")
-    def counts(texts: pa.Array) -> pa.Array:
-        rows = [counts_of(t) for t in texts.to_pylist()]
-        columns = zip(*rows) if rows else [[] for _ in COUNT_NAMES]
-        return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], COUNT_NAMES)
 
-    return counts(text.cast("binary"))
+def text_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang") -> DataFrame:
+    """``id``, ``stratum`` and the counts of each text; rows stay as they are, in one pass without a shuffle."""
+    picked = docs.select(F.col(id_col).cast("long").alias("id"), stratum_key(stratum_col).alias("stratum"), F.col(text_col).alias("text"))
+    return map_batches(picked, _count_batch, f"id long, stratum string, {COUNTS}")
 
 
 def scores() -> Column:
@@ -221,9 +222,12 @@ def certified_cutoffs(
         labels.where(F.col(label_id).isNotNull() & F.col(label_col).isNotNull())
         .groupBy(F.col(label_id).cast("long").alias("id")).agg((F.min(F.col(label_col)) > 0).alias("good"))
     )
-    rows = cut_lineage(
+    trials = (
         counts.where(~base_failed()).select("id", "stratum", scores().alias("scores")).join(good, "id")
-        .select("stratum", "good", (F.crc32(F.col("id").cast("string").cast("binary")) % 4 > 0).alias("holdout"), "scores")
+        .groupBy("id").agg(F.min(F.struct("stratum", "scores")).alias("first"), F.min("good").alias("good"))
+    )
+    rows = cut_lineage(
+        trials.select("first.stratum", "good", (F.crc32(F.col("id").cast("string").cast("binary")) % 4 > 0).alias("holdout"), "first.scores")
     )
     design = rows.where(~F.col("holdout"))
     long = design.select("stratum", "good", F.posexplode("scores").alias("rule_no", "score"))
@@ -277,9 +281,11 @@ def quality_rules(
 def keep_passing(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang", **limits: float
 ) -> DataFrame:
-    """The rows of ``docs`` that pass, with their columns. Verdicts follow from text and stratum, so no row is joined by its id."""
-    counts = cut_lineage(text_counts(docs, id_col, text_col, stratum_col))
-    cutoffs = cut_lineage(certified_cutoffs(counts, labels, **limits))
-    stratum = F.coalesce(F.col(stratum_col).cast("string"), F.lit("")) if stratum_col else F.lit("all")
-    whole = docs.select(F.struct(*docs.columns).alias("row"), stratum.alias("stratum"), counts_column(F.col(text_col)).alias("counts"))
-    return judge(whole.select("row", "stratum", "counts.*"), cutoffs).where("kept").select("row.*")
+    """The rows of ``docs`` that pass, with their columns.
+
+    Texts are counted twice, for the cutoffs and for the verdicts, so no second copy of them is written; verdicts follow from counts and
+    stratum, and no row is joined by its id.
+    """
+    cutoffs = cut_lineage(certified_cutoffs(cut_lineage(text_counts(docs, id_col, text_col, stratum_col)), labels, **limits))
+    stratum = stratum_key(f"row`.`{stratum_col}" if stratum_col else None).alias("stratum")
+    return judge(beside_rows(docs, [text_col], _counts, COUNTS).select("row", stratum, *COUNT_NAMES), cutoffs).where("kept").select("row.*")
