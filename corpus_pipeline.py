@@ -28,8 +28,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text is mostly in one known language."""
     model = language_id.train(docs.where(~held_out()))
-    found = docs.select(F.struct(*docs.columns).alias("row"), language_id.language_column(spark, model, F.col("text")).alias("found"))
-    return found.where((F.col("found.lang_pred") != "und") & (F.col("found.score") >= LEAST_LANGUAGE_SHARE)).select("row.*")
+    found = language_id.with_language(docs, model)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SHARE)).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
