@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import uuid
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.constants import SCAN_LIMIT
 from millrace.hooks import Predicate, as_condition
 from millrace.operators.ranking import latest_by, numbered
+from millrace.session import cut_lineage
+from millrace.sources.versions import VersionLog
+from millrace.sources.writers import open_uri
+
+BUCKET = "bucket__"
 
 
 # -- reading -------------------------------------------------------------------
@@ -174,39 +181,81 @@ def frame_catalog(frames: Mapping[str, DataFrame]) -> DataFrame:
 
 
 class KeyedTable:
-    """A catalog table whose upserts write a new folder and then point at it.
-
-    A reader sees the old folder or the new one, never half of either. The
-    folders lie below ``root``, which every executor must reach.
+    """A keyed table in hash buckets, whose upserts rewrite only the buckets they touch.
+
+    A version names the folder of each bucket. An upsert or delete reads
+    and writes the buckets of its keys, and then switches to a version that names the new
+    folders beside the old ones of all others, so a reader sees the old rows or the new
+    ones, never half of either. Folders of earlier versions stay for their readers until ``vacuum``.
+    Everything lies below ``root``, which every executor must reach; the driver
+    holds one name per bucket. The catalog has the name and the types of the table; its rows are those of ``read``.
+    The number of buckets is fixed when the table is created: take so many that a bucket is a task's work.
     """
 
-    def __init__(self, spark: SparkSession, keyspace: str, name: str, keys: Sequence[str], root: str):
-        self.spark, self.keys = spark, list(keys)
+    def __init__(self, spark: SparkSession, keyspace: str, name: str, keys: Sequence[str], root: str, buckets: int = 64):
+        self.spark, self.keys, self.buckets = spark, list(keys), buckets
         self.keyspace, self.name = keyspace, name
         self.full_name = f"`{keyspace}`.`{name}`"
         self.root = root.rstrip("/")
+        self.log = VersionLog(spark, f"{self.root}/versions")
 
     def create(self, columns: str) -> None:
-        create_table(self.spark, self.keyspace, self.name, columns, location=f"{self.root}/v0")
+        """Create keyspace and table if absent; a table that is there keeps its rows and its buckets."""
+        create_table(self.spark, self.keyspace, self.name, columns, location=f"{self.root}/catalog")
+        number, names = self.log.current()
+        if not number:
+            self.log.commit(1, {"label": "", "buckets": str(self.buckets)})
+        else:
+            self.buckets = int(names["buckets"])
 
     def read(self) -> DataFrame:
-        return self.spark.table(self.full_name)
+        return self._rows(self._folders().values())
 
     def upsert(self, updates: DataFrame, version: str, order: Sequence[str] = ("write_ts",)) -> None:
-        """Write the merged rows as ``version`` and switch to it; safe to repeat."""
-        self._switch(upsert_by_key(self.read(), updates, self.keys, order), version)
+        """Merge the updates and switch to ``version``; safe to repeat."""
+        if self._label() != version:
+            new = cut_lineage(latest_by(updates, self.keys, order))
+            self._switch(new, lambda old: upsert_by_key(old, new, self.keys, order), version)
 
     def delete(self, deleted: DataFrame, version: str) -> None:
-        self._switch(delete_by_key(self.read(), deleted, self.keys), version)
-
-    def _location(self) -> str:
-        rows = self.spark.sql(f"DESCRIBE FORMATTED {self.full_name}").where("col_name = 'Location'")
-        return rows.first()["data_type"].rstrip("/")
-
-    def _switch(self, rows: DataFrame, version: str) -> None:
-        target = f"{self.root}/{version}"
-        if self._location().endswith(f"/{version}"):
-            return
-        rows.write.mode("overwrite").parquet(target)
-        self.spark.sql(f"ALTER TABLE {self.full_name} SET LOCATION '{target}'")
-        self.spark.catalog.refreshTable(self.full_name)
+        if self._label() != version:
+            gone = cut_lineage(deleted.select(*self.keys).distinct())
+            self._switch(gone, lambda old: delete_by_key(old, gone, self.keys), version)
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Delete the folders that none of the latest ``keep`` versions names; how many were deleted."""
+        used = self.log.values(keep)
+        system, base = open_uri(f"{self.root}/data")
+        n = 0
+        for run in system.get_file_info(fs.FileSelector(base, allow_not_found=True)):
+            for bucket in system.get_file_info(fs.FileSelector(run.path)):
+                if bucket.type == fs.FileType.Directory and f"{run.base_name}/{bucket.base_name}" not in used:
+                    system.delete_dir(bucket.path)
+                    n += 1
+        return n
+
+    def _label(self) -> str | None:
+        return self.log.current()[1].get("label")
+
+    def _folders(self) -> dict[int, str]:
+        return {int(k): v for k, v in self.log.current()[1].items() if k.isdigit()}
+
+    def _rows(self, folders) -> DataFrame:
+        paths = [f"{self.root}/data/{f}" for f in folders]
+        schema = self.spark.table(self.full_name).schema
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int").alias(BUCKET)
+
+    def _switch(self, changed: DataFrame, merge: Callable[[DataFrame], DataFrame], version: str) -> None:
+        number, _ = self.log.current()
+        folders = self._folders()
+        touched = {r[0] for r in changed.select(self._bucket()).distinct().collect()}  # as many as buckets at most
+        rows = merge(self._rows(folders[b] for b in touched if b in folders))
+        run = f"{number + 1}-{uuid.uuid4().hex[:12]}"  # a run that failed leaves a folder that nothing names
+        target = f"{self.root}/data/{run}"
+        rows.withColumn(BUCKET, self._bucket()).repartition(BUCKET).write.partitionBy(BUCKET).parquet(target)
+        written = self.spark.read.schema(f"{BUCKET} int").parquet(target).select(BUCKET).distinct().collect()
+        now = {b: f for b, f in folders.items() if b not in touched} | {r[0]: f"{run}/{BUCKET}={r[0]}" for r in written}
+        self.log.commit(number + 1, {"label": version, "buckets": str(self.buckets)} | {str(b): f for b, f in now.items()})

@@ -111,7 +111,7 @@ def create_table(spark, sf_dir):
         orders.upsert(order_rows(spark, sf_dir), "filled")
         orders.upsert(order_updates(spark, sf_dir), "updated")
         orders.delete(table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select("o_orderkey"), "pruned")
-        return spark.read.parquet(f"{path}/pruned")
+        return orders.read()
     finally:
         ops.drop_keyspace(spark, keyspace)
 

@@ -70,6 +70,48 @@ def test_upsert_switches_versions(spark, keyspace, tmp_path):
     assert {r.k for r in table.read().collect()} == {1, 3}
 
 
+def test_an_upsert_rewrites_only_its_buckets(spark, keyspace, tmp_path):
+    schema = "k bigint, v string, write_ts bigint"
+    table = keyed.KeyedTable(spark, keyspace, "t", ["k"], str(tmp_path / "t"), buckets=16)
+    table.create(schema)
+    assert table.read().count() == 0
+    table.upsert(spark.range(1000).selectExpr("id AS k", "'a' AS v", "1L AS write_ts"), "v1")
+    before = table._folders()
+    files = {p: p.stat().st_mtime_ns for p in (tmp_path / "t" / "data").rglob("*.parquet")}
+    assert len(before) == 16
+    one = spark.createDataFrame([(7, "b", 2), (7, "c", 3)], schema)
+    table.upsert(one, "v2")
+    after = table._folders()
+    changed = {b for b in after if after[b] != before[b]}
+    assert len(changed) == 1 and after.keys() == before.keys()
+    assert {p: p.stat().st_mtime_ns for p in files} == files  # nothing else was written again
+    new = [p for p in (tmp_path / "t" / "data").rglob("*.parquet") if p not in files]
+    assert {p.parent.name for p in new} == {f"bucket__={changed.pop()}"}
+    assert table.read().where("v <> 'a'").collect() == [(7, "c", 3)] and table.read().count() == 1000
+    table.delete(spark.range(1000).selectExpr("id AS k").where("k <> 7"), "v3")
+    assert [r.k for r in table.read().collect()] == [7] and len(table._folders()) == 1
+    table.delete(spark.createDataFrame([(7,)], "k bigint"), "v4")
+    assert table.read().count() == 0
+    assert table.vacuum(keep=1) == 16 + 1 + 1
+    again = keyed.KeyedTable(spark, keyspace, "t", ["k"], str(tmp_path / "t"), buckets=3)
+    again.create(schema)
+    again.upsert(one, "v5")
+    assert again.buckets == 16 and again.read().collect() == [(7, "c", 3)]
+
+
+def test_a_failed_upsert_changes_nothing(spark, keyspace, tmp_path):
+    schema = "k bigint, v string, write_ts bigint"
+    table = keyed.KeyedTable(spark, keyspace, "t", ["k"], str(tmp_path / "t"), buckets=4)
+    table.create(schema)
+    table.upsert(spark.createDataFrame([(1, "a", 1), (2, "b", 1)], schema), "v1")
+    bad = spark.createDataFrame([(2, "c", 2)], schema).withColumn("v", F.raise_error(F.lit("lost")).cast("string"))
+    with pytest.raises(Exception, match="lost"):
+        table.upsert(bad, "v2")
+    assert {tuple(r) for r in table.read().collect()} == {(1, "a", 1), (2, "b", 1)}
+    table.upsert(spark.createDataFrame([(2, "c", 2)], schema), "v2")
+    assert {r.v for r in table.read().collect()} == {"a", "c"}
+
+
 def test_scans_take_text_columns_and_functions(spark):
     frame = spark.range(100)
     assert keyed.scan_where(frame, "id > 90").count() == 9
