@@ -12,7 +12,7 @@ from millrace.session import scratch_path
 from millrace.sources.topics import choose_topics, file_stream
 from millrace.streaming import upserts
 from millrace.streaming.runs import ProgressLog, run_handler, run_to_files
-from millrace.streaming.waits import wait_for_file_stream, wait_until_ready_stream
+from millrace.streaming.waits import run_and_close, wait_for_file_stream, wait_until_ready_stream
 
 
 def _events(spark, sf_dir, files_per_trigger=None):
@@ -40,6 +40,13 @@ def _through_files(spark, stream, label):
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
+def _waits_to_the_end(spark, polls, answers, label):
+    """Answers of all waits, of those that are open when the source ends too."""
+    path = scratch_path(spark, label)
+    run_and_close(spark, polls, f"{path}/markers", lambda stream: run_to_files(stream, f"{path}/rows", f"{path}/checkpoint"), answers)
+    return spark.read.parquet(f"{path}/rows")
+
+
 @query("stream_subscribe", """
 SELECT event_type AS topic, CAST(user_id % 4 AS INTEGER) AS "partition", event_id AS "offset",
        CAST(user_id AS VARCHAR) AS key, props AS value
@@ -108,7 +115,7 @@ def wait_until_ready_by_stream(spark, sf_dir):
     polls = _events(spark, sf_dir).select(
         F.col("user_id").alias("resource"), _micros().alias("at"), (F.col("event_type") == "purchase").alias("ready")
     )
-    return _through_files(spark, wait_until_ready_stream(polls, unit=MINUTE_US), "ready")
+    return _waits_to_the_end(spark, polls, lambda p: wait_until_ready_stream(p, "1 day", unit=MINUTE_US), "ready")
 
 
 @query("wait_for_file_stream", """
@@ -124,11 +131,11 @@ FROM tried
 """)
 def wait_for_file_by_stream(spark, sf_dir):
     arrivals = _events(spark, sf_dir).select(
-        F.concat(F.lit("flags/"), "user_id").alias("path"),
+        F.concat(F.lit("flags/"), "user_id").alias("resource"),
         _micros().alias("at"),
-        (F.col("event_type") == "signup").alias("arrived"),
+        (F.col("event_type") == "signup").alias("ready"),
     )
-    return _through_files(spark, wait_for_file_stream(arrivals, unit=MINUTE_US, interval=30), "files")
+    return _waits_to_the_end(spark, arrivals, lambda p: wait_for_file_stream(p, "1 day", unit=MINUTE_US, interval=30), "files")
 
 
 @query("wait_for_value_stream", f"""

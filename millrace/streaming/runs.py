@@ -42,17 +42,18 @@ def run_handler(stream: DataFrame, handler: BatchHandler, checkpoint: str, mode:
 
 
 class ProgressLog(StreamingQueryListener):
-    """Keeps the progress reports of the queries it sees, one per micro-batch."""
+    """Keeps the progress reports of the queries it sees, one per micro-batch, until they are forgotten."""
 
     def __init__(self):
-        self.reports: list[dict] = []
+        self._reports: dict[str, list[dict]] = {}
         self._ended: dict[str, threading.Event] = {}
 
     def onQueryStarted(self, event) -> None:
         pass
 
     def onQueryProgress(self, event) -> None:
-        self.reports.append(json.loads(event.progress.json))
+        report = json.loads(event.progress.json)
+        self._reports.setdefault(report["runId"], []).append(report)
 
     def onQueryIdle(self, event) -> None:
         pass
@@ -60,15 +61,20 @@ class ProgressLog(StreamingQueryListener):
     def onQueryTerminated(self, event) -> None:
         self._ended.setdefault(str(event.runId), threading.Event()).set()
 
-    def wait_for(self, query: StreamingQuery, seconds: float = 60.0) -> None:
-        """Block until the end of a query, and so all its reports, has arrived."""
-        self._ended.setdefault(str(query.runId), threading.Event()).wait(seconds)
+    def wait_for(self, query: StreamingQuery, seconds: float = 600.0) -> None:
+        """Block until the end of a query, and so all its reports, has arrived; an error if it does not arrive in time."""
+        if not self._ended.setdefault(str(query.runId), threading.Event()).wait(seconds):
+            raise TimeoutError(f"the end of query {query.runId} has not been reported within {seconds} s: its reports may be incomplete")
+
+    def forget(self, query: StreamingQuery) -> None:
+        """Drop the reports of a query, so that a listener that lives long stays small."""
+        self._reports.pop(str(query.runId), None)
+        self._ended.pop(str(query.runId), None)
 
     def rows(self, query: StreamingQuery) -> list[tuple]:
         return [
             (r["batchId"], r["timestamp"], r["numInputRows"], float(r.get("processedRowsPerSecond") or 0.0))
-            for r in self.reports
-            if r["runId"] == str(query.runId)
+            for r in self._reports.get(str(query.runId), [])
         ]
 
     def to_frame(self, spark: SparkSession, query: StreamingQuery) -> DataFrame:

@@ -1,13 +1,21 @@
-"""Waits as streams: a wait stays open until its answer can no longer change."""
+"""Waits as streams: a wait stays open until its answer can no longer change, and every wait gets an answer.
+
+Each wait is a small state with one event-time timer. When the watermark passes the
+end of the wait its answer is given and the state shrinks to a mark that it is over; a
+second timer removes the mark. At the end of a source a marker row moves the
+watermark behind all ends: open waits are answered as the batch forms answer
+them, and no state is left.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from datetime import datetime, timezone
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from millrace.constants import FILE_MAX_POLLS, READY_INTERVAL, READY_TIMEOUT
 from millrace.operators.status import file_verdict, ready_verdict
@@ -15,87 +23,149 @@ from millrace.operators.status import file_verdict, ready_verdict
 SEEN = "resource string, start long, ready_at long, ts timestamp"
 WAIT = "resource string, start long, ready_at long"
 STATE = "start long, ready_at long, ready boolean, closed boolean"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+# Times of real rows lie before the first of these; a marker row carries the second.
+CLEAR_MS = int(datetime(2200, 1, 1, tzinfo=timezone.utc).timestamp() * 1000)
+MARKER_US = int(datetime(2261, 1, 1, tzinfo=timezone.utc).timestamp() * 1_000_000)
 
 
 def _reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """First row, first ready row and newest time per resource of each Arrow batch."""
     for batch in batches:
-        batch["ready_at"] = batch["at"].where(batch["ready"]).astype("Int64")
-        seen = batch.groupby("resource", sort=False, as_index=False).agg(
+        batch["ready_at"] = batch["at"].where(batch["ready"].fillna(False).astype(bool)).astype("Int64")
+        seen = batch.groupby("resource", sort=False, as_index=False, dropna=False).agg(
             start=("at", "min"), ready_at=("ready_at", "min"), ts=("at", "max")
         )
         seen["ts"] = pd.to_datetime(seen["ts"], unit="us")
         yield seen[["resource", "start", "ready_at", "ts"]]
 
 
-def closed_waits(polls: DataFrame, limit: int, delay: str = "0 seconds") -> DataFrame:
+class _Wait(StatefulProcessor):
+    def __init__(self, limit: int, keep_ms: int | None):
+        self.limit, self.keep_ms = limit, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.wait = handle.getValueState("wait", STATE)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if key[0] is None:
+            return  # markers
+        start, ready_at, ready, closed = self.wait.get() if self.wait.exists() else (None, 0, False, False)
+        if closed:
+            return
+        before = None if start is None else self._end(start, ready_at, ready)
+        for frame in rows:
+            first = int(frame["start"].min())
+            start = first if start is None else min(start, first)
+            seen = frame["ready_at"].dropna()
+            if len(seen):
+                ready_at = min(ready_at, int(seen.min())) if ready else int(seen.min())
+                ready = True
+        end = self._end(start, ready_at, ready)
+        if before is not None and before != end:
+            self.handle.deleteTimer(before)
+        if end < timerValues.getCurrentWatermarkInMs():
+            yield from self._answer(key, start, ready_at, ready, timerValues)
+        else:
+            self.wait.update((start, ready_at, ready, False))
+            self.handle.registerTimer(end)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.wait.exists():
+            return
+        start, ready_at, ready, closed = self.wait.get()
+        if closed:
+            self.wait.clear()
+        elif expiredTimerInfo.getExpiryTimeInMs() == self._end(start, ready_at, ready):
+            yield from self._answer(key, start, ready_at, ready, timerValues)
+
+    def _end(self, start: int, ready_at: int, ready: bool) -> int:
+        end = min(ready_at, start + self.limit) if ready else start + self.limit
+        return -(-end // 1000)
+
+    def _answer(self, key, start, ready_at, ready, timerValues) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        clear = CLEAR_MS if self.keep_ms is None else min(CLEAR_MS, now + self.keep_ms)
+        if now < clear:
+            self.wait.update((start, ready_at, ready, True))
+            self.handle.registerTimer(clear)
+        else:
+            self.wait.clear()
+        yield pd.DataFrame({"resource": [key[0]], "start": [start], "ready_at": pd.Series([ready_at if ready else None], dtype="Int64")})
+
+
+def closed_waits(polls: DataFrame, limit: int, delay: str, keep_ms: int | None = None) -> DataFrame:
     """One row per resource once its wait is over: start and first ready time.
 
     ``polls`` is a stream of (resource, at in microseconds, ready). Rows are
     reduced per resource before they are shuffled, so a busy resource sends few.
     A wait closes when the watermark has passed its first ready row, or
     ``limit`` microseconds after its start; until then rows that are late by
-    less than ``delay`` still count. Times start after the epoch, where Spark
-    sets the first watermark.
+    less than ``delay`` still count. ``delay`` must cover the disorder of the source: rows that are later are dropped, as with any watermark.
+    That a wait is over is remembered for ``keep_ms`` milliseconds of event time, so that
+    the resource does not open another one, or until the marker. Rows without a resource are markers (``marker_rows``).
     """
-
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        # ready_at counts once ready is set
-        start, ready_at, ready, closed = state.get if state.exists else (None, 0, False, False)
-        if closed:
-            return
-        if not state.hasTimedOut:
-            for frame in frames:
-                first = int(frame["start"].min())
-                start = first if start is None else min(start, first)
-                seen = frame["ready_at"].dropna()
-                if len(seen):
-                    ready_at = min(ready_at, int(seen.min())) if ready else int(seen.min())
-                    ready = True
-        end = min(ready_at, start + limit) if ready else start + limit
-        end_ms = -(-end // 1000)
-        over = state.hasTimedOut or end_ms < state.getCurrentWatermarkMs()
-        state.update((start, ready_at, ready, over))
-        if over:
-            answer = pd.Series([ready_at if ready else None], dtype="Int64")
-            yield pd.DataFrame({"resource": [key[0]], "start": [start], "ready_at": answer})
-        else:
-            state.setTimeoutTimestamp(end_ms)
-
+    spark = polls.sparkSession
+    if spark.conf.get(PROVIDER, None) is None:  # states with timers need this one
+        spark.conf.set(PROVIDER, ROCKSDB)
     return (
-        polls.select(F.col("resource").cast("string"), "at", "ready")
+        polls.where("at IS NOT NULL").select(F.col("resource").cast("string"), "at", F.col("ready").cast("boolean"))
         .mapInPandas(_reduce, SEEN)
         .withWatermark("ts", delay)
         .groupBy("resource")
-        .applyInPandasWithState(
-            step, WAIT, STATE, "append", GroupStateTimeout.EventTimeTimeout
-        )
+        .transformWithStateInPandas(_Wait(limit, keep_ms), WAIT, "Append", "EventTime")
     )
 
 
+def marker_rows(spark: SparkSession) -> DataFrame:
+    """The row that ends a source of waits: once it has been read, every open wait is answered and no state is left."""
+    return spark.createDataFrame([(None, MARKER_US, False)], "resource string, at long, ready boolean")
+
+
+def with_markers(polls: DataFrame, folder: str) -> DataFrame:
+    """``polls`` and the markers that come to lie in ``folder`` (parquet files)."""
+    markers = polls.sparkSession.readStream.schema("resource string, at long, ready boolean").parquet(folder)
+    return polls.select(F.col("resource").cast("string"), "at", "ready").unionByName(markers)
+
+
+def run_and_close(spark: SparkSession, polls: DataFrame, folder: str, run: Callable[[DataFrame], object], answers: Callable[[DataFrame], DataFrame]) -> None:
+    """Read the source to its end, then put the marker into ``folder`` and go on from the same checkpoint: all waits are answered.
+
+    ``run`` starts and awaits a query over the frame it gets, always with the same checkpoint; ``answers`` makes waits of polls.
+    """
+    marker_rows(spark).limit(0).write.mode("overwrite").parquet(folder)
+    run(answers(with_markers(polls, folder)))
+    marker_rows(spark).write.mode("append").parquet(folder)
+    run(answers(with_markers(polls, folder)))
+
+
 def wait_until_ready_stream(
     polls: DataFrame,
+    delay: str,
     unit: int = 1_000_000,
     timeout: int = READY_TIMEOUT,
     interval: int = READY_INTERVAL,
     timeout_first: bool = False,
-    delay: str = "0 seconds",
+    keep_ms: int | None = None,
 ) -> DataFrame:
     """Streaming form of ``wait_until_ready``: same rows, each as soon as it is certain."""
-    waits = closed_waits(polls, (timeout + interval) * unit, delay)
+    waits = closed_waits(polls, (timeout + interval) * unit, delay, keep_ms)
     verdict = ready_verdict(F.col("start"), F.col("ready_at"), unit, timeout, interval, timeout_first)
     return waits.select("resource", verdict.alias("_v")).select("resource", "_v.*")
 
 
 def wait_for_file_stream(
     arrivals: DataFrame,
+    delay: str,
     unit: int = 1_000_000,
     interval: int = READY_INTERVAL,
     max_polls: int = FILE_MAX_POLLS,
-    delay: str = "0 seconds",
+    keep_ms: int | None = None,
 ) -> DataFrame:
-    """Streaming form of ``wait_for_file`` over (path, at, arrived): the first row of a path opens its wait."""
-    polls = arrivals.select(F.col("path").alias("resource"), "at", F.col("arrived").alias("ready"))
-    waits = closed_waits(polls, max_polls * interval * unit, delay)
+    """Streaming form of ``wait_for_file`` over (resource = path, at, ready = arrived): the first row of a path opens its wait."""
+    waits = closed_waits(arrivals, max_polls * interval * unit, delay, keep_ms)
     verdict = file_verdict(F.col("start"), F.col("ready_at"), unit, interval, max_polls)
     return waits.select(F.col("resource").alias("path"), verdict.alias("_v")).select("path", "_v.*")

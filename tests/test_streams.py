@@ -77,9 +77,23 @@ def test_upserts_survive_a_repeated_batch(spark, parts, tmp_path):
     )
     got = upserts.current_rows(spark, f"{tmp_path}/rows", keys, order)
     assert rows(got.select(*want.columns)) == rows(want)
-    upserts.compact(spark, f"{tmp_path}/rows", keys, order, f"{tmp_path}/compact")
-    merged = upserts.current_rows(spark, f"{tmp_path}/compact", keys, order)
-    assert rows(merged.select(*want.columns)) == rows(want)
+
+
+def test_deltas_stay_few_in_a_long_stream(spark, tmp_path):
+    """A hundred micro-batches: deltas and bases stay within the bound, and a micro-batch that is repeated later changes nothing."""
+    keys, order, path = ["k"], ["seq"], f"{tmp_path}/rows"
+    writer = upserts.delta_writer(path, keys, order, most_deltas=8)
+    batch = lambda i: spark.createDataFrame([(i % 7, i, f"v{i}"), (i % 7, i - 50, "old"), (100 + i, i, "own")], "k long, seq long, v string")
+    most = 0
+    for i in range(100):
+        writer(batch(i), i)
+        most = max(most, len(list((tmp_path / "rows" / "deltas").glob("batch_id=*"))))
+    assert most <= 8 and len(list((tmp_path / "rows" / "bases").iterdir())) <= 2
+    want = {(i % 7, i, f"v{i}") for i in range(93, 100)} | {(100 + i, i, "own") for i in range(100)}
+    assert {tuple(r) for r in upserts.current_rows(spark, path, keys, order).collect()} == want
+    for i in (3, 98, 99):
+        writer(batch(i), i)
+    assert {tuple(r) for r in upserts.current_rows(spark, path, keys, order).collect()} == want
 
 
 def readiness(df):
@@ -88,12 +102,35 @@ def readiness(df):
 
 @pytest.mark.parametrize("timeout_first", [False, True])
 def test_ready_stream_equals_batch(spark, parts, tmp_path, timeout_first):
+    """Files in any order, users that come late or never get ready: the answers of the batch form, and no state is left."""
     settings = {"unit": 60_000_000, "timeout_first": timeout_first}
-    stream = waits.wait_until_ready_stream(readiness(stream_of(spark, parts)), **settings)
-    run_to_files(stream, f"{tmp_path}/out", f"{tmp_path}/check")
-    want = status.wait_until_ready(readiness(spark.read.parquet(parts)), **settings)
-    want = want.withColumn("resource", F.col("resource").cast("string"))
+    whole = readiness(spark.read.parquet(parts)).withColumn("resource", F.col("resource").cast("string"))
+    last = whole.agg(F.max("at")).first()[0]
+    late = spark.createDataFrame([("late", last - 1, False), ("late", last, True), ("never", last, False)], whole.schema)
+    shuffled = whole.union(late).withColumn("n", F.pmod(F.xxhash64("resource", "at"), F.lit(5)))
+    for n in range(5):
+        shuffled.where(F.col("n") == n).drop("n").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = topics.file_stream(spark, f"{tmp_path}/in", whole.schema, 1)
+    queries = []
+    waits.run_and_close(
+        spark, stream, f"{tmp_path}/markers", lambda s: queries.append(run_to_files(s, f"{tmp_path}/out", f"{tmp_path}/check")),
+        lambda p: waits.wait_until_ready_stream(p, "10000 days", **settings),
+    )
+    want = status.wait_until_ready(whole.union(late), **settings)
     assert rows(spark.read.parquet(f"{tmp_path}/out").select(*want.columns)) == rows(want)
+    assert queries[-1].lastProgress.stateOperators[0].numRowsTotal == 0
+
+
+def test_marks_of_ended_waits_go(spark, tmp_path):
+    """With a time to keep them, marks of ended waits do not pile up while the stream goes on."""
+    schema = "resource string, at long, ready boolean"
+    for step in range(6):
+        data = [(f"r{step}-{i}", (1 + step) * 10_000_000_000 + i, True) for i in range(20)]
+        spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = topics.file_stream(spark, f"{tmp_path}/in", schema, 1)
+        query = run_to_files(waits.wait_until_ready_stream(stream, "1 second", keep_ms=5_000), f"{tmp_path}/out", f"{tmp_path}/check")
+        assert query.lastProgress.stateOperators[0].numRowsTotal <= 20 * 2 * 3
+    assert spark.read.parquet(f"{tmp_path}/out").count() >= 100
 
 
 def test_a_wait_stays_open_until_the_watermark_passes(spark, tmp_path):
@@ -105,7 +142,7 @@ def test_a_wait_stays_open_until_the_watermark_passes(spark, tmp_path):
 
     def run():
         stream = topics.file_stream(spark, f"{tmp_path}/in", schema, 1)
-        run_to_files(waits.wait_until_ready_stream(stream), f"{tmp_path}/out", f"{tmp_path}/check")
+        run_to_files(waits.wait_until_ready_stream(stream, "0 seconds"), f"{tmp_path}/out", f"{tmp_path}/check")
         return {r.resource: (r.verdict, r.waited) for r in spark.read.schema(
             "resource string, verdict string, waited long").parquet(f"{tmp_path}/out").collect()}
 
@@ -113,9 +150,9 @@ def test_a_wait_stays_open_until_the_watermark_passes(spark, tmp_path):
         return (1_000 + second) * 1_000_000
 
     put(("never", at(0), False), ("late", at(0), False), ("soon", at(0), False), ("soon", at(7), True))
-    assert run() == {}
+    assert run() == {"soon": ("READY", 10)}  # an earlier ready row would be late now
     put(("other", at(100), True))
-    assert run() == {"soon": ("READY", 10)}
+    assert set(run()) == {"soon", "other"}
     put(("late", at(403), True), ("never", at(404), False))
     put(("sentinel", at(10_000), False), ("never", at(9_000), True))
     done = run()
@@ -133,6 +170,10 @@ def test_progress_of_each_batch_is_kept(spark, parts, tmp_path):
     frame = log.to_frame(spark, query)
     assert frame.agg(F.sum("num_input_rows")).first()[0] == spark.read.parquet(parts).count()
     assert frame.where("num_input_rows > 0").count() == 5
+    with pytest.raises(TimeoutError):
+        ProgressLog().wait_for(query, 0.01)
+    log.forget(query)
+    assert log.to_frame(spark, query).count() == 0
 
 
 def test_connector_options():
