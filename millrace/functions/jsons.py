@@ -64,19 +64,6 @@ def json_depth(text: Column) -> Column:
     return F.coalesce(walk["top"], F.lit(0))
 
 
-def leaf_type(value: Column) -> Column:
-    """string, bool, tree, list, null or number of a variant value."""
-    kind = F.schema_of_variant(value)
-    return (
-        F.when(kind == "STRING", "string")
-        .when(kind == "BOOLEAN", "bool")
-        .when(kind.startswith("OBJECT"), "tree")
-        .when(kind.startswith("ARRAY"), "list")
-        .when(kind == "VOID", "null")
-        .otherwise("number")
-    )
-
-
 def ingress_value(ingress: Column, prop: str) -> Column:
     """``ip`` or ``hostname`` of the first ingress entry; NULL if there is none."""
     if prop not in ("ip", "hostname"):

@@ -1,210 +1,71 @@
-"""Layered configuration: merge, substitute, flatten, and template variables.
-
-A configuration is a table of leaves ``(layer, seq, path, value)``. Later
-``(layer, seq)`` wins, so argument rows carry the highest layer, injected rows
-the next, and files follow in list order with the last file above the first.
-"""
+"""Configuration: layers and references (from their modules), flattening, and template variables."""
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from millrace.functions.jsons import json_depth, leaf_type
-from millrace.operators.skew import spread_join
-from millrace.session import cut_lineage
-
-
-# -- layers ---------------------------------------------------------------------
-
-def _prefixes(path: Column, separator: str) -> Column:
-    """The proper ancestors of a path, NULL for a top-level one."""
-    parts = F.split(path, "\\Q" + separator + "\\E")
-    steps = F.sequence(F.lit(1), F.size(parts) - 1)
-    return F.when(F.size(parts) > 1, F.transform(steps, lambda n: F.array_join(F.slice(parts, F.lit(1), n), separator)))
-
-
-def _unshadowed(latest: DataFrame, separator: str) -> DataFrame:
-    """Drop paths overwritten as a whole by a later write above or below them.
-
-    A scalar set later at an ancestor replaces the subtree; a leaf set later
-    below a scalar turns it into an object. Both rules meet only at paths that
-    are a leaf and an ancestor at once, so those, mostly few, are found first.
-    """
-    nothing = F.lit(None).cast(latest.schema["at"].dataType)
-    climbs = latest.select("path", "at", F.explode(_prefixes(F.col("path"), separator)).alias("above"))
-    both = (
-        latest.select(F.col("path").alias("above"), F.col("at").alias("own_at"), nothing.alias("below_at"))
-        .unionByName(climbs.select("above", nothing.alias("own_at"), F.col("at").alias("below_at")))
-        .groupBy("above")
-        .agg(F.max("own_at").alias("own_at"), F.max("below_at").alias("below_at"))
-        .where("own_at IS NOT NULL AND below_at IS NOT NULL")
-    )
-    overridden = both.where("below_at > own_at").select(F.col("above").alias("path"))
-    cut_off = climbs.join(both.select("above", "own_at"), "above").where("own_at > at").select("path").distinct()
-    return latest.join(overridden.unionByName(cut_off), "path", "left_anti")
-
-
-def layered_resolve(leaves: DataFrame, separator: str = ".") -> DataFrame:
-    """The value of each path once all layers are merged. NULL counts as unset.
-
-    The layers are read once: the latest leaf per path is written to the shared
-    folder, and conflicts are looked for among those.
-    """
-    at = F.struct("layer", "seq")
-    latest = (
-        leaves.where(F.col("value").isNotNull())
-        .groupBy("path")
-        .agg(F.max_by("value", at).alias("value"), F.max(at).alias("at"))
-    )
-    return _unshadowed(cut_lineage(latest), separator).select("path", "value", F.col("at.layer").alias("layer"))
-
-
-def layered_lists(entries: DataFrame, separator: str = ".") -> DataFrame:
-    """Elements of each list path: those of its last ``set`` and of the appends after it.
-
-    ``entries`` holds ``(layer, seq, path, values array, op)`` with op ``set`` or
-    ``append``. Elements come as rows ordered by (layer, seq, pos), so a list
-    fed by very many appends is never gathered into one row or task.
-    """
-    at = F.struct("layer", "seq")
-    last = entries.groupBy("path").agg(
-        F.max(at).alias("at"), F.max(F.when(F.col("op") == "set", at)).alias("set_at")
-    )
-    kept = _unshadowed(cut_lineage(last), separator).select("path", "set_at")
-    return (
-        spread_join(entries.withColumn("_at", at), kept, ["path"], ["layer", "seq"])
-        .where(F.col("set_at").isNull() | (F.col("_at") >= F.col("set_at")))
-        .select("path", "layer", "seq", F.posexplode("values").alias("pos", "value"))
-    )
+from millrace.functions.json_leaves import checked, leaves
+from millrace.operators.layers import layered_lists, layered_resolve
+from millrace.operators.resolution import ordered_resolve
+from millrace.operators.resolution import resolve_values as substitution_resolve
 
+__all__ = [
+    "config_flatten", "layered_lists", "layered_resolve", "malformed_documents", "ordered_resolve", "substitution_resolve", "variable_named",
+    "variables_from_config",
+]
 
-# -- substitutions ----------------------------------------------------------------
-
-REFERENCE = "\\$\\{([^}]*)\\}"
+# -- trees --------------------------------------------------------------------------
 
+LEAF_BYTES = 4 << 20
 
-def substitution_resolve(tree: DataFrame) -> DataFrame:
-    """Replace ``${path}`` by the value at that path, and ``${?path}`` by it or nothing.
 
-    ``tree`` holds one row per ``path`` with its ``value``. The result adds
-    ``status``: resolved; cycle, if a reference never ends; missing, if one
-    leads to no path, at once or further on. Only resolved rows carry a value.
+def config_flatten(documents: DataFrame, body: str) -> DataFrame:
+    """Leaves of each JSON document: path, type and value; empty containers count as leaves, the last of equal keys wins.
 
-    Each round looks up only the paths that the round before has finished, so
-    every reference is answered once. What a round finishes is written to the
-    shared folder; the loop ends with the first round that finishes nothing.
+    One pass without a shuffle, whatever the documents look like: neither nesting nor
+    length is bounded. Leaves leave a task in batches, so a document of many is never held as rows.
+    Documents that are no JSON have none (see ``malformed_documents``).
     """
-    rows = tree.select("path", "value")
-    refers = F.coalesce(F.col("value").rlike(REFERENCE), F.lit(False))
-    plain = rows.where(~refers).withColumn("status", F.lit("resolved"))
-    open_rows = cut_lineage(rows.where(refers))
-    edges = _references(open_rows)
-
-    hits = _answers(edges, plain).unionByName(_dangling(edges, rows))
-    finished, part_answered = [], None
-    while True:
-        tried = cut_lineage(_filled(open_rows, _gathered(hits, part_answered)))
-        newly = tried.where(F.col("status") != "open").select("path", "value", "status")
-        part_answered = tried.where(F.col("status") == "open").select("path", "n", "texts")
-        if newly.isEmpty():
-            break
-        finished.append(newly)
-        hits = _answers(edges, newly)
-    ended = reduce(DataFrame.unionByName, finished, plain)
-    endless = open_rows.join(ended.select("path"), "path", "left_anti").select(
-        "path", F.lit(None).cast("string").alias("value"), F.lit("cycle").alias("status")
-    )
-    return ended.unionByName(endless)
-
-
-def _references(open_rows: DataFrame) -> DataFrame:
-    """path, pos, n (references of the value), ref, optional."""
-    found = F.regexp_extract_all("value", F.lit(REFERENCE), F.lit(1))
-    each = open_rows.select("path", F.size(found).alias("n"), F.posexplode(found).alias("pos", "name"))
-    return each.select(
-        "path", "n", "pos", F.regexp_replace("name", "^\\?", "").alias("ref"),
-        F.col("name").startswith("?").alias("optional"),
-    )
+    rest = [c for c in documents.columns if c != body]
+    rows = documents.select(*rest, F.col(body).alias("_body"))
+    schema = T.StructType([*rows.schema.fields[:-1], *T.StructType.fromDDL("path string, type string, value string").fields])
 
+    def flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, size = [], 0
 
-def _answers(edges: DataFrame, ended: DataFrame) -> DataFrame:
-    """The references that lead to a path that has just ended."""
-    known = ended.select(
-        F.col("path").alias("ref"), F.coalesce("value", F.lit("")).alias("text"),
-        (F.col("status") == "missing").alias("lost"),
-    )
-    return edges.join(known, "ref").select("path", "n", "pos", "text", "lost")
-
-
-def _dangling(edges: DataFrame, rows: DataFrame) -> DataFrame:
-    """The references that lead nowhere; an optional one stands for nothing."""
-    nowhere = edges.join(rows.select(F.col("path").alias("ref")), "ref", "left_anti")
-    return nowhere.select("path", "n", "pos", F.lit("").alias("text"), (~F.col("optional")).alias("lost"))
-
-
-def _gathered(hits: DataFrame, before: DataFrame | None) -> DataFrame:
-    """Answers so far per path: at most as many as its value has references."""
-    new = hits.groupBy("path", "n").agg(F.collect_list(F.struct("pos", "text", "lost")).alias("texts"))
-    if before is None:
-        return new
-    return new.unionByName(before).groupBy("path", "n").agg(F.flatten(F.collect_list("texts")).alias("texts"))
-
-
-def _filled(open_rows: DataFrame, answered: DataFrame) -> DataFrame:
-    """Values whose references all have an answer, filled; the rest stays open with its answers."""
-    between = F.split("value", REFERENCE, -1)
-    texts = F.transform(F.array_sort("texts"), lambda t: t["text"])
-    whole = F.array_join(F.zip_with(between, texts, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    waits = F.size("texts") < F.col("n")
-    lost = F.exists("texts", lambda t: t["lost"])
-    return open_rows.join(answered, "path").select(
-        "path",
-        "n",
-        F.when(waits, F.col("texts")).alias("texts"),
-        F.when(~waits & ~lost, whole).alias("value"),
-        F.when(waits, "open").when(lost, "missing").otherwise("resolved").alias("status"),
-    )
+            def flush(batch=batch) -> pa.RecordBatch:
+                owners, paths, types, values = zip(*held) if held else ((), (), (), ())
+                of_rows = batch.select(batch.schema.names[:-1]).take(pa.array(owners, pa.int64()))
+                found = [pa.array(c, pa.string()) for c in (paths, types, values)]
+                held.clear()
+                return pa.RecordBatch.from_arrays([*of_rows.columns, *found], names=[*of_rows.schema.names, "path", "type", "value"])
 
+            for row, text in enumerate(batch.column(batch.num_columns - 1)):
+                for leaf in leaves(text.as_py()) if text.is_valid else ():
+                    held.append((row, *leaf))
+                    size += 64 + len(leaf[0]) + len(leaf[2])
+                    if size >= LEAF_BYTES:
+                        yield flush()
+                        size = 0
+            yield flush()
 
-# -- trees --------------------------------------------------------------------------
+    return rows.mapInArrow(flatten, schema)
 
-def config_flatten(documents: DataFrame, body: str, depth: int | None = None) -> DataFrame:
-    """Leaves of each JSON document: path, type and value; empty containers count as leaves.
 
-    The document is unfolded in place, level by level, without a shuffle.
-    ``depth`` is measured over all documents unless it is given.
-    """
-    if depth is None:
-        depth = documents.agg(F.max(json_depth(F.col(body)))).first()[0] or 0
-    spark = documents.sparkSession
-    rest = [c for c in documents.columns if c != body]
-    rows = documents.select(*rest, F.lit("").alias("path"), F.try_parse_json(body).alias("_v")).where("_v IS NOT NULL")
-    for _ in range(depth):
-        inner = rows.lateralJoin(
-            spark.tvf.variant_explode_outer(F.col("_v").outer()).toDF("_pos", "_key", "_inner")
-        )
-        # a name that looks like a path is quoted, so that no two leaves share one
-        quoted = F.concat(F.lit('"'), F.replace(F.replace("_key", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
-        name = F.when((F.col("_key") == "") | F.col("_key").rlike('[.\\["]'), quoted).otherwise(F.col("_key"))
-        step = F.when(F.col("_key").isNull(), F.concat(F.lit("["), "_pos", F.lit("]"))).otherwise(
-            F.concat(F.when(F.col("path") == "", "").otherwise("."), name)
-        )
-        rows = inner.select(
-            *rest,
-            F.when(F.col("_pos").isNull(), F.col("path")).otherwise(F.concat("path", step)).alias("path"),
-            F.when(F.col("_pos").isNull(), F.col("_v")).otherwise(F.col("_inner")).alias("_v"),
-        )
-    kind = leaf_type(F.col("_v"))
-    text = F.when(kind == "string", F.try_variant_get("_v", "$", "string")).otherwise(F.to_json("_v"))
-    return rows.select(*rest, "path", kind.alias("type"), text.alias("value"))
+def malformed_documents(documents: DataFrame, body: str) -> DataFrame:
+    """The documents that ``config_flatten`` cannot read, as they are."""
 
+    @F.arrow_udf("boolean")
+    def is_json(texts: pa.Array) -> pa.Array:
+        return pa.array([t.is_valid and checked(t.as_py()) is not None for t in texts], pa.bool_())
 
-def malformed_documents(documents: DataFrame, body: str) -> DataFrame:
-    """The documents that ``config_flatten`` and ``variables_from_config`` cannot read, as they are."""
-    return documents.where(F.col(body).isNotNull() & F.try_parse_json(body).isNull())
+    return documents.where(F.col(body).isNotNull() & ~is_json(F.col(body)))
 
 
 def variables_from_config(documents: DataFrame, body: str, escape: str = "#", template: bool = True) -> DataFrame:

@@ -123,6 +123,75 @@ def substitution_resolve(spark, sf_dir):
     return ops.substitution_resolve(_reference_tree(spark, sf_dir))
 
 
+def _ordered_entries(spark, sf_dir):
+    """Three layers over customers: subtrees taken from nations, values built on their own earlier ones, lists, chains, loops."""
+    base = table(spark, sf_dir, "customer").selectExpr("c_custkey AS k", "c_nationkey", "c_mktsegment", "concat('customer.', c_custkey) AS p")
+    nations = table(spark, sf_dir, "nation").select(
+        "n_nationkey",
+        F.explode(F.array(
+            F.struct(F.lit("name").alias("leaf"), F.col("n_name").alias("value")),
+            F.struct(F.lit("region").alias("leaf"), F.expr("concat('${region.', n_regionkey, '}')").alias("value")),
+        )).alias("e"),
+    )
+    fixed = [
+        table(spark, sf_dir, "region").selectExpr("0 AS layer", "CAST(r_regionkey AS LONG) AS seq", "concat('region.', r_regionkey) AS path", "'set' AS op", "r_name AS value"),
+        nations.selectExpr("0 AS layer", "CAST(n_nationkey AS LONG) AS seq", "concat('nation.', n_nationkey, '.', e.leaf) AS path", "'set' AS op", "e.value AS value"),
+    ]
+    entries = base.selectExpr("k", "p", """stack(15,
+        0, 0, '.label', 'set', concat('#', k, '@${', p, '.home.name}'),
+        0, 1, '.home', 'set', concat('${nation.', c_nationkey, '}'),
+        0, 2, '.tags', 'clear', CAST(NULL AS STRING),
+        0, 3, '.tags', 'append', c_mktsegment,
+        0, 4, '.all', 'set', concat('${', p, '.tags}'),
+        1, 0, '.label', 'set', if(k % 3 = 0, concat('${', p, '.label}!'), NULL),
+        1, 1, '.home.name', 'set', if(k % 5 = 0, 'moved', NULL),
+        1, 2, '.tags', if(k % 7 = 0, 'clear', 'set'), CAST(NULL AS STRING),
+        1, 3, '.tags', 'append', if(k % 2 = 0, concat('${', p, '.home.region}'), NULL),
+        2, 0, '.label', 'set', if(k % 4 = 0, concat('${?', p, '.label}?'), NULL),
+        2, 1, '.chain', 'set', if(k % 50 = 0, 'end', concat('.${customer.', k - 1, '.chain}')),
+        2, 2, '.loop', 'set', if(k % 13 = 0, concat('${', p, '.pool}'), NULL),
+        2, 3, '.pool', 'set', if(k % 13 = 0, concat('x${', p, '.loop}'), NULL),
+        2, 4, '.gone', 'set', if(k % 11 = 0, concat('${ghost.', k, '}'), NULL),
+        2, 5, '.inner', 'set', if(k % 17 = 0, concat('${', p, '}'), NULL)
+        ) AS (layer, n, leaf, op, value)""")
+    own = entries.selectExpr("layer", "k * 100 + n AS seq", "concat(p, leaf) AS path", "op", "value")
+    return reduce(DataFrame.unionByName, [*fixed, own])
+
+
+@query("ordered_resolve", """
+WITH c AS (
+  SELECT c_custkey AS k, 'customer.' || c_custkey AS p, n_nationkey, r_name AS region, c_mktsegment AS tag,
+         CASE WHEN c_custkey % 5 = 0 THEN 'moved' ELSE n_name END AS name,
+         printf('%d-%020d', 10000000000, 10000000000000000000::HUGEINT + c_custkey * 100 + 3) AS first,
+         printf('%d-%020d', 10000000001, 10000000000000000000::HUGEINT + c_custkey * 100 + 3) AS second,
+         printf('%d-%020d', 10000000000, 10000000000000000000::HUGEINT + c_custkey * 100 + 4) AS copy
+  FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey
+),
+tags AS (
+  SELECT p, first AS element, copy, tag AS value FROM c WHERE k % 7 <> 0
+  UNION ALL SELECT p, second, copy, region FROM c WHERE k % 2 = 0
+)
+SELECT 'region.' || r_regionkey AS path, NULL AS element, r_name AS value, 'resolved' AS status FROM region
+UNION ALL SELECT 'nation.' || n_nationkey || '.name', NULL, n_name, 'resolved' FROM nation
+UNION ALL SELECT 'nation.' || n_nationkey || '.region', NULL, r_name, 'resolved' FROM nation JOIN region ON n_regionkey = r_regionkey
+UNION ALL SELECT p || '.home.name', NULL, name, 'resolved' FROM c
+UNION ALL SELECT p || '.home.region', NULL, region, 'resolved' FROM c
+UNION ALL SELECT p || '.label', NULL, '#' || k || '@' || name || CASE WHEN k % 3 = 0 THEN '!' ELSE '' END || CASE WHEN k % 4 = 0 THEN '?' ELSE '' END, 'resolved' FROM c
+UNION ALL SELECT p || '.tags', element, value, 'resolved' FROM tags
+UNION ALL SELECT p || '.tags', NULL, NULL, 'resolved' FROM c WHERE k % 7 = 0 AND k % 2 = 1
+UNION ALL SELECT p || '.all', copy || '|' || element, value, 'resolved' FROM tags
+UNION ALL SELECT p || '.all', NULL, NULL, 'resolved' FROM c WHERE k % 7 = 0 AND k % 2 = 1
+UNION ALL SELECT a.p || '.chain', NULL, CASE WHEN a.k - a.k % 50 >= (SELECT min(k) FROM c) THEN repeat('.', CAST(a.k % 50 AS INTEGER)) || 'end' END,
+                 CASE WHEN a.k - a.k % 50 >= (SELECT min(k) FROM c) THEN 'resolved' ELSE 'missing' END FROM c a
+UNION ALL SELECT p || unnest(['.loop', '.pool']), NULL, NULL, 'cycle' FROM c WHERE k % 13 = 0
+UNION ALL SELECT p || '.gone', NULL, NULL, 'missing' FROM c WHERE k % 11 = 0
+UNION ALL SELECT p || '.inner', NULL, NULL, 'cycle' FROM c WHERE k % 17 = 0
+""")
+def ordered_resolve(spark, sf_dir):
+    """Layers, lists and references in one."""
+    return ops.ordered_resolve(_ordered_entries(spark, sf_dir))
+
+
 DOCUMENT = (
     "concat('{\"name\":\"', c_name, '\",\"account\":{\"rank\":', c_custkey * 7, ',\"segment\":\"', c_mktsegment,"
     " '\",\"flags\":{}},\"tags\":[\"a\",', c_nationkey, ',true,null],\"nested\":[{\"id\":', c_custkey, '},[]]}')"

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import text as fx
+from millrace.functions.json_leaves import checked, leaves
 from millrace.functions.jsons import beautified_json, canonical_json, canonical_or_raw, json_depth, pretty_json
 from millrace.operators import config, keyed, objects, ranking, status
 
@@ -249,13 +250,15 @@ def random_json(rng, depth=4):
 def leaves_of(value, path=""):
     if isinstance(value, dict) and value:
         for k, v in value.items():
+            k = '"' + k.replace("\\", "\\\\").replace('"', '\\"') + '"' if k == "" or set(k) & set('."[') else k
             yield from leaves_of(v, f"{path}.{k}" if path else k)
     elif isinstance(value, list) and value:
         for i, v in enumerate(value):
             yield from leaves_of(v, f"{path}[{i}]")
     else:
         kinds = {dict: "tree", list: "list", bool: "bool", str: "string", int: "number", type(None): "null"}
-        yield path, kinds[type(value)], value if isinstance(value, str) else json.dumps(value)
+        kind = "number" if isinstance(value, Written) else kinds[type(value)]
+        yield path, kind, value if isinstance(value, str) else getattr(value, "text", None) or json.dumps(value)
 
 
 def test_config_flatten(spark):
@@ -266,6 +269,57 @@ def test_config_flatten(spark):
     assert got == sorted((i, *leaf) for i, d in enumerate(docs) for leaf in leaves_of(d))
 
 
+def test_walk_agrees_with_a_parser():
+    rng = random.Random(11)
+    for _ in range(3000):
+        text = json.dumps(random_json(rng), ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 2]))
+        for _ in range(rng.randrange(3)):  # some broken ones
+            k = rng.randrange(len(text) + 1)
+            text = text[:k] + rng.choice(['"', ",", "]", "}", "1", " ", "\\", ":", "\n", "e", "-", "0"]) + text[k + rng.randrange(2) :]
+        try:
+            want = sorted(leaves_of(json.loads(text, parse_float=lambda t: (_ for _ in ()).throw(OverflowError), parse_int=lambda t: Written(t))))
+        except OverflowError:
+            continue
+        except ValueError:
+            want = []
+            assert checked(text) is None, text
+        assert sorted(leaves(text)) == want, text
+
+
+class Written(int):
+    """A whole number that is shown as it was written."""
+
+    def __new__(cls, text):
+        self = int.__new__(cls, text)
+        self.text = text
+        return self
+
+
+def test_flatten_takes_any_document(spark):
+    deep = '{"a":' * 50_000 + "[7]" + "}" * 50_000
+    docs = [
+        (1, deep), (2, '"' + "x" * 5_000_000 + '"'), (3, '{"a":1,"b":{"c":1,"c":[2,3]},"a":{"z":9}}'), (4, "[" * 60), (5, "[1,]"), (6, None), (7, "1.50"), (8, '["\\ud800"]'),
+        (9, "[" + ",".join(["[]"] * 200_000) + "]"), (10, ""), (11, '{"a" 1}'), (12, "NaN"),
+    ]
+    rows = spark.createDataFrame(docs, "path_ int, body string").selectExpr("path_ AS id", "body", "'kept' AS other")
+    flat = config.config_flatten(rows, "body")
+    assert flat.columns == ["id", "other", "path", "type", "value"]
+    got = flat.where("id NOT IN (1, 2, 9)").select("id", "path", "type", "value").collect()
+    assert sorted(tuple(r) for r in got) == [
+        (3, "a.z", "number", "9"), (3, "b.c[0]", "number", "2"), (3, "b.c[1]", "number", "3"), (7, "", "number", "1.50"), (8, "[0]", "string", "\ufffd"),
+    ]
+    one = flat.where("id = 1").collect()
+    assert len(one) == 1 and one[0].path == ".".join(["a"] * 50_000) + "[0]" and one[0].value == "7"
+    assert flat.where("id = 2").select(F.length("value")).first()[0] == 5_000_000
+    assert flat.where("id = 9 AND type = 'list'").select("path").distinct().count() == 200_000
+    assert {r.id for r in config.malformed_documents(rows, "body").collect()} == {4, 5, 10, 11, 12}
+    assert exchange_free(flat)
+
+
+def exchange_free(df):
+    return "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_layers_merge_like_a_tree(spark):
     """Replay the writes in order on a nested dict and compare its leaves."""
     rng = random.Random(7)
