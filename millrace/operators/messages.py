@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 
 from millrace.constants import CLIENT_MAX_BYTES, DEFAULT_REPLAY_TOPIC, MONITOR_MAX_BYTES
 from millrace.functions.jsons import canonical_json, canonical_or_raw, pretty_json
+from millrace.sources.files import read_named
 
 
 @dataclass(frozen=True)
@@ -139,6 +140,20 @@ def replay_documents(
     )
 
 
+def replay_files(ids: DataFrame, root: str, topic: str | None = None) -> DataFrame:
+    """As ``replay_documents``, with the files opened by their names: nothing is listed, and no table of bodies is needed.
+
+    ``status`` is sent, missing, malformed, or unreadable.
+    """
+    wanted = ids.withColumn("path", F.concat(F.lit(root), F.col("id").cast("string"), F.lit(".json")))
+    found = wanted.join(read_named(wanted), "path", "left")
+    value = canonical_json(F.col("body"))
+    return found.select(
+        F.col("id").cast("string").alias("key"), F.lit(topic or DEFAULT_REPLAY_TOPIC).alias("topic"), value.alias("value"),
+        F.when(F.col("error").isNotNull(), "unreadable").when(F.col("body").isNull(), "missing").when(value.isNull(), "malformed").otherwise("sent").alias("status"),
+    )
+
+
 def size_guard(messages: DataFrame, topics: DataFrame, client_limit: int = CLIENT_MAX_BYTES) -> DataFrame:
     """Accept a message if key and value fit the client's and its topic's byte limit."""
     limits = topics.select(

@@ -22,6 +22,7 @@ from millrace.functions.names import (
     valid_file,
 )
 from millrace.functions.text import rename_path
+from millrace.operators.skew import spread_join
 
 NameTest = Callable[[Column], Column]
 
@@ -97,6 +98,15 @@ def objects_exist(requests: DataFrame, listing: DataFrame) -> DataFrame:
     )
 
 
+def _reason() -> Column:
+    """Why an object is copied over the one with ``_size`` and ``_mtime``; NULL if it is not."""
+    return (
+        F.when(F.col("_size").isNull(), "missing")
+        .when(F.col("size") != F.col("_size"), "size")
+        .when(F.col("mtime") > F.col("_mtime"), "newer")
+    )
+
+
 def sync_plan(
     source: DataFrame, destination: DataFrame, src_prefix: str, dest_prefix: str | None = None
 ) -> DataFrame:
@@ -115,15 +125,10 @@ def sync_plan(
     there = below(destination, dest_dir).select(
         "_rel", F.col("size").alias("_size"), F.col("mtime").alias("_mtime")
     )
-    reason = (
-        F.when(F.col("_size").isNull(), "missing")
-        .when(F.col("size") != F.col("_size"), "size")
-        .when(F.col("mtime") > F.col("_mtime"), "newer")
-    )
     return (
         below(source, src_dir)
         .join(there, "_rel", "left")
-        .withColumn("reason", reason)
+        .withColumn("reason", _reason())
         .where(F.col("reason").isNotNull())
         .select(
             F.col("key").alias("src_key"),
@@ -134,13 +139,35 @@ def sync_plan(
     )
 
 
+def sync_pairs(source: DataFrame, destination: DataFrame, pairs: DataFrame, longest: bool = False) -> DataFrame:
+    """One sync plan for all ``pairs`` (src_prefix, dest_prefix; a null dest_prefix is the src_prefix): what ``sync_plan`` says for each.
+
+    Keys meet pairs by equality with one of their directories, so neither the plan nor the work grows with
+    pairs times keys. Prefixes may lie inside each other: a key is copied for each pair above it, or with
+    ``longest`` for the deepest one only.
+    """
+    folder = lambda c: F.concat(F.rtrim(F.col(c), F.lit("/")), F.lit("/"))
+    wanted = pairs.withColumn("dest_prefix", F.coalesce("dest_prefix", "src_prefix")).select(
+        "src_prefix", "dest_prefix", folder("src_prefix").alias("_dir"), folder("dest_prefix").alias("_dest_dir")
+    ).distinct()
+    parts = F.split("key", "/")
+    depths = F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.size(parts) - 1))
+    dirs = F.transform(depths, lambda n: F.concat(F.array_join(F.slice(parts, F.lit(1), n), "/"), F.lit("/")))
+    placed = spread_join(source.select("key", "size", "mtime", F.explode(dirs).alias("_dir")), wanted, ["_dir"], ["key"])
+    if longest:
+        deepest = placed.groupBy("key").agg(F.max(F.length("_dir")).alias("_most"))
+        placed = placed.join(deepest, "key").where(F.length("_dir") == F.col("_most")).drop("_most")
+    placed = placed.withColumn("dest_key", F.concat("_dest_dir", F.substring(F.col("key"), F.length("_dir") + 1, F.length("key"))))
+    there = destination.select(F.col("key").alias("dest_key"), F.col("size").alias("_size"), F.col("mtime").alias("_mtime"))
+    return placed.join(there, "dest_key", "left").withColumn("reason", _reason()).where(F.col("reason").isNotNull()).select(
+        "src_prefix", "dest_prefix", F.col("key").alias("src_key"), "dest_key", "size", "reason"
+    )
+
+
 def sync_many(source: DataFrame, destination: DataFrame, src: str, dest: str, names: Sequence[str]) -> DataFrame:
     """One sync plan for several names below a source and a destination path."""
-    plans = [sync_plan(source, destination, f"{src}/{n}", f"{dest}/{n}") for n in names]
-    result = plans[0]
-    for plan in plans[1:]:
-        result = result.unionByName(plan)
-    return result
+    pairs = source.sparkSession.createDataFrame([(f"{src}/{n}", f"{dest}/{n}") for n in names], "src_prefix string, dest_prefix string")
+    return sync_pairs(source, destination, pairs).select("src_key", "dest_key", "size", "reason")
 
 
 def artifact_name(name: Column, commit: Column) -> Column:

@@ -98,7 +98,7 @@ def job_status(snapshots: DataFrame, order: Sequence[str]) -> DataFrame:
 # -- steps -------------------------------------------------------------------------
 
 def _verdict() -> tuple[list[Column], Column]:
-    state = F.col("state")
+    state = F.coalesce("state", F.lit(""))  # an unknown state is neither failed nor completed
     parts = [
         F.bool_or(state.isin(STEP_FAILED)).alias("_failed"),
         F.bool_and(state == STEP_COMPLETED).alias("_done"),
@@ -136,8 +136,8 @@ def await_steps(history: DataFrame, max_wait: int = STEP_MAX_POLLS) -> DataFrame
 
 
 def jobs_active(steps: DataFrame) -> DataFrame:
-    """Whether a step of the job's name is pending or running."""
-    return steps.groupBy("job").agg(F.bool_or(F.col("state").isin(STEP_ACTIVE)).alias("active"))
+    """Whether a step of the job's name is pending or running; an unknown state is neither."""
+    return steps.groupBy("job").agg(F.bool_or(F.coalesce("state", F.lit("")).isin(STEP_ACTIVE)).alias("active"))
 
 
 def _steps(groups: DataFrame, path: Sequence[str], args: Sequence[Column]) -> DataFrame:

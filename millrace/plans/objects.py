@@ -124,6 +124,39 @@ def bucket_sync(spark, sf_dir):
     return ops.sync_plan(source, backup, "live", "backup")
 
 
+@query("bucket_sync_many", f"""
+WITH {OBJECTS_SQL},
+pairs AS (
+  SELECT DISTINCT 'live/' || bucket AS src_prefix, 'mirror/' || bucket AS dest_prefix FROM obj
+  UNION ALL SELECT 'live', 'backup' UNION ALL SELECT 'live/nothing', 'none'
+),
+there AS (
+  SELECT 'backup/' || bucket || '/' || key AS key, CASE WHEN mtime % 3 = 0 THEN size - 1 ELSE size END AS size FROM obj WHERE mtime % 4 <> 0
+  UNION ALL SELECT 'mirror/' || bucket || '/' || key, size FROM obj WHERE mtime % 2 = 0
+),
+plan AS (
+  SELECT src_prefix, dest_prefix, 'live/' || bucket || '/' || obj.key AS src_key,
+         dest_prefix || substr('live/' || bucket || '/' || obj.key, length(src_prefix) + 1) AS dest_key, size
+  FROM obj JOIN pairs ON starts_with('live/' || bucket || '/' || obj.key, src_prefix || '/')
+)
+SELECT plan.*, CASE WHEN there.key IS NULL THEN 'missing' ELSE 'size' END AS reason
+FROM plan LEFT JOIN there ON dest_key = there.key WHERE there.key IS NULL OR there.size <> plan.size
+""")
+def bucket_sync_many(spark, sf_dir):
+    """A backup of everything and a mirror per bucket, planned at once: their prefixes lie inside each other."""
+    listing = objects(spark, sf_dir)
+    at = lambda root: F.concat(F.lit(root + "/"), "bucket", F.lit("/"), "key")
+    source = listing.select(at("live").alias("key"), "size", "mtime")
+    cut = F.when(F.col("mtime") % 3 == 0, F.col("size") - 1).otherwise(F.col("size"))
+    there = listing.where("mtime % 4 <> 0").select(at("backup").alias("key"), cut.alias("size"), "mtime").unionByName(
+        listing.where("mtime % 2 = 0").select(at("mirror").alias("key"), "size", "mtime")
+    )
+    fixed = spark.createDataFrame([("live", "backup"), ("live/nothing/", "none")], "src_prefix string, dest_prefix string")
+    each = listing.select(F.concat(F.lit("live/"), "bucket").alias("src_prefix"), F.concat(F.lit("mirror/"), "bucket").alias("dest_prefix"))
+    plan = ops.sync_pairs(source, there, each.distinct().unionByName(fixed))
+    return plan.withColumn("src_prefix", F.rtrim("src_prefix", F.lit("/")))
+
+
 @query("artifact_reconcile", f"""
 WITH {OBJECTS_SQL},
 s AS (SELECT bucket || '-' || key || '-' || mtime || '.jar' AS artifact, mtime % 2 = 0 AS local, mtime % 3 = 0 AS remote

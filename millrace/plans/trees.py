@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators import keyed
+from millrace.operators import keyed, messages
 from millrace.plans.registry import query, table
 from millrace.session import scratch_path
 from millrace.sources import files, writers
@@ -56,20 +56,38 @@ def tree_walk(spark, sf_dir):
 
 
 @query("tree_copy_and_delete", """
-SELECT lang || '/' || doc_id || '.json' AS path, CAST(strlen(text) AS BIGINT) AS size, 'from' AS side FROM documents WHERE doc_id % 3 <> 0
+SELECT lang || '/' || doc_id || '.json' AS path, CAST(strlen(text) AS BIGINT) AS size, 'from' AS side FROM documents WHERE lang <> 'de'
 UNION ALL
-SELECT lang || '/' || doc_id || '.json', strlen(text), 'to' FROM documents WHERE doc_id % 2 = 0
+SELECT lang || '/' || doc_id || '.json', strlen(text), 'to' FROM documents
 """)
 def tree_copy_and_delete(spark, sf_dir):
-    """Copy the even documents to a second tree, delete each third one from the first, and list both."""
+    """Copy all documents to a second tree, delete those of one language from the first, and list both."""
     root, docs, _ = _written(spark, sf_dir, "from")
     other = scratch_path(spark, "to")
     target = F.replace("path", F.lit(root), F.lit(other))
-    writers.copy_files(docs.where("doc_id % 2 = 0").select(F.col("path").alias("src"), target.alias("dest")))
-    writers.delete_files(docs.where("doc_id % 3 = 0"))
+    writers.copy_files(docs.select(F.col("path").alias("src"), target.alias("dest")))
+    writers.delete_files(docs.where("lang = 'de'"))
     return _walked(spark, root).withColumn("side", F.lit("from")).union(_walked(spark, other).withColumn("side", F.lit("to")))
 
 
+@query("replay_files", """
+WITH ids AS (SELECT c_custkey AS id, 1 AS there FROM customer UNION ALL SELECT -c_custkey - 1, 0 FROM customer)
+SELECT CAST(id AS VARCHAR) AS key, 'docking_experiments' AS topic,
+       CASE WHEN there = 1 AND id % 10 <> 0 THEN '{"name":"' || c_name || '","segment":"' || c_mktsegment || '"}' END AS value,
+       CASE WHEN there = 0 THEN 'missing' WHEN id % 10 = 0 THEN 'malformed' ELSE 'sent' END AS status
+FROM ids LEFT JOIN customer ON c_custkey = id
+""")
+def replay_files(spark, sf_dir):
+    """A file per customer, each tenth broken, replayed by id beside as many ids without a file."""
+    root = scratch_path(spark, "replay")
+    given = table(spark, sf_dir, "customer")
+    body = F.to_json(F.struct(F.col("c_mktsegment").alias("segment"), F.col("c_name").alias("name")))
+    cut = F.when(F.col("c_custkey") % 10 == 0, F.substring(body, 1, F.length(body) - 1)).otherwise(body)
+    writers.write_text_files(given.select(F.concat(F.lit(f"{root}/input/bot_"), "c_custkey", F.lit(".json")).alias("path"), cut.alias("text")))
+    ids = given.select(F.col("c_custkey").alias("id")).unionByName(given.select((-F.col("c_custkey") - 1).alias("id")))
+    return messages.replay_files(ids, f"{root}/input/bot_")
+
+
 CATALOGUED = ("region", "nation", "orders", "lineitem")
 
 

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from millrace.functions.names import rstrip
 from millrace.functions.text import parse_property, property_lines
 from millrace.session import cut_lineage
-from millrace.sources.writers import open_uri
+from millrace.sources.writers import open_uri, read_blocks
 
 LISTING = "path string, size long, mtime timestamp"
 
@@ -64,6 +65,43 @@ def text_files(spark: SparkSession, root: str, name_glob: str | None = None, rec
     return reader.text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
+NAMED = "path string, body string, error string"
+
+
+def read_named(paths: DataFrame, path: str = "path") -> DataFrame:
+    """``path, body, error`` of the files named by the rows, opened by the tasks; no directory is listed.
+
+    A file that is not there has neither body nor error; one that cannot be read, or is no UTF-8, has an
+    error. A path that is named often is read once, and each file block by block.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, held = [], 0
+            for uri in batch.column("path").to_pylist():
+                body = error = None
+                try:
+                    body = b"".join(read_blocks(uri)).decode("utf-8")
+                except FileNotFoundError:
+                    pass
+                except (OSError, ValueError) as found:
+                    error = f"{type(found).__name__}: {found}"
+                rows.append((uri, body, error))
+                held += len(body or "")
+                if held > 8 << 20:
+                    yield _named_batch(rows)
+                    rows, held = [], 0
+            yield _named_batch(rows)
+
+    names = paths.select(F.col(path).alias("path")).where("path IS NOT NULL").distinct()
+    return names.mapInArrow(read, NAMED)
+
+
+def _named_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["path", "body", "error"])
+
+
 def json_files(spark: SparkSession, directory: str) -> DataFrame:
     """path and body of each file right in the directory whose name holds ``.json``."""
     return text_files(spark, directory, "*.json*", recursive=False).withColumnRenamed("text", "body")

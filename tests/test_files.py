@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text as fx
 from millrace.functions.jsons import beautified_json
 from millrace.functions.names import valid_dir, valid_file
-from millrace.operators import objects
+from millrace.operators import messages, objects
 from millrace.sources import files, writers
 
 
@@ -166,3 +166,31 @@ def test_walk_reports_what_it_cannot_read(spark, tree):
     gone = files.walk_tree(spark, str(tree / "nowhere"), errors=True).collect()
     assert len(gone) == 1 and gone[0].depth is None
     assert files.walk_tree(spark, str(tree / "nowhere")).count() == 0
+
+
+def test_rows_without_path_or_text_are_reported(spark, tmp_path):
+    rows = [(f"{tmp_path}/a", "x"), (None, "y"), (f"{tmp_path}/b", None), (f"{tmp_path}/c", "")]
+    report = writers.write_text_files(spark.createDataFrame(rows, "path string, text string")).collect()
+    assert {(r.path, r.n_bytes, r.ok, r.error) for r in report} == {
+        (f"{tmp_path}/a", 1, True, None), (None, 0, False, "no path"), (f"{tmp_path}/b", 0, False, "no text"), (f"{tmp_path}/c", 0, True, None),
+    }
+    plan = spark.createDataFrame([(f"{tmp_path}/a", f"{tmp_path}/d"), (None, f"{tmp_path}/e"), (f"{tmp_path}/a", None)], "src string, dest string")
+    assert {(r.path, r.ok, r.error) for r in writers.copy_files(plan).collect()} == {(f"{tmp_path}/d", True, None), (f"{tmp_path}/e", False, "no source"), (None, False, "no path")}
+    assert [r.ok for r in writers.delete_files(spark.createDataFrame([(None,)], "path string")).collect()] == [False]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a", "c", "d"]
+
+
+def test_files_are_read_by_name(spark, tmp_path):
+    """Present, absent, broken, unreadable and repeated names; other files of the directory are never touched."""
+    bodies = {"1": b'{"b":1,"a":2}', "2": b'{"a":', "3": b"\xff\xfe", "4": b""}
+    for name, body in bodies.items():
+        (tmp_path / f"bot_{name}.json").write_bytes(body)
+    (tmp_path / "bot_5.json").mkdir()
+    for n in range(50):
+        (tmp_path / f"other_{n}.json").write_text("{}")
+    ids = spark.createDataFrame([("1",), ("1",), ("2",), ("3",), ("4",), ("5",), ("6",), (None,)], "id string")
+    sent = messages.replay_files(ids, f"{tmp_path}/bot_").collect()
+    assert sorted((r.key or "", r.value, r.status) for r in sent) == [
+        ("", None, "missing"), ("1", '{"a":2,"b":1}', "sent"), ("1", '{"a":2,"b":1}', "sent"), ("2", None, "malformed"), ("3", None, "unreadable"),
+        ("4", None, "malformed"), ("5", None, "unreadable"), ("6", None, "missing"),
+    ]

@@ -604,6 +604,31 @@ def test_sync_prefix_is_a_directory(spark):
     assert {r.dest_key for r in many.collect()} == {"n/a/x", "n/a/y", "n/a/z", "n/ab/x"}
 
 
+def test_sync_of_pairs_inside_each_other(spark):
+    schema = "key string, size long, mtime long"
+    source = spark.createDataFrame([("a/x", 1, 5), ("a/b/y", 1, 5), ("a/b/c/z", 1, 5), ("top", 1, 1)], schema)
+    dest = spark.createDataFrame([("n/b/y", 1, 9), ("m/c/z", 2, 9)], schema)
+    pairs = [("a", "n"), ("a/b/", "m"), ("a/b", "m"), ("a/b", None), ("q", "r")]
+    frame = spark.createDataFrame(pairs, "src_prefix string, dest_prefix string")
+    want = set()
+    for src, to in {(s.rstrip("/"), t) for s, t in pairs}:
+        want |= {(r.src_key, r.dest_key, r.reason) for r in objects.sync_plan(source, dest, src, to).collect()}
+    got = objects.sync_pairs(source, dest, frame).collect()
+    assert {(r.src_key, r.dest_key, r.reason) for r in got} == want
+    deepest = {(r.src_key, r.dest_key) for r in objects.sync_pairs(source, dest, frame, longest=True).collect()}
+    assert deepest == {("a/x", "n/x"), ("a/b/y", "m/y"), ("a/b/y", "a/b/y"), ("a/b/c/z", "m/c/z"), ("a/b/c/z", "a/b/c/z")} - {("a/b/y", "a/b/y"), ("a/b/c/z", "a/b/c/z")} | {
+        (k, k) for k in ("a/b/y", "a/b/c/z")
+    }
+
+
+def test_unknown_states_complete_nothing(spark):
+    steps = spark.createDataFrame([("j", "COMPLETED"), ("j", None), ("n", None), ("f", None), ("f", "FAILED"), ("c", "COMPLETED")], "job string, state string")
+    assert {r.job: r.verdict for r in status.step_rollup(steps).collect()} == {"j": "PENDING", "n": "PENDING", "f": "FAILED", "c": "COMPLETE"}
+    assert {r.job: r.active for r in status.jobs_active(steps).collect()} == {"j": False, "n": False, "f": False, "c": False}
+    history = steps.withColumn("poll", F.lit(0))
+    assert {r.job: r.verdict for r in status.await_steps(history).collect()}["j"] == "PENDING"
+
+
 def test_special_characters_are_literal(spark):
     texts = ["a.b$c.b$", "x\\y\\y", "(p)(p)", ""]
     assert column(spark, texts, lambda c: fx.replace_last(c, "b$", "$1\\")) == ["a.b$c.$1\\", "x\\y\\y", "(p)(p)", ""]
