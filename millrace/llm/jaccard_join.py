@@ -6,7 +6,7 @@
 3. Adaptive multi-match prefixes: a set of ``s`` tokens that needs ``T =
    ceil(0.8 s)`` common ones has, for every ``l``, at least ``l`` of them among the first
    ``s - T + l`` tokens of both. Each document takes the ``l`` with the least estimated cost (rows read
-   plus candidates to verify), and pairs need ``min(l, l')`` common prefix tokens.
+   plus candidates to verify), not below a least one that grows with ``s``; pairs need ``min(l, l')`` common prefix tokens.
 4. Documents that share prefix tokens meet through the smallest of them (its hub), so a list
    of n documents gives n candidates. Verified hub links leave few documents
    unlinked; these are compared with the other documents of their hub in blocks. Pairs across
@@ -32,17 +32,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.batches import map_task, record_batch
 from millrace.llm.components import connected_components, forest
 from millrace.llm.shingles import WordHashes, shingle_set
+from millrace.operators.skew import spread_join
 from millrace.session import cut_lineage
 
 SKETCH_BITS, SKETCH_BLOCKS = 21, 16
 FILTER_BITS, FILTER_BLOCKS = 26, 128
-MOST_MATCHES = 8
+LEAST_MATCHES, SIZE_A_MATCH, MORE_MATCHES = 32, 16, 8
 VERIFY_COST = 20.0
 BLOCK = 256
 TASK_ROWS = 4000
@@ -60,6 +61,11 @@ def least_common(size: np.ndarray | int, percent: int):
     return -(-size * percent // 100)
 
 
+def least_matches(size):
+    """The least number of common prefix tokens that a set of this size requires: it never falls as sizes grow."""
+    return np.minimum(1 + size // SIZE_A_MATCH, LEAST_MATCHES)
+
+
 # --- signatures and the sketch: first pass over the texts
 
 def _signatures(words: int):
@@ -116,15 +122,17 @@ def sketch_levels(rows: DataFrame) -> np.ndarray:
 # --- prefixes: second pass
 
 def choose_matches(levels: np.ndarray, base: int, most: int) -> int:
-    """How many common prefix tokens to require: the number with the least estimated cost.
+    """How many common prefix tokens to require: the number with the least estimated cost, up to ``MORE_MATCHES`` over the least.
 
     ``levels`` are those of the set's tokens in order. The lists of the first ``base + l - 1`` tokens are read, and
     at most a ``1/l`` of their rows are documents with ``l`` matches, each of which must be verified.
     """
-    most = max(1, min(most, MOST_MATCHES, len(levels) - base + 1))
-    rows = np.cumsum(np.exp2(levels[: base + most - 1].astype(float)))[base - 1 :]
-    l = np.arange(1, len(rows) + 1)  # noqa: E741
-    return int(np.argmin(rows * (1 + VERIFY_COST / l))) + 1
+    least = int(least_matches(len(levels)))
+    most = max(1, min(most, least + MORE_MATCHES, len(levels) - base + 1))
+    least = min(least, most)
+    rows = np.cumsum(np.exp2(levels[: base + most - 1].astype(float)))[base + least - 2 :]
+    l = np.arange(least, most + 1)  # noqa: E741
+    return int(l[np.argmin(rows * (1 + VERIFY_COST / l))])
 
 
 def _pack(sets: list[np.ndarray], node: list[int], size: list[int], matches: list[int], bits: int) -> Iterator[tuple[int, int, bytes]]:
@@ -202,6 +210,28 @@ def _lists(key: tuple, group: pa.Table) -> pa.Table:
     })
 
 
+def cold_rows(per_token: DataFrame, percent: int) -> DataFrame:
+    """``per_token`` without the tokens with the longest lists of each group, with ``matches`` and ``spare`` of the group.
+
+    All sets similar to one of ``s`` tokens have ``t = ceil(0.8 s)`` or more, so such pairs have at least
+    ``least_matches(t)`` common prefix tokens: of the ``spare`` = one less with the longest lists, none is needed. Lengths are
+    rounded to steps, so a group has few of them, and ties are left out together or not at all.
+    """
+    step = F.when(F.col("length") < 64, F.col("length")).otherwise(F.floor(8 * F.log2("length")) + 16).cast("long")
+    rows = per_token.withColumn("step", step)
+    smallest = F.least(1 + F.floor(F.ceil(F.col("least_size") * percent / 100) / SIZE_A_MATCH), F.lit(LEAST_MATCHES))
+    steps = rows.groupBy("group", "step").agg(F.count("*").alias("n"), F.min("matches").alias("matches"), F.min("low").alias("low"))
+    above = Window.partitionBy("group").orderBy(F.desc("step"))
+    whole = Window.partitionBy("group")
+    limits = (
+        steps.withColumn("least_size", F.min("low").over(whole)).withColumn("least", F.min("matches").over(whole))
+        .withColumn("spare", F.greatest(F.least(smallest, "least") - 1, F.lit(0)))
+        .withColumn("after", F.sum("n").over(above)).where("after > spare")
+        .groupBy("group").agg(F.max("step").alias("limit"), F.min("spare").alias("spare"), F.min("least").alias("matches"))
+    )
+    return rows.drop("matches").join(limits, "group").where(F.col("step") <= F.col("limit")).drop("step", "limit", "length")
+
+
 def hubs_and_groups(shared: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Hub candidates ``(hub, node)``, groups ``(group, node)``, and pairs of groups ``(g1, g2)`` that may hold a link."""
     similar = (100 * F.least("size", "hub_size") >= percent * F.greatest("size", "hub_size")) & (F.col("hub") != F.col("node"))
@@ -217,14 +247,16 @@ def hubs_and_groups(shared: DataFrame, percent: int) -> tuple[DataFrame, DataFra
     grouped = shared.join(strong, "node", "left").select("token", F.coalesce("group", "node").alias("group"), "size", "matches")
     # written before it is used twice: the join of all lists with their groups is the widest step here
     per_token = cut_lineage(grouped.groupBy("token", "group").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.min("matches").alias("matches")))
-    crossed = per_token.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
-    per_token = cut_lineage(per_token.join(crossed, "token"))
-    x, y = per_token.alias("x"), per_token.alias("y")
+    length = per_token.groupBy("token").agg(F.count("*").alias("length")).where("length > 1")
+    per_token = cut_lineage(per_token.join(length, "token"))
+    x, y = (cold_rows(per_token, percent).alias(side) for side in "xy")
     close = (percent * F.col("x.low") <= 100 * F.col("y.high")) & (percent * F.col("y.low") <= 100 * F.col("x.high"))
     pairs = (
         x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.group") < F.col("y.group")) & close)
         .groupBy(F.col("x.group").alias("g1"), F.col("y.group").alias("g2"))
-        .agg(F.count("*").alias("n"), F.min(F.least("x.matches", "y.matches")).alias("need")).where("n >= need").select("g1", "g2")
+        # of the common tokens, sorted by length, each side leaves out the first ``spare`` at most
+        .agg(F.count("*").alias("n"), F.min(F.least("x.matches", "y.matches") - F.greatest("x.spare", "y.spare")).alias("need"))
+        .where("n >= need").select("g1", "g2")
     )
     return candidates.select("hub", "node"), cut_lineage(members), cut_lineage(pairs)
 
@@ -359,7 +391,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # of texts with equal sets only the one with the smallest id is a node
     equal = rows.where("id IS NOT NULL AND sign IS NOT NULL")
     firsts = equal.groupBy("sign").agg(F.min("id").alias("node"), F.count("*").alias("n")).where("n > 1")
-    copies = cut_lineage(equal.join(firsts, "sign").where("id > node").select("id", "node"))
+    copies = cut_lineage(spread_join(equal, firsts, ["sign"], ["id"]).where("id > node").select("id", "node"))
     levels = spark.sparkContext.broadcast(sketch_levels(first))
     total = rows.agg(F.sum("size")).first()[0] or 0
     bits = max(5, int(total * (100 - percent) / 100 / TOKENS_A_BUCKET).bit_length())
