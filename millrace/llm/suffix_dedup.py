@@ -37,7 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.batches import map_task, record_batch, to_schema
+from millrace.llm.batches import map_batches, map_task, record_batch, to_schema
+from millrace.operators.skew import spread_join
 from millrace.session import cut_lineage, scratch_path
 from millrace.sources.writers import open_uri
 
@@ -374,7 +375,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = rows.where("bucket IS NOT NULL").select("bucket", "block", "hashes", "repeated").groupBy("bucket").applyInArrow(_shared, "block string, shared binary")
     # whole copies of an earlier text
     originals = docs_seen.where(F.col("id").isNotNull() & (F.col("n_bytes") >= length)).groupBy("sha").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
-    copies = cut_lineage(docs_seen.join(originals.select("sha", "first_id"), "sha").where("id > first_id").select("block", "doc"))
+    copies = cut_lineage(spread_join(docs_seen, originals.select("sha", "first_id"), ["sha"], ["id"]).where("id > first_id").select("block", "doc"))
     asked = shared.select("block", "shared", F.lit(None).cast("int").alias("copy")).union(
         copies.select("block", F.lit(None).cast("binary"), F.col("doc"))
     )
@@ -392,20 +393,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
+def _decoded(batch: pa.RecordBatch) -> Iterator[dict]:
+    kept = batch.column("kept").to_pylist()
+    yield {"id": batch.column("id"), "text": [b.decode("utf-8", "ignore") if b is not None else "" for b in kept]}
+
+
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", length: int = 50) -> DataFrame:
     """All rows of ``docs`` with the repeated passages cut out of their texts, and ``length_col`` counted anew.
 
     Ids must be unique but for null ones, whose texts stay as they are. A character of which a byte was cut goes as a whole.
     """
-    removed = remove_repeats(docs, id_col, text_col, length, with_text=True).where("n_removed > 0")
-    changed = cut_lineage(removed.select(F.col("id").alias("_id"), "kept"))
-
-    @F.arrow_udf("string")
-    def text_of(kept: pa.Array) -> pa.Array:
-        return pa.array([None if b is None else b.decode("utf-8", "ignore") for b in kept.to_pylist()], pa.string())
-
-    joined = docs.join(changed, docs[id_col].cast("long") == F.col("_id"), "left")
-    joined = joined.withColumn(text_col, F.coalesce(text_of(F.col("kept")), F.col(text_col)))
+    removed = remove_repeats(docs, id_col, text_col, length, with_text=True).where("n_removed > 0 AND id IS NOT NULL")
+    changed = cut_lineage(map_batches(removed.select("id", "kept"), _decoded, "id long, text string"))
+    # rows travel as one struct, so that none of their names meets one of these
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"))
+    joined = rows.join(changed, "id", "left")
+    out = {c: F.col(f"row.`{c}`") for c in docs.columns}
     if length_col:
-        joined = joined.withColumn(length_col, F.when(F.col("_id").isNull(), F.col(length_col)).otherwise(F.char_length(text_col).cast(docs.schema[length_col].dataType)))
-    return joined.select(*docs.columns)
+        count = F.char_length("text").cast(docs.schema[length_col].dataType)
+        out[length_col] = F.when(F.col("text").isNull(), out[length_col]).otherwise(count)
+    out[text_col] = F.coalesce("text", out[text_col])
+    return joined.select(*[c.alias(name) for name, c in out.items()])

@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from odd_rows import make_docs
+from pyspark.sql import functions as F
 
 from millrace.llm import components, embedding_pairs, jaccard_join, queries, suffix_dedup
 
@@ -235,6 +236,53 @@ def test_texts_are_cut(spark, prose):
     assert suffix_dedup.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_columns_with_clashing_names_stay(spark, prose, odd):
+    """Stages that hand rows on keep columns that are named as their own."""
+    passage = prose(3, 40)
+    rows = [r for r in odd if r[0] not in (7,)] + [(20, passage + " " + prose(4, 30)), (21, prose(5, 30) + " " + passage), (22, prose(5, 30) + " " + passage)]
+    docs = make_docs(spark, rows, extra=True).withColumn("_id", F.lit("mine")).withColumn("first_id", F.lit(0))
+    plain = {r.doc_id: r.text for r in suffix_dedup.without_repeats(make_docs(spark, rows)).collect()}
+    for stage in (suffix_dedup.without_repeats, jaccard_join.keep_one_of_each):
+        got = stage(docs)
+        assert got.columns == docs.columns and got.dtypes == docs.dtypes
+        kept = got.collect()
+        assert {r["kept"] for r in kept} == {"x"} and {r["_id"] for r in kept} == {"mine"}
+        assert stage(docs.limit(0)).count() == 0
+        if stage is suffix_dedup.without_repeats:
+            assert {r.doc_id: r.text for r in kept} == plain and passage not in plain[21]
+            assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in kept)
+
+
+def test_cold_rows_keep_a_token_of_every_similar_pair(spark):
+    """Random groups and prefix tokens: of the tokens two groups must share, at least one is left, and more if they need more."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for g in range(40):
+        size = int(rng.integers(20, 600))
+        matches = int(jaccard_join.least_matches(size)) + int(rng.integers(0, 4))
+        tokens = rng.choice(60 if g % 2 else 300, size=min(50, matches * 2), replace=False)
+        rows += [(int(t), g, size, size, matches) for t in tokens]
+    frame = spark.createDataFrame(rows, "token long, group long, low long, high long, matches long")
+    length = frame.groupBy("token").agg(F.count("*").alias("length"))
+    cold = jaccard_join.cold_rows(frame.join(length, "token"), 80).collect()
+    left, spare = {}, {}
+    for r in cold:
+        left.setdefault(r["group"], set()).add(r.token)
+        spare[r["group"]] = r.spare
+    whole, need, sizes = {}, {}, {}
+    for t, g, size, _, m in rows:
+        whole.setdefault(g, set()).add(t)
+        need[g], sizes[g] = m, size
+    tried = 0
+    for a in whole:
+        for b in whole:
+            common = len(whole[a] & whole[b])
+            if a < b and 80 * max(sizes[a], sizes[b]) <= 100 * min(sizes[a], sizes[b]) and common >= min(need[a], need[b]):
+                tried += 1
+                assert len(left[a] & left[b]) >= min(need[a], need[b]) - max(spare[a], spare[b]) >= 1
+    assert tried > 10 and len(cold) < len(rows)
+
+
 @pytest.mark.parametrize("name,table,key", [("op3_embedding_pairs", "embeddings", "vec_id"), ("op5_jaccard_join", "documents", "doc_id"), ("op10_suffix_dedup", "documents", "doc_id")])
 def test_whole_tables(name, table, key, spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/{table}.parquet").collect()
