@@ -246,8 +246,21 @@ def clone_plan(
     target: str,
     ignored_dirs: Sequence[str] = IGNORED_DIRS,
     ignored_files: Sequence[str] = (),
+    origin_root: str | None = None,
+    target_root: str | None = None,
 ) -> DataFrame:
-    """Files of a tree to clone: none below a directory with an ignored ending."""
+    """Files of a tree to clone: none below a directory with an ignored ending.
+
+    With the two roots, only files below ``origin_root`` are cloned; they move to ``target_root``, and names change
+    below it, so that a root that happens to hold the old name stays.
+    """
+    if origin_root is not None:
+        old, new = origin_root.rstrip("/") + "/", (origin_root if target_root is None else target_root).rstrip("/") + "/"
+        below = files.where(F.col("path").startswith(old)).withColumn("_full", F.col("path")).withColumn("path", relative_key(F.col("path"), old))
+        plan = clone_plan(below, origin, target, ignored_dirs, ignored_files)
+        # a directory right below the root is named between two slashes, too
+        inner = F.substring(rename_path(F.concat(F.lit("/"), "path"), origin, target), 2, 1 << 30)
+        return plan.withColumn("new_path", F.concat(F.lit(new), inner)).withColumn("path", F.col("_full")).drop("_full")
     kept = filtered_walk(
         files,
         dir_test=lambda d: ~ends_with_any(d, ignored_dirs),

@@ -217,6 +217,19 @@ def rename_copy(spark, sf_dir):
     return plan.select("path", "new_path", fx.rename_text(F.col("text"), "en", "tongue").alias("new_text"))
 
 
+@query("rename_copy_root", f"""
+WITH {FILES_SQL},
+below AS (SELECT *, substr(path, 6) AS rel FROM files WHERE starts_with(path, 'src1/'))
+SELECT path, 'clone/src1/' || substr(replace(replace(replace('/' || rel, '/en/', '/tongue/'), 'en-', 'tongue-'), 'en_', 'tongue_'), 2) AS new_path,
+       replace(text, 'en', 'tongue') AS new_text
+FROM below WHERE NOT ends_with(path, '.conf') AND len(list_filter(string_split(rel, '/')[:-2], lambda d: ends_with(d, 'egg-info'))) = 0
+""")
+def rename_copy_root(spark, sf_dir):
+    """Clone the tree below one source to another root."""
+    plan = clone_plan(files(spark, sf_dir), "en", "tongue", ["egg-info"], [".conf"], "src1", "clone/src1/")
+    return plan.select("path", "new_path", fx.rename_text(F.col("text"), "en", "tongue").alias("new_text"))
+
+
 @query("env_lookup", """
 SELECT doc_id, lang, source AS cut, source || '=x=' || regexp_replace(text, '\\n', ' ', 'g') AS whole,
        CAST(NULL AS VARCHAR) AS absent

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators import keyed, messages
@@ -31,12 +28,11 @@ def _walked(spark, root):
 SELECT lang, doc_id, text AS body FROM documents
 """)
 def json_files(spark, sf_dir):
-    """Write all documents, then read each directory as JSON files."""
+    """Write all documents, then read the JSON files of every directory, in one scan."""
     root, _, report = _written(spark, sf_dir, "json")
-    langs = [r.lang for r in table(spark, sf_dir, "documents").select("lang").distinct().collect()]
-    read = [files.json_files(spark, f"{root}/{lang}").withColumn("lang", F.lit(lang)) for lang in langs]
-    name = F.regexp_extract("path", "([0-9]+)\\.json$", 1)
-    return reduce(DataFrame.unionByName, read).select("lang", name.cast("long").alias("doc_id"), "body")
+    read = files.json_files(spark, f"{root}/*")
+    place = "/([^/]*)/([0-9]+)\\.json$"
+    return read.select(F.regexp_extract("path", place, 1).alias("lang"), F.regexp_extract("path", place, 2).cast("long").alias("doc_id"), "body")
 
 
 @query("write_report", """
@@ -55,6 +51,21 @@ def tree_walk(spark, sf_dir):
     return _walked(spark, root)
 
 
+@query("tree_walk_links", """
+SELECT lang || '/' || doc_id || '.json' AS path, CAST(strlen(text) AS BIGINT) AS size FROM documents
+UNION ALL SELECT 'shared/' || doc_id || '.txt', strlen(text) FROM documents WHERE doc_id % 2 = 0
+""")
+def tree_walk_links(spark, sf_dir):
+    """A tree with a link to a second one, links to its own root and to a directory inside: each directory is listed once."""
+    root, docs, _ = _written(spark, sf_dir, "links")
+    other = scratch_path(spark, "linked")
+    even = docs.where("doc_id % 2 = 0").select(F.concat(F.lit(f"{other}/"), F.col("doc_id"), F.lit(".txt")).alias("path"), "text")
+    writers.write_text_files(even)
+    files.link_directories(spark, [(f"{root}/shared", other), (f"{root}/again", root), (f"{other}/back", f"{root}/again")])
+    below = F.substring_index("path", root.rpartition("/")[2] + "/", -1)
+    return files.walk_tree(spark, root, follow_links=True).select(below.alias("path"), "size")
+
+
 @query("tree_copy_and_delete", """
 SELECT lang || '/' || doc_id || '.json' AS path, CAST(strlen(text) AS BIGINT) AS size, 'from' AS side FROM documents WHERE lang <> 'de'
 UNION ALL

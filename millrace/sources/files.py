@@ -7,7 +7,7 @@ Spark's own readers skip files and directories whose name starts with ``_`` or
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
@@ -122,29 +122,40 @@ def properties_files(spark: SparkSession, root: str, name_glob: str = "*.propert
 
 
 NameTest = Callable[[Column], Column]
-ENTRIES = "kind string, path string, name string, size long, mtime timestamp"
+ENTRIES = "kind string, path string, name string, size long, mtime timestamp, real string"
 
 
-def _list_directories(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The entries of each directory; one that cannot be read gives an error entry."""
-    from pyarrow import fs
+def _lister(follow_links: bool):
+    def list_directories(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The entries of each directory; one that cannot be read gives an error entry."""
+        from pyarrow import fs
 
-    for batch in batches:
-        for uri in batch["path"]:
-            rows = []
-            try:
-                system, folder = open_uri(uri)
-                for info in system.get_file_info(fs.FileSelector(folder)):
-                    inner = info.type == fs.FileType.Directory
-                    if inner and isinstance(system, fs.LocalFileSystem) and os.path.islink(info.path):
-                        continue
-                    rows.append((
-                        "dir" if inner else "file", f"{uri.rstrip('/')}/{info.base_name}", info.base_name,
-                        None if inner else info.size, info.mtime,
-                    ))
-            except OSError as error:
-                rows.append(("error", uri, str(error), None, None))
-            yield pd.DataFrame(rows, columns=["kind", "path", "name", "size", "mtime"])
+        for batch in batches:
+            for uri in batch["path"]:
+                rows = []
+                try:
+                    system, folder = open_uri(uri)
+                    local = isinstance(system, fs.LocalFileSystem)
+                    for info in system.get_file_info(fs.FileSelector(folder)):
+                        inner = info.type == fs.FileType.Directory
+                        if inner and not follow_links and local and os.path.islink(info.path):
+                            continue
+                        real = os.path.realpath(info.path) if inner and local else info.path
+                        rows.append((
+                            "dir" if inner else "file", f"{uri.rstrip('/')}/{info.base_name}", info.base_name,
+                            None if inner else info.size, info.mtime, real,
+                        ))
+                except OSError as error:
+                    rows.append(("error", uri, str(error), None, None, None))
+                yield pd.DataFrame(rows, columns=["kind", "path", "name", "size", "mtime", "real"])
+
+    return list_directories
+
+
+def link_directories(spark: SparkSession, links: Sequence[tuple[str, str]]) -> None:
+    """Make each first path of a local file system a link to the second one."""
+    for name, target in links:
+        os.symlink(open_uri(target)[1], open_uri(name)[1])
 
 
 def walk_tree(
@@ -154,19 +165,23 @@ def walk_tree(
     file_test: NameTest | None = None,
     tasks: int | None = None,
     errors: bool = False,
+    follow_links: bool = False,
 ) -> DataFrame:
     """path, name, size, mtime and depth of the files of a tree, listed by the tasks.
 
     One job lists one level of directories, spread over the executors, and
     writes what it finds to the shared folder. A refused directory is never
-    listed, so its subtree costs nothing. Linked directories are not followed.
+    listed, so its subtree costs nothing. Linked directories are not followed, unless
+    ``follow_links``: then a directory is listed at the first level that leads to it, under
+    the name that sorts first, and never again, so loops end.
     ``errors`` adds a row, with NULL depth, per directory that cannot be read.
     """
     spread = tasks or spark.sparkContext.defaultParallelism
-    level = spark.createDataFrame([(root.rstrip("/") or "/",)], "path string")
-    found, depth = [], 0
+    top = root.rstrip("/") or "/"
+    level = spark.createDataFrame([(top, _real(top))], "path string, real string")
+    found, visited, depth = [], [level.select("real")], 0
     while True:
-        listed = cut_lineage(level.repartition(spread, "path").mapInPandas(_list_directories, ENTRIES))
+        listed = cut_lineage(level.select("path").repartition(spread, "path").mapInPandas(_lister(follow_links), ENTRIES))
         kept = listed.where(F.col("kind") == "file")
         if file_test is not None:
             kept = kept.where(file_test(F.col("name")))
@@ -176,6 +191,17 @@ def walk_tree(
         level = listed.where(F.col("kind") == "dir")
         if dir_test is not None:
             level = level.where(dir_test(F.col("name")))
+        if follow_links:
+            new = level.groupBy("real").agg(F.min("path").alias("path"))
+            level = cut_lineage(new.join(reduce(DataFrame.unionByName, visited), "real", "left_anti").select("path", "real"))
+            visited.append(level.select("real"))
         if level.isEmpty():
-            return reduce(DataFrame.unionByName, found).drop("kind")
-        level, depth = level.select("path"), depth + 1
+            return reduce(DataFrame.unionByName, found).drop("kind", "real")
+        level, depth = level.select("path", "real"), depth + 1
+
+
+def _real(uri: str) -> str:
+    from pyarrow import fs
+
+    system, path = open_uri(uri)
+    return os.path.realpath(path) if isinstance(system, fs.LocalFileSystem) else path

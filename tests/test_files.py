@@ -162,6 +162,29 @@ def test_walk_lists_in_the_tasks(spark, tree):
     assert set(everything) == want
 
 
+def test_walk_follows_links_once(spark, tree, tmp_path_factory):
+    """Links out of the tree, to its root and to each other: every directory is listed once, and the walk ends."""
+    other = tmp_path_factory.mktemp("other")
+    (other / "sub").mkdir()
+    (other / "sub/far.txt").write_text("333")
+    os.symlink(other, tree / "linked")
+    os.symlink(other / "sub", tree / "en" / "twice")
+    os.symlink(tree, other / "sub" / "loop")
+    os.symlink(tree, tree / "self")
+    rows = files.walk_tree(spark, str(tree), follow_links=True).collect()
+    paths = sorted(os.path.relpath(r.path, tree) for r in rows)
+    plain = {os.path.relpath(r.path, tree) for r in files.walk_tree(spark, str(tree)).collect()}
+    assert set(paths) == plain | {"en/twice/far.txt"} and len(paths) == len(set(paths))
+
+
+def test_clone_to_another_root(spark):
+    rows = [("a/en/x-en-1.txt", "en"), ("a/en/en/y.txt", ""), ("a/en/z.iml", ""), ("other/en/x", ""), ("a/ens/q_en_r", "")]
+    plan = objects.clone_plan(spark.createDataFrame(rows, "path string, text string"), "en", "fr", (), [".iml"], "a", "b/en/")
+    assert {(r.path, r.new_path) for r in plan.collect()} == {
+        ("a/en/x-en-1.txt", "b/en/fr/x-fr-1.txt"), ("a/en/en/y.txt", "b/en/fr/en/y.txt"), ("a/ens/q_en_r", "b/en/ens/q_fr_r"),
+    }
+
+
 def test_walk_reports_what_it_cannot_read(spark, tree):
     gone = files.walk_tree(spark, str(tree / "nowhere"), errors=True).collect()
     assert len(gone) == 1 and gone[0].depth is None
