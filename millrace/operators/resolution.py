@@ -27,13 +27,13 @@ EMPTY = MARK + "[]"  # the value of a list without elements, until the end
 def endings(nodes: DataFrame) -> DataFrame:
     """Which nodes of a graph of references end: ``path, lost`` of those that do; the others lead into a cycle.
 
-    ``nodes`` holds ``path, refs array<string>, lost``: the nodes a node needs, all of them in the table, and
+    ``nodes`` (a written table) holds ``path, refs array<string>, lost``: the nodes a node needs, all of them in the table, and
     whether it needs something that is nowhere; ``lost`` of the result is that of any node it needs. Each round a
     reference to a node that has ended goes, and one to a node with a single reference left goes
     on to where that leads, so chains halve. References are never more than at the start. If nothing
     ends for as many rounds as the longest chain can take, nothing will.
     """
-    state = cut_lineage(nodes.select("path", F.array_distinct("refs").alias("refs"), "lost"))
+    state = nodes.select("path", F.array_distinct("refs").alias("refs"), "lost")
     is_open = F.size("refs") > 0
     ended, waiting = [state.where(~is_open).select("path", "lost")], state.where(is_open)
     n_open, idle = waiting.count(), 0
@@ -115,7 +115,7 @@ def resolve_values(rows: DataFrame) -> DataFrame:
             F.max(F.col("ref").isNotNull() & F.col("there").isNull() & ~F.col("optional")).alias("lost"),
         )
     )
-    ended = cut_lineage(endings(nodes.select("path", "refs", "lost")))
+    ended = endings(nodes.select("path", "refs", "lost"))
     texts = filled(nodes.join(ended.where(~F.col("lost")).select("path"), "path", "left_semi"))
     nothing = F.lit(None).cast("string").alias("value")
     return reduce(DataFrame.unionByName, [
