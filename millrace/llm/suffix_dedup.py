@@ -44,7 +44,7 @@ from millrace.sources.writers import open_uri
 
 GRAM = 16
 BLOCK_BYTES = 8 << 20
-SEGMENT = 1 << 21
+SEGMENT = 1 << 19
 LOW = np.uint64((1 << 22) - 1)
 BATCH_WINDOWS = 1 << 16
 ANCHORS_PER_BUCKET = 1 << 20
