@@ -22,6 +22,7 @@ from millrace.functions.names import (
     valid_file,
 )
 from millrace.functions.text import rename_path
+from millrace.operators.ranking import latest_by
 from millrace.operators.skew import spread_join
 
 NameTest = Callable[[Column], Column]
@@ -98,6 +99,11 @@ def objects_exist(requests: DataFrame, listing: DataFrame) -> DataFrame:
     )
 
 
+def _newest(listing: DataFrame) -> DataFrame:
+    """One row per key, its newest version: a listing may name a key more than once, as one of versions does."""
+    return latest_by(listing.select("key", "size", "mtime"), ["key"], ["mtime", "size"])
+
+
 def _reason() -> Column:
     """Why an object is copied over the one with ``_size`` and ``_mtime``; NULL if it is not."""
     return (
@@ -112,13 +118,14 @@ def sync_plan(
 ) -> DataFrame:
     """What to copy: absent, of another size, or older at the destination.
 
-    A prefix is a directory here. Nothing is ever deleted.
+    A prefix is a directory here. Nothing is ever deleted. A key is copied once: where a
+    listing names it more than once, its newest version counts.
     """
     src_dir = src_prefix.rstrip("/") + "/"
     dest_dir = (src_prefix if dest_prefix is None else dest_prefix).rstrip("/") + "/"
 
     def below(listing: DataFrame, folder: str) -> DataFrame:
-        return listing.where(F.col("key").startswith(folder)).withColumn(
+        return _newest(listing.where(F.col("key").startswith(folder))).withColumn(
             "_rel", relative_key(F.col("key"), folder)
         )
 
@@ -144,7 +151,7 @@ def sync_pairs(source: DataFrame, destination: DataFrame, pairs: DataFrame, long
 
     Keys meet pairs by equality with one of their directories, so neither the plan nor the work grows with
     pairs times keys. Prefixes may lie inside each other: a key is copied for each pair above it, or with
-    ``longest`` for the deepest one only.
+    ``longest`` for the deepest one only. Of a key that is listed more than once the newest version counts.
     """
     folder = lambda c: F.concat(F.rtrim(F.col(c), F.lit("/")), F.lit("/"))
     wanted = pairs.withColumn("dest_prefix", F.coalesce("dest_prefix", "src_prefix")).select(
@@ -153,12 +160,12 @@ def sync_pairs(source: DataFrame, destination: DataFrame, pairs: DataFrame, long
     parts = F.split("key", "/")
     depths = F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.size(parts) - 1))
     dirs = F.transform(depths, lambda n: F.concat(F.array_join(F.slice(parts, F.lit(1), n), "/"), F.lit("/")))
-    placed = spread_join(source.select("key", "size", "mtime", F.explode(dirs).alias("_dir")), wanted, ["_dir"], ["key"])
+    placed = spread_join(_newest(source).select("key", "size", "mtime", F.explode(dirs).alias("_dir")), wanted, ["_dir"], ["key"])
     if longest:
         deepest = placed.groupBy("key").agg(F.max(F.length("_dir")).alias("_most"))
         placed = placed.join(deepest, "key").where(F.length("_dir") == F.col("_most")).drop("_most")
     placed = placed.withColumn("dest_key", F.concat("_dest_dir", F.substring(F.col("key"), F.length("_dir") + 1, F.length("key"))))
-    there = destination.select(F.col("key").alias("dest_key"), F.col("size").alias("_size"), F.col("mtime").alias("_mtime"))
+    there = _newest(destination).select(F.col("key").alias("dest_key"), F.col("size").alias("_size"), F.col("mtime").alias("_mtime"))
     return placed.join(there, "dest_key", "left").withColumn("reason", _reason()).where(F.col("reason").isNotNull()).select(
         "src_prefix", "dest_prefix", F.col("key").alias("src_key"), "dest_key", "size", "reason"
     )

@@ -621,6 +621,17 @@ def test_sync_of_pairs_inside_each_other(spark):
     }
 
 
+def test_sync_copies_a_key_once_by_its_newest_version(spark):
+    schema = "key string, size long, mtime long"
+    source = spark.createDataFrame([("a/x", 1, 5), ("a/x", 2, 6), ("a/y", 3, 5), ("a/y", 3, 9), ("a/z", 4, 1), ("a/z", 9, 1)], schema)
+    dest = spark.createDataFrame([("b/x", 1, 5), ("b/x", 2, 6), ("b/y", 3, 5), ("b/y", 3, 4)], schema)
+    want = [("a/y", "b/y", 3, "newer"), ("a/z", "b/z", 9, "missing")]
+    assert sorted(map(tuple, objects.sync_plan(source, dest, "a", "b").collect())) == want
+    pairs = spark.createDataFrame([("a", "b")], "src_prefix string, dest_prefix string")
+    got = objects.sync_pairs(source, dest, pairs).select("src_key", "dest_key", "size", "reason").collect()
+    assert sorted(map(tuple, got)) == want
+
+
 def test_unknown_states_complete_nothing(spark):
     steps = spark.createDataFrame([("j", "COMPLETED"), ("j", None), ("n", None), ("f", None), ("f", "FAILED"), ("c", "COMPLETED")], "job string, state string")
     assert {r.job: r.verdict for r in status.step_rollup(steps).collect()} == {"j": "PENDING", "n": "PENDING", "f": "FAILED", "c": "COMPLETE"}
