@@ -1,16 +1,19 @@
 """File sources: object listings, tree walks, whole JSON and text files, properties.
 
 Spark's own readers skip files and directories whose name starts with ``_`` or
-``.``, and keep the list of files on the driver; ``walk_tree`` does neither.
+``.``, and keep the list of files on the driver; ``walk_tree`` does neither, ``json_files`` only the first.
 """
 
 from __future__ import annotations
 
 import os
+import re
+import stat
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
+from math import ceil
+from urllib.parse import quote
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -103,8 +106,68 @@ def _named_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def json_files(spark: SparkSession, directory: str) -> DataFrame:
-    """path and body of each file right in the directory whose name holds ``.json``."""
-    return text_files(spark, directory, "*.json*", recursive=False).withColumnRenamed("text", "body")
+    """path and body of each file right in the directory whose name holds ``.json``; the directory may be a glob of directories.
+
+    Directories are listed and files opened by the tasks: the driver holds no list, and a file costs no
+    split of its own. Names that start with ``_`` or ``.`` are skipped, as Spark's readers do; an empty file has an empty body.
+    """
+    try:
+        open_uri(directory)
+    except pa.ArrowInvalid:  # a store that only Spark reads
+        return text_files(spark, directory, "*.json*", recursive=False).withColumnRenamed("text", "body")
+    if not re.match(r"[a-z0-9+.-]+:/", directory):
+        directory = "file:" + _encoded_name(os.path.abspath(directory), keep="?[]{}")
+    scheme, rest = re.match(r"([a-z0-9+.-]+:(?://[^/]*)?)(.*)$", directory.rstrip("/")).groups()
+    parts = rest.split("/")
+    fixed = next((i for i, part in enumerate(parts) if re.search(r"[*?\[{]", part)), len(parts))
+    level = spark.createDataFrame([(("file:" if scheme == "file://" else scheme) + "/".join(parts[:fixed]),)], "path string")
+    spread = spark.sparkContext.defaultParallelism
+
+    def listed(folders: DataFrame) -> DataFrame:
+        return cut_lineage(folders.repartition(spread, "path").mapInArrow(_lister(True, encode=True), ENTRIES))
+
+    for part in parts[fixed:]:
+        inner = F.col("name").rlike(_glob_pattern(part)) & ~_skipped(F.col("name"))
+        level = listed(level).where(F.col("kind") == "dir").where(inner).select("path")
+    entries = listed(level)
+    wrong = entries.where(F.col("kind") == "error").select("path", "name").first()
+    if wrong is not None:
+        raise OSError(f"{wrong.path}: {wrong.name}")
+    wanted = entries.where((F.col("kind") == "file") & F.contains("name", F.lit(".json")) & ~_skipped(F.col("name"))).select("path", "size")
+    n, size = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    if not n and level.isEmpty():
+        raise FileNotFoundError(directory)
+    tasks = max(spread, ceil(n / 20_000), ceil(size / (64 << 20)))
+    return wanted.select("path").repartition(tasks).mapInArrow(_read_bodies, "path string, body binary").select("path", F.col("body").cast("string").alias("body"))
+
+
+def _skipped(name: Column) -> Column:
+    return name.startswith(".") | (name.startswith("_") & ~name.contains("="))
+
+
+def _encoded_name(name: str, keep: str = "") -> str:
+    """A name as Hadoop's paths write it in a URI."""
+    return re.sub(r'[%\s"<>\\^`{|}?#\[\]]', lambda m: m[0] if m[0] in keep else quote(m[0]), name)
+
+
+def _glob_pattern(glob: str) -> str:
+    """The regular expression of one part of a glob: ``*``, ``?``, ``[a-c]``, ``{a,b}``."""
+    special = {"*": ".*", "?": ".", "{": "(?:", "}": ")", ",": "|", "[": "[", "]": "]", "-": "-"}
+    return "^" + "".join(special.get(c, re.escape(c)) for c in glob.replace("[!", "[^")).replace("\\^", "^") + "$"
+
+
+def _read_bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each file's bytes, handed on in batches of a few megabytes."""
+    for batch in batches:
+        paths, bodies, held = [], [], 0
+        for uri in batch.column("path").to_pylist():
+            paths.append(uri)
+            bodies.append(b"".join(read_blocks(uri)))
+            held += len(bodies[-1])
+            if held > 8 << 20:
+                yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(bodies, pa.binary())], names=["path", "body"])
+                paths, bodies, held = [], [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(bodies, pa.binary())], names=["path", "body"])
 
 
 def template_files(spark: SparkSession, root: str) -> DataFrame:
@@ -125,33 +188,69 @@ NameTest = Callable[[Column], Column]
 ENTRIES = "kind string, path string, name string, size long, mtime timestamp, real string"
 
 
-def _lister(follow_links: bool):
-    def list_directories(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The entries of each directory; one that cannot be read gives an error entry."""
+ENTRY_TYPES = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.timestamp("us", "UTC"), pa.string())
+ENTRIES_AT_ONCE = 10_000
+
+
+def _entries(system, folder: str) -> Iterator[tuple]:
+    """(name, full path, whether it is a directory, size, mtime in microseconds) of what lies in a directory.
+
+    A local directory is read as it goes, however large it is; other file systems hand out theirs as one list.
+    """
+    from pyarrow import fs
+
+    if not isinstance(system, fs.LocalFileSystem):
+        for info in system.get_file_info(fs.FileSelector(folder)):
+            inner = info.type == fs.FileType.Directory
+            yield info.base_name, info.path, inner, None if inner else info.size, None if info.mtime_ns is None else info.mtime_ns // 1000
+        return
+    with os.scandir(folder) as found:
+        for entry in found:
+            try:
+                seen = entry.stat()
+            except OSError:  # a link to nowhere, or gone by now
+                yield entry.name, entry.path, False, None, None
+                continue
+            yield entry.name, entry.path, stat.S_ISDIR(seen.st_mode), seen.st_size if stat.S_ISREG(seen.st_mode) else None, seen.st_mtime_ns // 1000
+
+
+def _lister(follow_links: bool, encode: bool = False):
+    """``encode`` makes paths URIs that can be opened whatever names hold."""
+
+    def entries(uri: str) -> Iterator[tuple]:
         from pyarrow import fs
 
+        try:
+            system, folder = open_uri(uri)
+            local = isinstance(system, fs.LocalFileSystem)
+            for name, path, inner, size, mtime in _entries(system, folder):
+                if inner and not follow_links and local and os.path.islink(path):
+                    continue
+                real = os.path.realpath(path) if inner and local else path if inner else None
+                yield "dir" if inner else "file", f"{uri.rstrip('/')}/{_encoded_name(name) if encode else name}", name, size, mtime, real
+        except OSError as error:
+            yield "error", uri, str(error), None, None, None
+
+    def list_directories(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The entries of each directory; one that cannot be read gives an error entry."""
         for batch in batches:
-            for uri in batch["path"]:
+            for uri in batch.column("path").to_pylist():
                 rows = []
-                try:
-                    system, folder = open_uri(uri)
-                    local = isinstance(system, fs.LocalFileSystem)
-                    for info in system.get_file_info(fs.FileSelector(folder)):
-                        inner = info.type == fs.FileType.Directory
-                        if inner and not follow_links and local and os.path.islink(info.path):
-                            continue
-                        real = os.path.realpath(info.path) if inner and local else info.path
-                        rows.append((
-                            "dir" if inner else "file", f"{uri.rstrip('/')}/{info.base_name}", info.base_name,
-                            None if inner else info.size, info.mtime, real,
-                        ))
-                except OSError as error:
-                    rows.append(("error", uri, str(error), None, None, None))
-                yield pd.DataFrame(rows, columns=["kind", "path", "name", "size", "mtime", "real"])
+                for row in entries(uri):
+                    rows.append(row)
+                    if len(rows) == ENTRIES_AT_ONCE:
+                        yield _entry_batch(rows)
+                        rows = []
+                yield _entry_batch(rows)
 
     return list_directories
 
 
+def _entry_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [()] * len(ENTRY_TYPES)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, ENTRY_TYPES)], names=["kind", "path", "name", "size", "mtime", "real"])
+
+
 def link_directories(spark: SparkSession, links: Sequence[tuple[str, str]]) -> None:
     """Make each first path of a local file system a link to the second one."""
     for name, target in links:
@@ -181,7 +280,7 @@ def walk_tree(
     level = spark.createDataFrame([(top, _real(top))], "path string, real string")
     found, visited, depth = [], [level.select("real")], 0
     while True:
-        listed = cut_lineage(level.select("path").repartition(spread, "path").mapInPandas(_lister(follow_links), ENTRIES))
+        listed = cut_lineage(level.select("path").repartition(spread, "path").mapInArrow(_lister(follow_links), ENTRIES))
         kept = listed.where(F.col("kind") == "file")
         if file_test is not None:
             kept = kept.where(file_test(F.col("name")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -217,3 +218,60 @@ def test_files_are_read_by_name(spark, tmp_path):
         ("", None, "missing"), ("1", '{"a":2,"b":1}', "sent"), ("1", '{"a":2,"b":1}', "sent"), ("2", None, "malformed"), ("3", None, "unreadable"),
         ("4", None, "malformed"), ("5", None, "unreadable"), ("6", None, "missing"),
     ]
+
+
+def test_large_directories_come_in_batches(spark, tmp_path, monkeypatch):
+    """No batch of a listing grows with its directory; names, sizes, times and links to nowhere are as they are."""
+    for n in range(25):
+        (tmp_path / f"f{n}").write_text("x" * n)
+    os.symlink(tmp_path / "nowhere", tmp_path / "dangling")
+    monkeypatch.setattr(files, "ENTRIES_AT_ONCE", 10)
+    batch = pa.RecordBatch.from_pydict({"path": [str(tmp_path)]})
+    found = list(files._lister(False)(iter([batch])))
+    assert max(b.num_rows for b in found) <= 10 and sum(b.num_rows for b in found) == 26
+    rows = {r.name: r for r in files.walk_tree(spark, str(tmp_path)).withColumn("us", F.unix_micros("mtime")).collect()}
+    assert {n: r.size for n, r in rows.items()} == {f"f{n}": n for n in range(25)} | {"dangling": None}
+    assert rows["f7"].us == os.stat(tmp_path / "f7").st_mtime_ns // 1000
+
+
+def test_json_files_of_a_glob_are_opened_by_the_tasks(spark, tmp_path):
+    """Odd names, bytes that are no UTF-8, directories that the glob leaves out; rows as Spark's reader gives them, without its list of files."""
+    for name, body in {
+        "a/1.json": b"{}", "a/x y%41#.json": b"[1]", "a/_skip.json": b"", "a/.skip.json": b"", "a/b.json.bak": "\ufeffé".encode(), "a/no.txt": b"",
+        "b1/bad.json": b"\xff", "b1/empty.json": b"", "c/other.json": b"2", ".hid/in.json": b"", "a/deep/in.json": b"",
+    }.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(body)
+    (tmp_path / "a/dir.json").mkdir()
+    for glob in ("*", "{a,b?}", "[ab]*", "a"):
+        got = files.json_files(spark, f"{tmp_path}/{glob}")
+        want = files.text_files(spark, f"{tmp_path}/{glob}", "*.json*", recursive=False).withColumnRenamed("text", "body")
+        assert "FileScan text" not in got._jdf.queryExecution().executedPlan().toString()
+        seen = lambda df: sorted(map(tuple, df.select("path", F.col("body").cast("binary")).collect()))
+        empty = [] if glob == "a" else [(f"file:{tmp_path}/b1/empty.json", b"")]  # the reader leaves out empty files
+        assert seen(got) == sorted(seen(want) + empty)
+    with pytest.raises(FileNotFoundError):
+        files.json_files(spark, f"{tmp_path}/none*")
+    with pytest.raises(OSError):
+        files.json_files(spark, f"{tmp_path}/none")
+
+
+@pytest.mark.parametrize("nameless", [True, False])
+def test_files_appear_whole_and_replace_others(tmp_path, monkeypatch, nameless):
+    """While a file is written its directory does not change; it replaces an old one, and a failure leaves nothing."""
+    if not nameless:
+        monkeypatch.setattr(writers, "_nameless", lambda folder: None)
+    elif writers._nameless(str(tmp_path)) is None:
+        pytest.skip("no nameless files here")
+    target = tmp_path / "new/dir/f"
+
+    def chunks():
+        yield b"one"
+        assert not target.exists() and (not nameless or not list(target.parent.iterdir()))
+        yield b"two"
+
+    assert writers._put(str(target), chunks()) == 6 and target.read_bytes() == b"onetwo"
+    assert writers._put(f"file://{target}", iter([b"3"])) == 1 and target.read_bytes() == b"3"
+    (target.parent / "d").mkdir()
+    assert writers._reported(str(target.parent / "d"), lambda: iter([b"x"]))[2] is False
+    assert sorted(p.name for p in target.parent.iterdir()) == ["d", "f"]
