@@ -94,7 +94,7 @@ def replay_files(spark, sf_dir):
     given = table(spark, sf_dir, "customer")
     body = F.to_json(F.struct(F.col("c_mktsegment").alias("segment"), F.col("c_name").alias("name")))
     cut = F.when(F.col("c_custkey") % 10 == 0, F.substring(body, 1, F.length(body) - 1)).otherwise(body)
-    writers.write_text_files(given.select(F.concat(F.lit(f"{root}/input/bot_"), "c_custkey", F.lit(".json")).alias("path"), cut.alias("text")))
+    writers.write_text_files(given.select(F.concat(F.lit(f"{root}/input/bot_"), "c_custkey", F.lit(".json")).alias("path"), cut.alias("text")), tasks=4 * spark.sparkContext.defaultParallelism)
     ids = given.select(F.col("c_custkey").alias("id")).unionByName(given.select((-F.col("c_custkey") - 1).alias("id")))
     return messages.replay_files(ids, f"{root}/input/bot_")
 

@@ -275,3 +275,14 @@ def test_files_appear_whole_and_replace_others(tmp_path, monkeypatch, nameless):
     (target.parent / "d").mkdir()
     assert writers._reported(str(target.parent / "d"), lambda: iter([b"x"]))[2] is False
     assert sorted(p.name for p in target.parent.iterdir()) == ["d", "f"]
+
+
+def test_replayed_files_are_written_by_many_tasks(spark, sf_dir, monkeypatch):
+    """A small table comes in one split; its files, which cost far more than its bytes, are not written by one task."""
+    from millrace.plans import trees
+
+    seen = []
+    write = writers.cut_lineage
+    monkeypatch.setattr(writers, "cut_lineage", lambda df: seen.append(df.rdd.getNumPartitions()) or write(df))
+    trees.replay_files(spark, sf_dir)
+    assert seen[0] >= spark.sparkContext.defaultParallelism
