@@ -1,8 +1,9 @@
 """Waits as streams: a wait stays open until its answer can no longer change, and every wait gets an answer.
 
-Each wait is a small state with one event-time timer. When the watermark passes the
-end of the wait its answer is given and the state shrinks to a mark that it is over; a
-second timer removes the mark. At the end of a source a marker row moves the
+Waits are dealt to buckets by a hash; a bucket is one small table of waits in the state, with one event-time timer for
+whichever of them ends first, so a batch reads and writes a state per bucket and not per wait. When the watermark passes the
+end of a wait its answer is given and a mark stays that it is over, until its
+time is over too. At the end of a source a marker row moves the
 watermark behind all ends: open waits are answered as the batch forms answer
 them, and no state is left.
 """
@@ -13,6 +14,7 @@ from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -22,7 +24,8 @@ from millrace.operators.status import file_verdict, ready_verdict
 
 SEEN = "resource string, start long, ready_at long, ts timestamp"
 WAIT = "resource string, start long, ready_at long"
-STATE = "start long, ready_at long, ready boolean, closed boolean"
+STATE = "waits binary, timer long"
+BUCKETS = 512  # part of the checkpoint of a stream, which deals its waits by it
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -42,59 +45,72 @@ def _reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield seen[["resource", "start", "ready_at", "ts"]]
 
 
-class _Wait(StatefulProcessor):
+def _packed(waits: pd.DataFrame) -> bytes:
+    table = pa.Table.from_pandas(waits, preserve_index=False)
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as stream:
+        stream.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(pa.py_buffer(bytes(data))).read_all().to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
+
+
+class _Waits(StatefulProcessor):
+    """The waits of a bucket: ``resource, start, ready_at, clear``; ``clear`` is NULL while a wait is open, then the time in ms to which its mark is kept."""
+
     def __init__(self, limit: int, keep_ms: int | None):
         self.limit, self.keep_ms = limit, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.wait = handle.getValueState("wait", STATE)
+        self.state = handle.getValueState("waits", STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         if key[0] is None:
             return  # markers
-        start, ready_at, ready, closed = self.wait.get() if self.wait.exists() else (None, 0, False, False)
-        if closed:
-            return
-        before = None if start is None else self._end(start, ready_at, ready)
-        for frame in rows:
-            first = int(frame["start"].min())
-            start = first if start is None else min(start, first)
-            seen = frame["ready_at"].dropna()
-            if len(seen):
-                ready_at = min(ready_at, int(seen.min())) if ready else int(seen.min())
-                ready = True
-        end = self._end(start, ready_at, ready)
-        if before is not None and before != end:
-            self.handle.deleteTimer(before)
-        if end < timerValues.getCurrentWatermarkInMs():
-            yield from self._answer(key, start, ready_at, ready, timerValues)
-        else:
-            self.wait.update((start, ready_at, ready, False))
-            self.handle.registerTimer(end)
+        seen = pd.concat([frame[["resource", "start", "ready_at"]].astype({"start": "Int64", "ready_at": "Int64"}) for frame in rows])
+        held = self.state.get()
+        waits, timer = (None, None) if held is None else (_unpacked(held[0]), held[1])
+        if waits is not None:
+            over = waits["clear"].notna()
+            closed = waits[over]
+            seen = pd.concat([waits.loc[~over, ["resource", "start", "ready_at"]], seen[~seen["resource"].isin(closed["resource"])]])
+        opened = seen.groupby("resource", sort=False, as_index=False).agg(start=("start", "min"), ready_at=("ready_at", "min"))
+        opened["clear"] = pd.Series(pd.NA, index=opened.index, dtype="Int64")
+        yield from self._settled(opened if waits is None else pd.concat([closed, opened]), timer, timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.wait.exists():
-            return
-        start, ready_at, ready, closed = self.wait.get()
-        if closed:
-            self.wait.clear()
-        elif expiredTimerInfo.getExpiryTimeInMs() == self._end(start, ready_at, ready):
-            yield from self._answer(key, start, ready_at, ready, timerValues)
-
-    def _end(self, start: int, ready_at: int, ready: bool) -> int:
-        end = min(ready_at, start + self.limit) if ready else start + self.limit
-        return -(-end // 1000)
-
-    def _answer(self, key, start, ready_at, ready, timerValues) -> Iterator[pd.DataFrame]:
+        held = self.state.get()
+        # a timer that the rows of this batch have replaced counts no more
+        if held is not None and held[1] == expiredTimerInfo.getExpiryTimeInMs():
+            yield from self._settled(_unpacked(held[0]), None, timerValues)
+
+    def _settled(self, waits: pd.DataFrame, timer: int | None, timerValues) -> Iterator[pd.DataFrame]:
+        """The answers of the waits that are over by now; the others go back into the state, with a timer for the first that ends."""
         now = timerValues.getCurrentWatermarkInMs()
+        last = waits["start"] + self.limit
+        end = -(-waits["ready_at"].fillna(last).where(lambda r: r <= last, last) // 1000)
+        until = waits["clear"].fillna(end)
+        passed = (until <= now).astype(bool)  # rows of that time would be late
+        answered = waits[passed & waits["clear"].isna()]
         clear = CLEAR_MS if self.keep_ms is None else min(CLEAR_MS, now + self.keep_ms)
-        if now < clear:
-            self.wait.update((start, ready_at, ready, True))
-            self.handle.registerTimer(clear)
+        left, first = waits[~passed], until[~passed].min()
+        if len(answered) and now < clear:
+            left = pd.concat([left, answered.assign(clear=pd.Series(clear, index=answered.index, dtype="Int64"))])
+            first = clear if pd.isna(first) else min(first, clear)
+        upcoming = int(first) if len(left) else None
+        if timer is not None and timer != upcoming:
+            self.handle.deleteTimer(timer)
+        if upcoming is None:
+            self.state.clear()
         else:
-            self.wait.clear()
-        yield pd.DataFrame({"resource": [key[0]], "start": [start], "ready_at": pd.Series([ready_at if ready else None], dtype="Int64")})
+            self.state.update((_packed(left), upcoming))
+            if timer != upcoming:
+                self.handle.registerTimer(upcoming)
+        if len(answered):
+            yield answered[["resource", "start", "ready_at"]].reset_index(drop=True)
 
 
 def closed_waits(polls: DataFrame, limit: int, delay: str, keep_ms: int | None = None) -> DataFrame:
@@ -115,8 +131,9 @@ def closed_waits(polls: DataFrame, limit: int, delay: str, keep_ms: int | None =
         polls.where("at IS NOT NULL").select(F.col("resource").cast("string"), "at", F.col("ready").cast("boolean"))
         .mapInPandas(_reduce, SEEN)
         .withWatermark("ts", delay)
-        .groupBy("resource")
-        .transformWithStateInPandas(_Wait(limit, keep_ms), WAIT, "Append", "EventTime")
+        .withColumn("bucket", F.when(F.col("resource").isNotNull(), F.pmod(F.xxhash64("resource"), F.lit(BUCKETS)).cast("int")))
+        .groupBy("bucket")
+        .transformWithStateInPandas(_Waits(limit, keep_ms), WAIT, "Append", "EventTime")
     )
 
 

@@ -133,6 +133,27 @@ def test_marks_of_ended_waits_go(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").count() >= 100
 
 
+def test_state_is_per_bucket_and_not_per_wait(spark, tmp_path, monkeypatch):
+    """Waits that start, get ready and end in different batches: few states and timers, and the answers of the batch form."""
+    monkeypatch.setattr(waits, "BUCKETS", 4)
+    schema, data = "resource string, at long, ready boolean", []
+    for step in range(4):
+        rows_ = [(f"r{i}", (1_000 + 150 * step + i % 90) * 1_000_000, step == i % 5) for i in range(400) if i % 4 <= step]
+        data += rows_
+        spark.createDataFrame(rows_, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    states = []
+
+    def run(stream):
+        query = run_to_files(stream, f"{tmp_path}/out", f"{tmp_path}/check")
+        states.extend(p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators)
+
+    stream = topics.file_stream(spark, f"{tmp_path}/in", schema, 1)
+    waits.run_and_close(spark, stream, f"{tmp_path}/markers", run, lambda p: waits.wait_until_ready_stream(p, "200 seconds"))
+    want = status.wait_until_ready(spark.createDataFrame(data, schema))
+    assert rows(spark.read.parquet(f"{tmp_path}/out").select(*want.columns)) == rows(want)
+    assert 0 < max(states) <= 4 * 4 and states[-1] == 0  # a state, a timer and its index entry per bucket
+
+
 def test_a_wait_stays_open_until_the_watermark_passes(spark, tmp_path):
     """One resource ready late, one never: nothing is decided before a sentinel row."""
     schema = "resource string, at long, ready boolean"
