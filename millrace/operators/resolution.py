@@ -3,7 +3,7 @@
 Rounds halve chains instead of taking their links one by one. Which references ever end is
 found on paths alone, so nothing grows in a cycle; texts are filled only where they end, each round
 putting into a value what the values it refers to hold by then. A chain of 1,000
-links takes ten rounds of either kind. What a round finds is written to the shared folder.
+links takes ten rounds of either kind. Nodes that no other one needs take no part in rounds. What a round finds is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -115,14 +115,30 @@ def resolve_values(rows: DataFrame) -> DataFrame:
             F.max(F.col("ref").isNotNull() & F.col("there").isNull() & ~F.col("optional")).alias("lost"),
         )
     )
-    ended = endings(nodes.select("path", "refs", "lost"))
-    texts = filled(nodes.join(ended.where(~F.col("lost")).select("path"), "path", "left_semi"))
-    nothing = F.lit(None).cast("string").alias("value")
+    # rounds are for nodes that others need; the rest, mostly many more, needs their results once
+    needed = nodes.select(F.explode("refs").alias("path")).distinct()
+    inner = cut_lineage(nodes.join(needed, "path", "left_semi"))
+    ended = endings(inner.select("path", "refs", "lost"))
+    texts = filled(inner.join(ended.where(~F.col("lost")).select("path"), "path", "left_semi"))
+    found = cut_lineage(
+        inner.select("path").join(ended, "path", "left").join(texts, "path", "left")
+        .select("path", "value", F.when(F.col("lost").isNull(), "cycle").when(F.col("lost"), "missing").otherwise("resolved").alias("status"))
+    )
+    outer = nodes.join(found, "path", "left_anti")
+    answers = (
+        outer.select("path", F.explode("refs").alias("ref")).join(found.withColumnRenamed("path", "ref"), "ref").groupBy("path")
+        .agg(
+            F.map_from_entries(F.collect_list(F.struct("ref", "value"))).alias("answers"),
+            F.max(F.col("status") == "cycle").alias("endless"), F.max(F.col("status") == "missing").alias("nowhere"),
+        )
+    )
+    status = F.when(F.col("endless"), "cycle").when(F.col("lost") | F.coalesce("nowhere", F.lit(False)), "missing").otherwise("resolved")
+    text = F.array_join(F.transform("items", lambda i: F.coalesce(F.try_element_at("answers", i["ref"]), i["text"])), "")
+    last = outer.join(answers, "path", "left").select("path", text.alias("value"), status.alias("status"))
     return reduce(DataFrame.unionByName, [
         plain.select("path", "value", F.lit("resolved").alias("status")),
-        texts.select("path", "value", F.lit("resolved").alias("status")),
-        ended.where("lost").select("path", nothing, F.lit("missing").alias("status")),
-        nodes.join(ended, "path", "left_anti").select("path", nothing, F.lit("cycle").alias("status")),
+        found,
+        last.select("path", F.when(F.col("status") == "resolved", F.col("value")).alias("value"), "status"),
     ])
 
 

@@ -53,6 +53,18 @@ def test_a_chain_of_a_thousand_links_takes_few_rounds(spark, monkeypatch):
     assert sum("items" in c and "refs" not in c for c in written) <= 11 + 1  # texts: the start, and a round for each doubling
 
 
+def test_only_nodes_that_others_need_take_part_in_rounds(spark, monkeypatch):
+    sizes = []
+    run = {f: getattr(resolution, f) for f in ("endings", "filled")}
+    for name in run:
+        monkeypatch.setattr(resolution, name, lambda nodes, f=run[name]: sizes.append(nodes.count()) or f(nodes))
+    tree = {"base": "${top}!", "top": "${none}${?no}", "loop": "${loop}", "ok": "${okay}.", "okay": "${end}", "end": "${?no}e"}
+    tree |= {f"n{i}": "<" + "${" + ("base", "ok", "loop", "gone", "?gone")[i % 5] + "}${ok}>" for i in range(100)}
+    got = {r.path: (r.value, r.status) for r in resolution.resolve_values(spark.createDataFrame(list(tree.items()), "path string, value string")).collect()}
+    assert got == plain(tree)
+    assert max(sizes) <= 6
+
+
 def test_layers_lists_subtrees_and_own_values(spark):
     entries = [
         (0, 1, "a.x", "set", "1"), (0, 2, "a.y", "set", "${b}!"), (0, 3, "b", "set", "B"),
