@@ -21,6 +21,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,7 +44,8 @@ HOT_UNITS, SEEN_UNITS = 200_000, 400_000
 class LibraryEncoder:
     """Ids of whole texts, by the library for units (a blank and what follows up to the next) that are rare, looked up for frequent ones.
 
-    Frequent units are few enough to stay in a processor's cache; the rare ones of a text go to the library in one call.
+    ``encode`` takes one text, whose rare units go to the library in one call. ``encode_all`` takes a batch: Arrow cuts its texts
+    and finds their distinct units, so a unit is looked up once a batch.
     """
 
     def __init__(self, vocabulary: bpe.Vocabulary):
@@ -57,6 +59,10 @@ class LibraryEncoder:
         self.native = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary if self.usable else None
         self.hot: dict[str, bytes] = {}
         self.seen: set[str] = set()
+        self.cuttable = self.usable and not any(c.isspace() for label in vocabulary.added for c in label)
+        self.small = np.uint16 if len(vocabulary.tokens) <= 1 << 16 else np.uint32
+        self.units: dict[str, bytes] = {}  # those of batches, in small ids
+        self.seen_units: set[str] = set()
 
     def _ids(self, text: str) -> bytes:
         return array("I", self.native(text)).tobytes()
@@ -93,6 +99,85 @@ class LibraryEncoder:
             elif len(unit) <= 64 and len(self.hot) < HOT_UNITS:
                 self.hot[unit] = ids
 
+    def _careful(self, units: list[str]) -> np.ndarray:
+        """Whether a text with the unit needs a look at more than its units: white space beside a cut, unsettled letters, added tokens."""
+        joined = " ".join(units)
+        every = f" {joined} "
+        if not (
+            bpe.has_odd_blanks(every) or any(c + blank[0] in every for c in " \n" for blank in bpe.ODD_BLANKS if blank[0] != "\n")
+            or not (joined.isascii() or bpe.SETTLED.fullmatch(joined)) or any(label in joined for label in self.whole.added)
+        ):
+            return np.zeros(len(units), bool)
+        return np.array([
+            not u or u[-1].isspace() or u[u[0] == "\n"].isspace() or not (u.isascii() or bpe.SETTLED.fullmatch(u)) or any(label in u for label in self.whole.added)
+            for u in units
+        ])
+
+    def _in_one_call(self, units: list[str]) -> pa.Array:
+        """Ids of units that begin with a line end or follow a blank. In the call a line end, a word and token of its own, stands before each of them."""
+        ids = np.array(self.native(f" {' '.join(units)}".replace(" ", "\n ").replace("\n \n", "\n")), self.small)
+        line = np.array([u[0] == "\n" for u in units], bool)
+        begins = np.flatnonzero(ids == self.line_end)
+        lengths = np.diff(begins, append=len(ids)) - ~line
+        ends = np.append(0, np.cumsum(lengths)) * ids.itemsize
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(units), [None, pa.py_buffer(ends), pa.py_buffer(np.delete(ids, begins[~line]))])
+
+    def _units(self, units: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Ids, the row of each of the distinct units among them, and which units need care."""
+        known = list(map(self.units.get, units))
+        rows, careful = np.zeros(len(units), np.int64), np.zeros(len(units), bool)
+        rare = np.array([i for i, ids in enumerate(known) if ids is None], np.int64)
+        if not len(rare):
+            return pa.array(known, pa.large_binary()), np.arange(len(units)), careful
+        careful[rare] = self._careful([units[i] for i in rare])
+        rare = rare[~careful[rare]]
+        named = [units[i] for i in rare]
+        known = [ids for ids in known if ids is not None]
+        found = self._in_one_call(named) if named else pa.array([], pa.large_binary())
+        often = ~careful
+        often[rare] = False
+        rows[often], rows[rare] = np.arange(len(known)), len(known) + np.arange(len(rare))
+        if len(self.units) < HOT_UNITS:
+            if len(self.seen_units) >= SEEN_UNITS:
+                self.seen_units.clear()
+            again = [i for i, unit in enumerate(named) if unit in self.seen_units and len(unit) <= 64][: HOT_UNITS - len(self.units)]
+            self.units.update(zip([named[i] for i in again], found.take(pa.array(again, pa.int64())).to_pylist()))
+            self.seen_units.update(named)
+        return pa.concat_arrays([pa.array(known, pa.large_binary()), found]), rows, careful
+
+    def encode_all(self, texts: pa.Array, final_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, each text's followed by ``final_id``, and where each text starts (and the last one ends).
+
+        Texts are cut before blanks and before line ends, none of which has white space beside it; other texts go to ``encode``.
+        While cutting, a line end stands before each text; its id makes room for the final one of the text before.
+        """
+        n = len(texts)
+        if not n or not self.cuttable:
+            whole = [np.append(self.encode(t), np.uint32(final_id)) for t in texts.to_pylist()]
+            return np.concatenate([np.zeros(0, self.small), *whole]).astype(self.small), np.cumsum([0, *map(len, whole)])
+        lines = pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), "\n", " \n")
+        cut = pc.split_pattern(pc.binary_join_element_wise(pa.scalar("\n", pa.large_string()), lines, pa.scalar("", pa.large_string())), " ")
+        starts = cut.offsets.to_numpy()[:-1] - cut.offsets[0].as_py()
+        coded = cut.flatten().dictionary_encode()
+        all_units = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)
+        found, rows, careful = self._units(pc.binary_join(all_units, pa.scalar(" ", pa.large_string()))[0].as_py().split(" "))
+        units = coded.indices.to_numpy()
+        numbers = rows[units]
+        if careful.any():
+            text_of = np.repeat(np.arange(n), np.diff(starts, append=len(units)))
+            odd = np.unique(text_of[careful[units]])
+            alone = [np.append(np.uint32(self.line_end), self.encode(t)).astype(self.small).tobytes() for t in texts.take(pa.array(odd)).to_pylist()]
+            numbers[np.isin(text_of, odd)] = len(found) + len(odd)
+            numbers[starts[odd]] = len(found) + np.arange(len(odd))
+            found = pa.concat_arrays([found, pa.array([*alone, b""], pa.large_binary())])
+        joined = found.take(pa.array(numbers))
+        ends = np.frombuffer(joined.buffers()[1], np.int64, len(numbers) + 1, 8 * joined.offset) // self.small().itemsize
+        first = int(ends[0])
+        starts = np.append(ends[starts], ends[-1]) - first
+        ids = np.frombuffer(joined.buffers()[2], self.small, int(starts[-1]) + first)[first:].copy()
+        ids[starts[1:-1]] = final_id
+        return np.append(ids[1:], self.small(final_id)), starts
+
 
 class Piece(NamedTuple):
     row: int  # of the document's rest or block in the group
@@ -178,14 +263,17 @@ def close(bins: list[list[Piece]], capacity: int) -> list[list[Piece]]:
 def _cut(shared, capacity: int, final_id: int):
     def cut(batch: pa.RecordBatch) -> Iterator[dict]:
         encoder = bpe.encoder_of(shared, LibraryEncoder)
-        small = np.uint16 if len(encoder.labels) <= 1 << 16 else np.uint32
-        out: dict[str, list] = {k: [] for k in ("group", "doc_id", "start", "ids", "width", "doc_tokens")}
-        for group, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("group", "id", "text"))):
-            ids = np.append(encoder.encode(text), np.uint32(final_id)).astype(small)
-            for start in range(0, len(ids), capacity):
-                for name, value in zip(out, (group, doc_id, start, ids[start : start + capacity].tobytes(), ids.itemsize, len(ids))):
-                    out[name].append(value)
-        yield out
+        ids, starts = encoder.encode_all(batch.column("text"), final_id)
+        lengths = np.diff(starts)
+        cuts = -(-lengths // capacity)
+        text = np.repeat(np.arange(len(lengths)), cuts)
+        start = (np.arange(len(text)) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * capacity
+        ends = np.append(starts[text] + start, len(ids)) * ids.itemsize
+        yield {
+            "group": batch.column("group").take(pa.array(text)), "doc_id": batch.column("id").take(pa.array(text)), "start": start,
+            "ids": pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(text), [None, pa.py_buffer(ends), pa.py_buffer(ids)]).cast(pa.binary()),
+            "width": np.full(len(text), ids.itemsize, np.int32), "doc_tokens": lengths[text],
+        }
 
     return cut
 

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from odd_rows import make_docs
 from pyspark.sql import functions as F
@@ -46,6 +47,25 @@ def test_ids_are_those_of_the_library(library, encoder):
         assert encoder.decode(ids) == library.decode(ids, skip_special_tokens=False) == text
 
 
+def test_batches_hand_each_unit_to_the_library_once(library):
+    """A batch has the ids of its texts, each with the final one; what the library sees is distinct units, not the texts."""
+    other = packing.LibraryEncoder(bpe.read_vocabulary(PATH))
+    rng, given = random.Random(3), texts()
+    parts = [[rng.choice(given) for _ in range(4)] for _ in range(300)]
+    mixed = [None, "", "\n", " ", "a\n\tb", "a ", *(x.join(p) for p in parts for x in ("", " ", "\n"))]
+    for batch in ([], [None], given, mixed, [" ".join(given[k : k + 40]).replace("  ", "") for k in range(0, 3000, 7)]):
+        ids, starts = other.encode_all(pa.array(batch, pa.string()), 0)
+        assert len(ids) == starts[-1]
+        for k, text in enumerate(batch):
+            assert ids[starts[k] : starts[k + 1]].tolist() == [*library.encode(text or "", add_special_tokens=False).ids, 0], text
+    handed, native = [], other.native
+    other.native = lambda text: handed.append(len(text)) or native(text)
+    prose = ["the cats of\nbaryonically small dogs. The end", "No cats; the end\nof baryonically small cats."] * 500
+    ids, starts = other.encode_all(pa.array(prose), 0)
+    assert ids[starts[1] : starts[2]].tolist() == [*library.encode(prose[1], add_special_tokens=False).ids, 0]
+    assert len(handed) == 1 and handed[0] < 200
+
+
 def test_split_is_that_of_the_library(library):
     """Code points on which the pattern and the library differ lie outside of what the pattern is used for."""
     for code in [*range(0xD800), *range(0xE000, 0x3FFFF, 7)]:
