@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import errno
 import json
 import os
 
@@ -286,3 +287,32 @@ def test_replayed_files_are_written_by_many_tasks(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(writers, "cut_lineage", lambda df: seen.append(df.rdd.getNumPartitions()) or write(df))
     trees.replay_files(spark, sf_dir)
     assert seen[0] >= spark.sparkContext.defaultParallelism
+
+
+def test_plain_names_need_no_parsing():
+    """Names that mean the same as a path and in a URI share one file system object; whatever else is parsed as before."""
+    from pyarrow import fs
+
+    assert writers.open_uri("/a/b.json")[0] is writers.open_uri("file:/c")[0]
+    odd = ["/a b", "/a%20b", "file:///a%20b", "/a//b", "/a/", "/a/../b", "/a/./b", "/a/..", "/é/x", "/"]
+    for uri in ["/a", "/a/b.c/..d/e...", "/a+b/c=1,2/_x-y", "file:///a+b/c=1,2/_x-y", *odd]:
+        system, path = fs.FileSystem.from_uri(uri)
+        assert writers.open_uri(uri) == (system, path) and isinstance(system, fs.LocalFileSystem), uri
+    assert writers.open_uri("file:/a/b.json")[1] == "/a/b.json" == writers.open_uri("file:///a/b.json")[1]
+
+
+def test_nameless_files_are_tried_once_where_there_are_none(tmp_path, monkeypatch):
+    """A file system without nameless files is asked once a folder, not twice a file; short writes go on."""
+    real, asked, write = os.open, [], os.write
+
+    def refuse(path, flags, *more, **named):
+        if flags & os.O_TMPFILE == os.O_TMPFILE:
+            asked.append(path)
+            raise OSError(errno.ENOENT if not os.path.isdir(path) else errno.EOPNOTSUPP, "no such files here")
+        return real(path, flags, *more, **named)
+
+    monkeypatch.setattr(os, "open", refuse)
+    monkeypatch.setattr(os, "write", lambda fd, data: write(fd, data[:2]))
+    for n in range(5):
+        assert writers._put(f"{tmp_path}/new/{n}", iter([b"one", b"", b"three"])) == 8
+    assert len(asked) == 2 and sorted(p.read_bytes() for p in (tmp_path / "new").iterdir()) == [b"onethree"] * 5
