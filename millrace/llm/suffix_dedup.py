@@ -15,7 +15,8 @@ independently.
    suffix array (its windows in sorted order), is merge-scanned against the
    suffix arrays of all levels to find windows seen before, and becomes the lowest level; two levels of
    like size are merged, so there are logarithmically many.
-5. Blocks join the removed intervals and cut the texts.
+5. Blocks join the removed intervals and cut the texts. Blocks of ``without_repeats`` hold whole rows, so no text
+   is shuffled to be joined with what is left of it.
 
 Texts that equal an earlier text as a whole are removed as a whole, if of 50
 bytes or more, and take no part in 3 to 5.
@@ -34,10 +35,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from millrace.llm.batches import map_batches, map_task, record_batch, to_schema
+from millrace.llm.batches import map_task, record_batch, to_schema
 from millrace.operators.skew import spread_join
 from millrace.session import cut_lineage, scratch_path
 from millrace.sources.writers import open_uri
@@ -48,6 +51,7 @@ SEGMENT = 1 << 19
 LOW = np.uint64((1 << 22) - 1)
 BATCH_WINDOWS = 1 << 16
 ANCHORS_PER_BUCKET = 1 << 20
+BYTES_PER_TASK = 32 << 20
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 BLOCK_ROWS = (
@@ -105,21 +109,24 @@ def anchors(data: np.ndarray, lengths: np.ndarray, length: int) -> tuple[np.ndar
 
 # --- blocks in the shared folder
 
-def write_block(folder: str, ids: list, texts: list[bytes]) -> str:
+def write_block(folder: str, rows: pa.Table) -> str:
     system, base = open_uri(folder)
     name = f"{uuid.uuid4().hex}.arrow"
-    batch = pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.large_binary())})
-    with system.open_output_stream(f"{base}/{name}") as out, pa.ipc.new_file(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-        writer.write_batch(batch)
+    with system.open_output_stream(f"{base}/{name}") as out, pa.ipc.new_file(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(rows)
     return f"{folder}/{name}"
 
 
-def read_block(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids (-1 and a flag for null ones are not needed: see callers), lengths and all bytes of a block."""
+def block_rows(path: str, columns: list[int] | None = None) -> pa.Table:
     system, place = open_uri(path)
     with system.open_input_file(place) as source:
-        table = pa.ipc.open_file(source).read_all()
-    texts = table["text"].to_pylist()
+        return pa.ipc.open_file(source, options=pa.ipc.IpcReadOptions(included_fields=columns or [])).read_all()
+
+
+def read_block(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids (-1 and a flag for null ones are not needed: see callers), lengths and all bytes of a block."""
+    table = block_rows(path, [0, 1])
+    texts = [t or b"" for t in table["text"].to_pylist()]
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     return table["id"].to_pylist(), lengths, np.frombuffer(b"".join(texts), np.uint8)
 
@@ -130,8 +137,10 @@ def short_hash(gram: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _blocks(folder: str, bits: int, length: int):
-    def flush(ids: list, texts: list[bytes]) -> Iterator[dict]:
-        path = write_block(folder, ids, texts)
+    def flush(parts: list[pa.RecordBatch]) -> Iterator[dict]:
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        path = write_block(folder, rows)
+        ids, texts = rows["id"].to_pylist(), [t or b"" for t in rows["text"].to_pylist()]
         n = len(ids)
         yield {
             "block": [path] * n, "doc": list(range(n)), "id": ids, "n_bytes": list(map(len, texts)), "sha": [hashlib.sha256(t).hexdigest() for t in texts],
@@ -154,18 +163,19 @@ def _blocks(folder: str, bits: int, length: int):
         }
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        ids: list = []
-        texts: list[bytes] = []
+        held: list[pa.RecordBatch] = []
         size = 0
         for batch in batches:
-            for doc_id, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
-                ids.append(doc_id), texts.append(text or b"")
-                size += len(texts[-1]) + 64
+            start, beside = 0, 64 + (batch.nbytes - batch.column("text").nbytes) // max(1, batch.num_rows)
+            for k, n in enumerate(pc.binary_length(batch.column("text")).to_pylist()):
+                size += (n or 0) + beside
                 if size >= BLOCK_BYTES:
-                    yield from flush(ids, texts)
-                    ids, texts, size = [], [], 0
-        if ids:
-            yield from flush(ids, texts)
+                    yield from flush([*held, batch.slice(start, k + 1 - start)])
+                    held, size, start = [], 0, k + 1
+            if start < batch.num_rows:
+                held.append(batch.slice(start))
+        if held:
+            yield from flush(held)
 
     return run
 
@@ -333,25 +343,37 @@ def _match(length: int):
 
 # --- cutting
 
+def merged(docs: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Each document with the lows and highs of its maximal removed runs."""
+    order = np.lexsort((ends, starts, docs))
+    docs, starts, ends = docs[order], starts[order], ends[order]
+    for part in np.split(np.arange(len(docs)), np.flatnonzero(np.diff(docs)) + 1):
+        if len(part):
+            reach = np.maximum.accumulate(ends[part])
+            cut = np.flatnonzero(starts[part][1:] > reach[:-1]) + 1
+            yield int(docs[part[0]]), starts[part][np.concatenate([[0], cut])], reach[np.concatenate([cut, [len(part)]]) - 1]
+
+
+def intervals(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate([none, *[np.frombuffer(b, t) for b in group[c].to_pylist() if b is not None]]) for c, t in (("docs", np.int32), ("starts", np.int64), ("ends", np.int64)))
+
+
+def without(text: bytes, lows: np.ndarray, highs: np.ndarray) -> bytes:
+    return b"".join(text[a:b] for a, b in zip([0, *highs.tolist()], [*lows.tolist(), len(text)]))
+
+
 def _cut(with_text: bool):
     names = ["block", "doc", "n_removed", "n_spans", "kept_sha256", "kept"]
     kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
         path = key[0].as_py()
-        docs, starts, ends = (np.concatenate([np.frombuffer(b, t) for b in group[c].to_pylist()]) for c, t in (("docs", np.int32), ("starts", np.int64), ("ends", np.int64)))
         _, lengths, data = read_block(path)
         offsets = np.cumsum(lengths) - lengths
-        order = np.lexsort((ends, starts, docs))
-        docs, starts, ends = docs[order], starts[order], ends[order]
         out: dict[str, list] = {n: [] for n in names}
-        for part in np.split(np.arange(len(docs)), np.flatnonzero(np.diff(docs)) + 1):
-            reach = np.maximum.accumulate(ends[part])
-            cut = np.flatnonzero(starts[part][1:] > reach[:-1]) + 1
-            lows, highs = starts[part][np.concatenate([[0], cut])], reach[np.concatenate([cut, [len(part)]]) - 1]
-            doc = int(docs[part[0]])
-            text = data[offsets[doc] : offsets[doc] + lengths[doc]].tobytes()
-            kept = b"".join(text[a:b] for a, b in zip([0, *highs.tolist()], [*lows.tolist(), len(text)]))
+        for doc, lows, highs in merged(*intervals(group)):
+            kept = without(data[offsets[doc] : offsets[doc] + lengths[doc]].tobytes(), lows, highs)
             for name, value in zip(names, (path, doc, int((highs - lows).sum()), len(lows), hashlib.sha256(kept).hexdigest(), kept if with_text else None)):
                 out[name].append(value)
         return pa.table({n: pa.array(out[n], k) for n, k in zip(names, kinds)})
@@ -359,15 +381,38 @@ def _cut(with_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, with_text: bool = False) -> DataFrame:
-    """``id, n_bytes, n_removed, n_spans, kept_sha256`` of every row, and with ``with_text`` what is left as ``kept`` (binary, null where nothing changed)."""
+def _cut_rows(kind: T.StructType):
+    """All rows of a block, with what is left of their texts; ``changed`` tells which of them lost something."""
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        schema = to_arrow_schema(kind)
+        rows = block_rows(key[0].as_py())
+        texts = rows["text"].to_pylist()
+        changed = [False] * len(texts)
+        copies = [d for d in group["copy"].to_pylist() if d is not None]
+        for doc, lows, highs in merged(*intervals(group)):
+            texts[doc], changed[doc] = without(texts[doc], lows, highs).decode("utf-8", "ignore").encode(), True
+        for doc in copies:
+            texts[doc], changed[doc] = b"", True
+        own = {"text": pa.array(texts, schema.field("text").type), "changed": pa.array(changed, pa.bool_())}
+        return pa.Table.from_arrays([own[f.name] if f.name in own else rows[f.name].cast(f.type) for f in schema], schema=schema)
+
+    return run
+
+
+def _search(picked: DataFrame, length: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Blocks of the rows of ``picked`` (``id`` and ``text`` first, and what else is to be kept with them): a row per document, the
+    documents that copy an earlier one, the removed intervals of all others, and the number of tasks that blocks are dealt to."""
     if length < 2 * GRAM:
         raise ValueError(f"strings must have {2 * GRAM} bytes at least")
-    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     total = picked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(6, int(total / 18 / ANCHORS_PER_BUCKET).bit_length())
     families = 4 << bits
-    folder = scratch_path(docs.sparkSession, "blocks")
+    # what a block is sent is little beside what its task reads and makes of it, so its size must not decide
+    tasks = max(2 * picked.sparkSession.sparkContext.defaultParallelism, total // BYTES_PER_TASK)
+    folder = scratch_path(picked.sparkSession, "blocks")
     system, base = open_uri(folder)
     system.create_dir(base, recursive=True)
     rows = cut_lineage(map_task(picked, _blocks(folder, bits, length), BLOCK_ROWS))
@@ -379,9 +424,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     asked = shared.select("block", "shared", F.lit(None).cast("int").alias("copy")).union(
         copies.select("block", F.lit(None).cast("binary"), F.col("doc"))
     )
-    contents = asked.groupBy("block").applyInArrow(_contents(bits, families, length), CONTENTS)
-    found = contents.groupBy("family").applyInArrow(_match(length), INTERVALS)
-    cut = found.groupBy("block").applyInArrow(_cut(with_text), "block string, doc int, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    contents = asked.repartition(tasks, "block").groupBy("block").applyInArrow(_contents(bits, families, length), CONTENTS)
+    return docs_seen, copies, contents.groupBy("family").applyInArrow(_match(length), INTERVALS), tasks
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, with_text: bool = False) -> DataFrame:
+    """``id, n_bytes, n_removed, n_spans, kept_sha256`` of every row, and with ``with_text`` what is left as ``kept`` (binary, null where nothing changed)."""
+    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    docs_seen, copies, found, tasks = _search(picked, length)
+    cut = found.repartition(tasks, "block").groupBy("block").applyInArrow(_cut(with_text), "block string, doc int, n_removed long, n_spans long, kept_sha256 string, kept binary")
     whole = copies.withColumn("copy", F.lit(True))
     empty = F.lit(b"") if with_text else F.lit(None).cast("binary")
     out = docs_seen.join(whole, ["block", "doc"], "left").join(cut_lineage(cut), ["block", "doc"], "left")
@@ -393,24 +444,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-def _decoded(batch: pa.RecordBatch) -> Iterator[dict]:
-    kept = batch.column("kept").to_pylist()
-    yield {"id": batch.column("id"), "text": [b.decode("utf-8", "ignore") if b is not None else "" for b in kept]}
-
-
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", length: int = 50) -> DataFrame:
     """All rows of ``docs`` with the repeated passages cut out of their texts, and ``length_col`` counted anew.
 
-    Ids must be unique but for null ones, whose texts stay as they are. A character of which a byte was cut goes as a whole.
+    Texts of rows with a null id stay as they are. A character of which a byte was cut goes as a whole.
     """
-    removed = remove_repeats(docs, id_col, text_col, length, with_text=True).where("n_removed > 0 AND id IS NOT NULL")
-    changed = cut_lineage(map_batches(removed.select("id", "kept"), _decoded, "id long, text string"))
-    # rows travel as one struct, so that none of their names meets one of these
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"))
-    joined = rows.join(changed, "id", "left")
-    out = {c: F.col(f"row.`{c}`") for c in docs.columns}
+    # columns travel by number, so that none of their names meets one of these
+    others = {c: f"c{k}" for k, c in enumerate(docs.columns) if c != text_col}
+    picked = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"), *[F.col(f"`{c}`").alias(n) for c, n in others.items()])
+    docs_seen, copies, found, tasks = _search(picked, length)
+    none = F.lit(None).cast("binary")
+    found = cut_lineage(found).select("block", "docs", "starts", "ends", F.lit(None).cast("int").alias("copy"))
+    whole = copies.select("block", none, none, none, "doc")
+    every = docs_seen.where("doc = 0").select("block", none, none, none, F.lit(None).cast("int"))
+    kind = T.StructType([*[picked.schema[n] for n in others.values()], T.StructField("text", T.BinaryType()), T.StructField("changed", T.BooleanType())])
+    rows = found.union(whole).union(every).repartition(tasks, "block").groupBy("block").applyInArrow(_cut_rows(kind), kind)
+    text = F.col("text").cast(docs.schema[text_col].dataType)
+    out = {c: text if c == text_col else F.col(others[c]) for c in docs.columns}
     if length_col:
-        count = F.char_length("text").cast(docs.schema[length_col].dataType)
-        out[length_col] = F.when(F.col("text").isNull(), out[length_col]).otherwise(count)
-    out[text_col] = F.coalesce("text", out[text_col])
-    return joined.select(*[c.alias(name) for name, c in out.items()])
+        out[length_col] = F.when(F.col("changed"), F.char_length(text).cast(docs.schema[length_col].dataType)).otherwise(out[length_col])
+    return rows.select(*[c.alias(name) for name, c in out.items()])

@@ -253,6 +253,23 @@ def test_columns_with_clashing_names_stay(spark, prose, odd):
             assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in kept)
 
 
+def test_rows_are_cut_where_they_lie(spark, prose, monkeypatch):
+    """Blocks hold whole rows: no text is shuffled to be joined by an id, so rows with equal ids stay rows of their own."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 600)
+    p, q = prose(61, 30), prose(62, 30)
+    rows = [(1, p), (5, q + p), (5, p + q), (7, None), (7, "\0" + q), (8, "short"), (None, p), (9, p)]
+    docs = make_docs(spark, rows).withColumn("when", F.lit("2020-02-02 02:02:02").cast("timestamp")).withColumn("more", F.array(F.struct("doc_id", F.lit(1.5).cast("decimal(9,2)").alias("x"))))
+    docs = docs.repartition(3).withColumnRenamed("n_chars", "c0")
+    got = suffix_dedup.without_repeats(docs, length_col="c0")
+    assert got.dtypes == docs.dtypes
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    assert Counter((r.doc_id, r.text, r.c0) for r in got.collect()) == Counter(
+        [(1, p, len(p)), (5, q, len(q)), (5, q, len(q)), (7, None, None), (7, "\0", 1), (8, "short", 5), (None, p, len(p)), (9, "", 0)]
+    )
+    kept = lambda df: Counter((r.doc_id, r.when, str(r.more)) for r in df.collect())
+    assert kept(got) == kept(docs)
+
+
 def test_cold_rows_keep_a_token_of_every_similar_pair(spark):
     """Random groups and prefix tokens: of the tokens two groups must share, at least one is left, and more if they need more."""
     rng = np.random.default_rng(4)
