@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 from math import ceil
 from urllib.parse import quote
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -120,15 +121,16 @@ def json_files(spark: SparkSession, directory: str) -> DataFrame:
     scheme, rest = re.match(r"([a-z0-9+.-]+:(?://[^/]*)?)(.*)$", directory.rstrip("/")).groups()
     parts = rest.split("/")
     fixed = next((i for i, part in enumerate(parts) if re.search(r"[*?\[{]", part)), len(parts))
-    level = spark.createDataFrame([(("file:" if scheme == "file://" else scheme) + "/".join(parts[:fixed]),)], "path string")
+    start = ("file:" if scheme == "file://" else scheme) + "/".join(parts[:fixed])
+    level = spark.createDataFrame([(start, _turns(start))], "path string, turns int")
     spread = spark.sparkContext.defaultParallelism
 
     def listed(folders: DataFrame) -> DataFrame:
-        return cut_lineage(folders.repartition(spread, "path").mapInArrow(_lister(True, encode=True), ENTRIES))
+        return _listed(folders, spread, _lister(True, encode=True))
 
     for part in parts[fixed:]:
         inner = F.col("name").rlike(_glob_pattern(part)) & ~_skipped(F.col("name"))
-        level = listed(level).where(F.col("kind") == "dir").where(inner).select("path")
+        level = listed(level).where(F.col("kind") == "dir").where(inner).select("path", "turns")
     entries = listed(level)
     wrong = entries.where(F.col("kind") == "error").select("path", "name").first()
     if wrong is not None:
@@ -185,58 +187,87 @@ def properties_files(spark: SparkSession, root: str, name_glob: str = "*.propert
 
 
 NameTest = Callable[[Column], Column]
-ENTRIES = "kind string, path string, name string, size long, mtime timestamp, real string"
+ENTRIES = "kind string, path string, name string, size long, mtime timestamp, real string, turns int"
 
 
-ENTRY_TYPES = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.timestamp("us", "UTC"), pa.string())
+ENTRY_TYPES = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.timestamp("us", "UTC"), pa.string(), pa.int32())
 ENTRIES_AT_ONCE = 10_000
+TURN_BYTES = 512 << 10  # of a directory itself: about 15,000 names
+MOST_TURNS = 16  # every turn reads all names; beyond this, reading them costs more than looking at the files
 
 
-def _entries(system, folder: str) -> Iterator[tuple]:
-    """(name, full path, whether it is a directory, size, mtime in microseconds) of what lies in a directory.
+def _turns(uri: str, size: int | None = None) -> int:
+    """How many tasks list a directory, by the size its file system states for the directory itself."""
+    from pyarrow import fs
+
+    if size is None:
+        try:
+            system, path = open_uri(uri)
+            size = os.stat(path).st_size if isinstance(system, fs.LocalFileSystem) else 0
+        except (OSError, ValueError):
+            size = 0
+    return min(MOST_TURNS, 1 + size // TURN_BYTES)
+
+
+def _listed(folders: DataFrame, spread: int, lister) -> DataFrame:
+    """The entries of directories, a row with ``path`` and ``turns`` each; the turns of one directory go to different tasks."""
+    turns = F.least("turns", F.lit(spread))
+    each = folders.select("path", turns.alias("turns"), F.explode(F.sequence(F.lit(0), turns - 1)).alias("turn"))
+    place = F.pmod(F.hash("path").cast("long") + F.col("turn"), F.lit(spread)).cast("int")
+    return cut_lineage(each.repartitionById(spread, place).mapInArrow(lister, ENTRIES))
 
-    A local directory is read as it goes, however large it is; other file systems hand out theirs as one list.
+
+def _entries(system, folder: str, turns: int, turn: int) -> Iterator[tuple]:
+    """(name, full path, whether it is a directory, size, mtime in microseconds, turns) of what lies in a directory.
+
+    A local directory is read as it goes, however large it is; of several turns, each looks at the files
+    that the hash of their names gives it. Other file systems hand out theirs as one list.
     """
     from pyarrow import fs
 
     if not isinstance(system, fs.LocalFileSystem):
         for info in system.get_file_info(fs.FileSelector(folder)):
             inner = info.type == fs.FileType.Directory
-            yield info.base_name, info.path, inner, None if inner else info.size, None if info.mtime_ns is None else info.mtime_ns // 1000
+            yield info.base_name, info.path, inner, None if inner else info.size, None if info.mtime_ns is None else info.mtime_ns // 1000, 1
         return
     with os.scandir(folder) as found:
         for entry in found:
+            if turns > 1 and crc32(os.fsencode(entry.name)) % turns != turn:
+                continue
             try:
                 seen = entry.stat()
             except OSError:  # a link to nowhere, or gone by now
-                yield entry.name, entry.path, False, None, None
+                yield entry.name, entry.path, False, None, None, None
                 continue
-            yield entry.name, entry.path, stat.S_ISDIR(seen.st_mode), seen.st_size if stat.S_ISREG(seen.st_mode) else None, seen.st_mtime_ns // 1000
+            inner = stat.S_ISDIR(seen.st_mode)
+            size = seen.st_size if stat.S_ISREG(seen.st_mode) else None
+            yield entry.name, entry.path, inner, size, seen.st_mtime_ns // 1000, _turns(entry.path, seen.st_size) if inner else None
 
 
 def _lister(follow_links: bool, encode: bool = False):
     """``encode`` makes paths URIs that can be opened whatever names hold."""
 
-    def entries(uri: str) -> Iterator[tuple]:
+    def entries(uri: str, turns: int = 1, turn: int = 0) -> Iterator[tuple]:
         from pyarrow import fs
 
+        below = uri.rstrip("/")
         try:
             system, folder = open_uri(uri)
             local = isinstance(system, fs.LocalFileSystem)
-            for name, path, inner, size, mtime in _entries(system, folder):
+            for name, path, inner, size, mtime, its_turns in _entries(system, folder, turns, turn):
                 if inner and not follow_links and local and os.path.islink(path):
                     continue
                 real = os.path.realpath(path) if inner and local else path if inner else None
-                yield "dir" if inner else "file", f"{uri.rstrip('/')}/{_encoded_name(name) if encode else name}", name, size, mtime, real
+                yield "dir" if inner else "file", f"{below}/{_encoded_name(name) if encode else name}", name, size, mtime, real, its_turns
         except OSError as error:
-            yield "error", uri, str(error), None, None, None
+            yield "error", uri, str(error), None, None, None, None
 
     def list_directories(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The entries of each directory; one that cannot be read gives an error entry."""
         for batch in batches:
-            for uri in batch.column("path").to_pylist():
+            for asked in zip(*[c.to_pylist() for c in batch.columns]):
                 rows = []
-                for row in entries(uri):
+                for row in entries(*asked):
                     rows.append(row)
                     if len(rows) == ENTRIES_AT_ONCE:
                         yield _entry_batch(rows)
@@ -248,7 +279,7 @@ def _lister(follow_links: bool, encode: bool = False):
 
 def _entry_batch(rows: list[tuple]) -> pa.RecordBatch:
     columns = zip(*rows) if rows else [()] * len(ENTRY_TYPES)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, ENTRY_TYPES)], names=["kind", "path", "name", "size", "mtime", "real"])
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, ENTRY_TYPES)], names=["kind", "path", "name", "size", "mtime", "real", "turns"])
 
 
 def link_directories(spark: SparkSession, links: Sequence[tuple[str, str]]) -> None:
@@ -269,7 +300,7 @@ def walk_tree(
     """path, name, size, mtime and depth of the files of a tree, listed by the tasks.
 
     One job lists one level of directories, spread over the executors, and
-    writes what it finds to the shared folder. A refused directory is never
+    writes what it finds to the shared folder; a large local directory is listed by several tasks. A refused directory is never
     listed, so its subtree costs nothing. Linked directories are not followed, unless
     ``follow_links``: then a directory is listed at the first level that leads to it, under
     the name that sorts first, and never again, so loops end.
@@ -277,26 +308,26 @@ def walk_tree(
     """
     spread = tasks or spark.sparkContext.defaultParallelism
     top = root.rstrip("/") or "/"
-    level = spark.createDataFrame([(top, _real(top))], "path string, real string")
+    level = spark.createDataFrame([(top, _real(top), _turns(top))], "path string, real string, turns int")
     found, visited, depth = [], [level.select("real")], 0
     while True:
-        listed = cut_lineage(level.select("path").repartition(spread, "path").mapInArrow(_lister(follow_links), ENTRIES))
+        listed = _listed(level, spread, _lister(follow_links))
         kept = listed.where(F.col("kind") == "file")
         if file_test is not None:
             kept = kept.where(file_test(F.col("name")))
         found.append(kept.withColumn("depth", F.lit(depth)))
         if errors:
-            found.append(listed.where(F.col("kind") == "error").withColumn("depth", F.lit(None).cast("int")))
+            found.append(listed.where(F.col("kind") == "error").dropDuplicates(["path"]).withColumn("depth", F.lit(None).cast("int")))
         level = listed.where(F.col("kind") == "dir")
         if dir_test is not None:
             level = level.where(dir_test(F.col("name")))
         if follow_links:
-            new = level.groupBy("real").agg(F.min("path").alias("path"))
-            level = cut_lineage(new.join(reduce(DataFrame.unionByName, visited), "real", "left_anti").select("path", "real"))
+            new = level.groupBy("real").agg(F.min("path").alias("path"), F.max("turns").alias("turns"))
+            level = cut_lineage(new.join(reduce(DataFrame.unionByName, visited), "real", "left_anti").select("path", "real", "turns"))
             visited.append(level.select("real"))
         if level.isEmpty():
-            return reduce(DataFrame.unionByName, found).drop("kind", "real")
-        level, depth = level.select("path", "real"), depth + 1
+            return reduce(DataFrame.unionByName, found).drop("kind", "real", "turns")
+        level, depth = level.select("path", "real", "turns"), depth + 1
 
 
 def _real(uri: str) -> str:

@@ -235,6 +235,26 @@ def test_large_directories_come_in_batches(spark, tmp_path, monkeypatch):
     assert rows["f7"].us == os.stat(tmp_path / "f7").st_mtime_ns // 1000
 
 
+def test_a_large_directory_is_listed_by_several_tasks(spark, tmp_path, monkeypatch):
+    """Each name comes once, from one of the tasks; so do the error and the directories below, also those behind links."""
+    for n in range(60):
+        (tmp_path / f"f{n}é.json").write_text("x" * n)
+    for n in range(5):
+        (tmp_path / f"d{n}").mkdir()
+        (tmp_path / f"d{n}/in").write_text("1")
+    os.symlink(tmp_path, tmp_path / "d0" / "loop")
+    monkeypatch.setattr(files, "TURN_BYTES", 1, raising=False)
+    want = {f"f{n}é.json": n for n in range(60)} | {f"d{n}/in": 1 for n in range(5)}
+    for follow in (False, True):
+        walked = files.walk_tree(spark, str(tmp_path), tasks=4, follow_links=follow)
+        rows = walked.withColumn("task", F.input_file_name()).collect()
+        assert sorted((os.path.relpath(r.path, tmp_path), r.size) for r in rows) == sorted(want.items())
+        assert len({r.task for r in rows if r.depth == 0}) == 4
+    assert sorted(len(r.body) for r in files.json_files(spark, str(tmp_path)).collect()) == list(range(60))
+    monkeypatch.setattr(files, "_turns", lambda uri, size=None: 9, raising=False)
+    assert [(r.depth, r.size) for r in files.walk_tree(spark, str(tmp_path / "nowhere"), errors=True).collect()] == [(None, None)]
+
+
 def test_json_files_of_a_glob_are_opened_by_the_tasks(spark, tmp_path):
     """Odd names, bytes that are no UTF-8, directories that the glob leaves out; rows as Spark's reader gives them, without its list of files."""
     for name, body in {
@@ -278,6 +298,22 @@ def test_files_appear_whole_and_replace_others(tmp_path, monkeypatch, nameless):
     assert sorted(p.name for p in target.parent.iterdir()) == ["d", "f"]
 
 
+def test_texts_are_written_byte_by_byte_and_no_file_stays_open(spark, tmp_path):
+    """Bytes that are no UTF-8 are a text for Spark, so they are written as they are; failures close their files too."""
+    rows = spark.createDataFrame([(f"{tmp_path}/a", bytearray(b"\xff\xfex"))], "path string, text binary")
+    assert [(r.n_bytes, r.ok) for r in writers.write_text_files(rows.withColumn("text", F.expr("CAST(text AS STRING)"))).collect()] == [(3, True)]
+    assert (tmp_path / "a").read_bytes() == b"\xff\xfex"
+
+    def broken():
+        yield b"one"
+        raise OSError("gone")
+
+    before = len(os.listdir("/proc/self/fd"))
+    for n in range(10):
+        assert writers._reported(f"{tmp_path}/b{n % 2}", lambda: iter([b"x"]))[2] and not writers._reported(f"{tmp_path}/c", broken)[2]
+    assert len(os.listdir("/proc/self/fd")) == before
+
+
 def test_replayed_files_are_written_by_many_tasks(spark, sf_dir, monkeypatch):
     """A small table comes in one split; its files, which cost far more than its bytes, are not written by one task."""
     from millrace.plans import trees
